@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, fingerprints, mixing
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_bpe": bpe.op1_bpe,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op6_mixing": mixing.op6_mixing,
+        "op7_fingerprints": fingerprints.op7_fingerprints,
     }
 
 
