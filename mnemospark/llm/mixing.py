@@ -27,8 +27,6 @@ from .common import SPACE, documents, settle, settle_table, text_or_empty
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: Tokens of a block at most, and blocks that the mix has at least (where it has as many tokens).
 BLOCK, LEAST_BLOCKS = 4096, 20_000
-#: Slots and documents (on average) of a bucket that one task ranks.
-BUCKET = 16_384
 
 
 def with_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -97,7 +95,7 @@ def schedule(spark, targets: DataFrame, tokens: int, sources: int, block: int) -
     spans = spans.withColumn("cell", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     drawn = drawn.join(spans, "cell").where("point >= low and point < high")
     # A rank within (source, bucket of slot numbers), shifted by the buckets before.
-    drawn = drawn.withColumn("bucket", F.floor(F.col("n") / BUCKET))
+    drawn = drawn.withColumn("bucket", F.floor(F.col("n") / math.ceil(math.sqrt(slots))))
     key = [F.col("source"), F.col("bucket")]
     inner = drawn.withColumn("inner", F.row_number().over(Window.partitionBy(*key).orderBy("n")) - 1)
     counts = drawn.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("c"))
@@ -110,7 +108,7 @@ def schedule(spark, targets: DataFrame, tokens: int, sources: int, block: int) -
 
 def streams(sized: DataFrame, total_docs: int) -> DataFrame:
     """Adds start: the document's first token in its source's stream."""
-    bits = max(0, math.ceil(math.log2(max(1, total_docs / BUCKET))))
+    bits = math.ceil(math.log2(max(1, total_docs)) / 2)
     # The top bits of the hash: the order by (bucket, place) is the order by place, whatever the number of buckets.
     bucketed = sized.withColumn("bucket", F.shiftright("place", 64 - bits) if bits else F.lit(0).cast("long"))
     here = Window.partitionBy("source", "bucket").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
