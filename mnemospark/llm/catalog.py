@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, mixing
+from . import bpe, exact_dedup, fingerprints, language_id, mixing
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op6_mixing": mixing.op6_mixing,
         "op7_fingerprints": fingerprints.op7_fingerprints,
+        "op8_language_id": language_id.op8_language_id,
     }
 
 
