@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, language_id, mixing
+from . import bpe, exact_dedup, fingerprints, language_id, minhash, mixing
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op6_mixing": mixing.op6_mixing,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_language_id": language_id.op8_language_id,
+        "op9_minhash": minhash.op9_minhash,
     }
 
 
