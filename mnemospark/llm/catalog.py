@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, language_id, minhash, mixing
+from . import bpe, exact_dedup, fingerprints, language_id, minhash, mixing, warc
 
 
 def queries():
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op4_warc": warc.op4_warc,
         "op6_mixing": mixing.op6_mixing,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_language_id": language_id.op8_language_id,
@@ -19,4 +20,5 @@ def queries():
 def oracle_sql():
     return {
         "op2_exact_dedup": exact_dedup.ORACLE,
+        "op4_warc": warc.ORACLE,
     }
