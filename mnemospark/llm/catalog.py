@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, language_id, minhash, mixing, warc
+from . import bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, mixing, warc
 
 
 def queries():
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_html_text": html_extract.op3_html_text,
         "op4_warc": warc.op4_warc,
         "op6_mixing": mixing.op6_mixing,
         "op7_fingerprints": fingerprints.op7_fingerprints,
