@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, mixing, warc
+from . import bpe, exact_dedup, fingerprints, html_extract, language_id, lm_score, minhash, mixing, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_html_text": html_extract.op3_html_text,
         "op4_warc": warc.op4_warc,
+        "op5_lm_score": lm_score.op5_lm_score,
         "op6_mixing": mixing.op6_mixing,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_language_id": language_id.op8_language_id,

@@ -11,11 +11,30 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors' Python workers, once for each Spark context."""
+    import atexit
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_mnemospark_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="mnemospark-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    context.addPyFile(shutil.make_archive(f"{folder}/mnemospark", "zip", package.parent, package.name))
+    context._mnemospark_shipped = True
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 

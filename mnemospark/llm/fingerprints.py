@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import SPACE, documents, settle, settle_table, shuffle_partitions, text_or_empty
 
 #: Words of a shingle, and the share of the hash range that is retained (one in so many).
-WORDS, SCALE = 5, 8
+WORDS, SCALE = 5, 4
+#: Stands for a null identifier: the least.
+NO_ID = -(1 << 63)
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -75,17 +77,17 @@ def shown(a: Column) -> Column:
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
-    """ids (id, n, mark; ids distinct) with before_id, before_n: the row that has this one as its next by descending id.
+    """ids (id, n; ids distinct) with before_id, before_n: the row that has this one as its next by descending id.
 
     That is the next larger id; the largest is the next of the smallest.
     """
     spark = ids.sparkSession
-    ranged = ids.repartitionByRange(shuffle_partitions(spark), F.col("id").asc_nulls_first())
+    ranged = ids.repartitionByRange(shuffle_partitions(spark), "id")
     ranged = settle(ranged.withColumn("range", F.spark_partition_id()))
-    inside = Window.partitionBy("range").orderBy(F.col("id").asc_nulls_first())
+    inside = Window.partitionBy("range").orderBy("id")
     here = F.struct("id", "n")
     # One row for each range: its least member, and so the following range's.
-    least = ranged.groupBy("range").agg(F.min_by(here, F.struct(F.col("id").isNotNull(), "id")).alias("least"))
+    least = ranged.groupBy("range").agg(F.min(here).alias("least"))
     ordered = Window.orderBy("range")
     following = least.select(
         "range",
@@ -94,27 +96,32 @@ def neighbours(ids: DataFrame) -> DataFrame:
     after = F.lead(here).over(inside)
     joined = ranged.withColumn("after", after).withColumn("has", F.lead(F.lit(True)).over(inside)).join(following, "range")
     before = F.when(F.col("has"), F.col("after")).otherwise(F.col("following"))
-    return joined.select("id", "mark", before["id"].alias("before_id"), before["n"].alias("before_n"))
+    return joined.select("id", before["id"].alias("before_id"), before["n"].alias("before_n"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """id, text, n, patch, next_sketch: each row with what the edit and the comparison need of the next document."""
-    mark = F.xxhash64("text")
-    ids = docs.groupBy("id").agg(F.max(F.char_length("text")).alias("n"), F.min(mark).alias("mark"))
-    ids = settle(neighbours(ids)).select(F.col("id").alias("id_"), "mark", "before_id", "before_n")
-    placed = docs.join(ids, F.col("id").eqNullSafe(F.col("id_")))
-    sent = placed.where(mark == F.col("mark")).select(
-        F.col("before_id").alias("key"),
-        F.substring("text", F.lit(1), F.floor(F.col("before_n") / 3).cast("int")).alias("patch"),
-        sketch(F.col("text")).alias("next_sketch"),
+    """id, text, patch, next_sketch: each row with what the edit and the comparison need of the next document.
+
+    docs has no null id. Both uses of the placed rows read one shuffle of the texts by id: their joins have that key alone.
+    """
+    ids = docs.groupBy("id").agg(F.max(F.char_length("text")).alias("n"))
+    ids = settle(neighbours(ids))
+    placed = docs.join(ids, "id")
+    sent = placed.select(
+        F.col("before_id").alias("id"),
+        F.xxhash64("text").alias("mark"),
+        F.struct(
+            F.substring("text", F.lit(1), F.floor(F.col("before_n") / 3).cast("int")).alias("patch"),
+            sketch(F.col("text")).alias("next_sketch"),
+        ).alias("sent"),
     )
-    sent = sent.dropDuplicates(["key"])
-    return placed.select("id", "text").join(sent, F.col("id").eqNullSafe(F.col("key"))).drop("key")
+    sent = sent.groupBy("id").agg(F.min_by("sent", "mark").alias("sent"))
+    return placed.select("id", "text").join(sent, "id").select("id", "text", "sent.patch", "sent.next_sketch")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of the query; see the module."""
-    rows = with_next(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")))
+    rows = with_next(docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text")))
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("patch", F.lit(1), cut))
@@ -123,7 +130,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "id", "n", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("other")
     )
     return rows.select(
-        F.col("id").alias(id_col),
+        F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
         F.col("n").cast("bigint").alias("n_chars"),
         "edited_sha256",
         shown(F.col("own")).alias("fingerprint"),
