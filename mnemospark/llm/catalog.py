@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, html_extract, language_id, lm_score, minhash, mixing, warc
+from . import bpe, exact_dedup, fingerprints, html_extract, language_id, lm_score, minhash, mixing, repeats, warc
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_language_id": language_id.op8_language_id,
         "op9_minhash": minhash.op9_minhash,
+        "op10_repeats": repeats.op10_repeats,
     }
 
 
