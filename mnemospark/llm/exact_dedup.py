@@ -9,7 +9,7 @@ each slot, are merged by digest and length, and each document takes its group's
 no key holds more than one slot's share of the largest group.
 
 Defined cases: a null text counts as empty; texts of white space only are equal to it; repeated rows (same identifier)
-each count as a member; an empty table gives an empty result; other columns are carried along only by ``dedup``.
+each count as a member; a null identifier is the least; an empty table gives an empty result; other columns are carried along only by ``dedup``.
 """
 
 from __future__ import annotations
@@ -67,15 +67,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
-        (F.col("id") == F.col("keep_id")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Repeated rows of the identifier that stays stay together."""
-    kept = groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of docs that stay, with all their columns; of repeated rows (same identifier, equal text) one.
+
+    Rows meet the answers by digest and identifier, so that copies of one text are dealt over all tasks.
+    """
+    digest = F.sha2(F.regexp_replace(text_or_empty(text_col), f"[{SPACE}]+", ""), 256)
+    keys = ["__digest", "__mark"]
+    kept = groups(docs, id_col, text_col).where("kept")
+    kept = kept.select(F.col("text_sha256").alias(keys[0]), F.xxhash64(id_col).alias(keys[1])).distinct()
+    rows = docs.withColumn(keys[0], digest).withColumn(keys[1], F.xxhash64(id_col))
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def op2_exact_dedup(spark, sf_dir):

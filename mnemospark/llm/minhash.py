@@ -16,7 +16,7 @@ Full sets reach a comparison packed, six bytes a shingle (a false match inside o
 probability 6e-10). Everything large stays in tables in the shared folder; no list of documents reaches the driver.
 
 Defined cases: texts without words (or null) have an empty set, are linked with nothing and are kept; one word makes one
-shingle of the whole sequence; repeated rows of one identifier are one document's rows and share its component; an empty
+shingle of the whole sequence; repeated rows of one identifier are one document's rows and share its component; rows of null identifier are linked with nothing and kept; an empty
 table gives an empty result; other columns are carried only by ``keep_first``.
 """
 
@@ -235,6 +235,8 @@ def resolve(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = 80,
                     permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
+    nameless = docs.where(F.col(id_col).isNull())
+    docs = docs.where(F.col(id_col).isNotNull())
     signed = settle_table(signatures(docs, id_col, text_col, size, permutations, rows), "minhash-signatures")
     # Empty sets are linked with nothing, not even with one another.
     key = ["class_a", "class_b", "n"]
@@ -263,15 +265,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.coalesce("root", "rep")
     found = out.select("id", "n", component.alias("component_id"))
     alone = signed.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return found.unionByName(alone).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept")
+    lone = signatures(nameless, id_col, text_col, size, permutations, rows).select("id", "n", F.col("id").alias("component_id"))
+    return found.unionByName(alone).unionByName(lone).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of docs of the smallest identifier of each component, with their columns as they are."""
     kept = near_duplicates(docs, id_col, text_col, **more).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
 
 
 def op9_minhash(spark, sf_dir):

@@ -158,5 +158,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes its text, to the nearest whole time; columns as they are.
+
+    A source's stream is cut inside one document at most, so whole documents come as near to the target as they can.
+    """
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(0)
+    taken = mix(docs, id_col, text_col, source_col, **more).groupBy(F.col(id_col).alias("__id")).agg(F.max(times).alias("__times"))
+    rows = docs.join(taken.where("__times > 0"), docs[id_col].eqNullSafe(F.col("__id")))
+    rows = rows.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return rows.select(*(docs[c] for c in docs.columns))
+
+
 def op6_mixing(spark, sf_dir):
     return mix(documents(spark, sf_dir))
