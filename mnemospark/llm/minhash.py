@@ -51,10 +51,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
         if last - first >= size:
             made.append(np.unique(rolled[first : last - size + 1]))
         elif last > first:  # fewer words: the whole sequence
-            x = np.uint64(last - first)
+            x = np.array([last - first], np.uint64)
             for v in h[first:last]:
-                x = mix(np.array([x * np.uint64(5) + v], np.uint64))[0]
-            made.append(np.array([x], np.uint64))
+                x = mix(x * np.uint64(5) + v)
+            made.append(x)
         else:
             made.append(h[:0])
     lengths = np.array([len(m) for m in made], np.int64)
