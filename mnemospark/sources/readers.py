@@ -34,7 +34,7 @@ def conversations(spark: SparkSession, path: str) -> DataFrame:
 def capability_cards(spark: SparkSession, path: str) -> DataFrame:
     """Capability cards (files, or folders of capability.json) with the digest of their bytes; malformed ones are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
-    content = F.decode("content", F.lit("UTF-8"))
+    content = F.decode("content", "UTF-8")
     cards = files.select(F.from_json(content, _CARD, {"mode": "PERMISSIVE"}).alias("card"), F.sha2("content", 256).alias("file_hash"))
     return cards.where("card.name is not null").select("card.*", "file_hash").withColumn(
         "id", hash_id("capability:", F.lower(F.trim("name")))

@@ -72,7 +72,11 @@ class Store:
         out.close()
 
     def _read(self, path) -> str:
-        return self.spark.read.text(path.toString()).first()[0]
+        stream = self._fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def _check(self) -> None:
         if self.closed:
