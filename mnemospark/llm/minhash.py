@@ -4,11 +4,12 @@
    smallest identifier, so that copies are never paired.
 2. Under each of PERMUTATIONS permutations a set keeps both its minimum and its maximum: two signature values for one hash
    evaluation. Bands of four values are the keys of buckets.
-3. In every bucket all members are compared with one hub, the member that shares most buckets with others (an original has
-   more of them than its edited copies), on the full sets; connected components follow by minima and pointer jumping.
-4. Buckets whose members lie in more than one component are taken up again with further hubs, until every pair of members
-   of a bucket is compared or in one component already (see ``resolve``). So no link inside a bucket is lost, and a
-   group of n copies costs about n comparisons for a bucket instead of all pairs.
+3. In every bucket, and in every bucket of two neighbouring bands, all members are compared with one hub, the member that
+   shares most buckets with others (an original has more of them than its edited copies), on the full sets: about one
+   comparison for a member and hub. Connected components follow by minima of stars.
+4. What a bucket still holds apart is compared exactly: its members outside its largest component with all members of other
+   components, in blocks of bounded size, each pair in the first bucket that it shares. Then every pair of members of a
+   bucket is compared or connected already, so that no link inside a bucket is lost. Pairs are never rows.
 
 With 48 permutations there are 24 bands of 4 values: two sets of similarity 0.8 share no bucket with probability 4e-6.
 
@@ -32,8 +33,8 @@ from .common import documents, settle, settle_table, shuffle_partitions
 
 PERMUTATIONS, ROWS = 48, 4
 SHINGLE = 2
-#: Open members of a bucket that are compared with one another at once.
-SMALL = 24
+#: Members on either side of a block of comparisons.
+BLOCK = 256
 #: Shingle hashes are compared by their low 48 bits.
 _MASK = np.uint64((1 << 48) - 1)
 
@@ -130,38 +131,48 @@ def _pack(hashes: np.ndarray) -> bytes:
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    raw = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
     return out.view(np.uint64).reshape(-1)
 
 
+def _intersections(one: np.ndarray, many: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of one sorted set with sets that lie end to end."""
+    at = np.minimum(np.searchsorted(one, many), len(one) - 1)
+    return np.add.reduceat((one[at] == many).astype(np.int64), heads)
+
+
 def linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Of the pairs (hub, other): those with 100 * intersection >= threshold * union of their full sets.
 
-    Sizes alone rule out many pairs before any set moves. The hub's side of the second join may be hot: its rows are
-    dealt over salts by the other's identifier, the hub's set being repeated only for salts in use.
+    The hub's side of the second join may be hot: rows are dealt over salts by the other's identifier, and the hub's set
+    is repeated for salts in use only.
     """
-    sizes = sets.select("id", "n")
-    sized = pairs.join(sizes.toDF("hub", "hub_n"), "hub").join(sizes.toDF("other", "other_n"), "other")
-    close = F.least("hub_n", "other_n") * 100 >= F.greatest("hub_n", "other_n") * threshold
-    salted = sized.where(close).withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(64)))
-    salted = settle_table(salted, "minhash-pairs")
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(64)))
     hubs = salted.select("hub", "salt").distinct().join(sets.select(F.col("id").alias("hub"), F.col("packed").alias("hub_set")), "hub")
-    both = salted.join(sets.select(F.col("id").alias("other"), F.col("packed").alias("other_set")), "other").join(hubs, ["hub", "salt"])
+    other = sets.select(F.col("id").alias("other"), F.col("packed").alias("other_set"))
+    both = salted.join(other, "other").join(hubs, ["hub", "salt"]).select("hub", "other", "hub_set", "other_set")
 
     def run(batches):
         for batch in batches:
-            keep = []
-            last, last_set = None, None
-            for a, b, n, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                if a is not last:
+            keep, last, last_set = [], None, None
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = a.as_buffer(), b.as_buffer()
+                if last is None or not a.equals(last):
                     last, last_set = a, _unpack(a)
-                common = len(np.intersect1d(last_set, _unpack(b), assume_unique=True))
-                keep.append(100 * common >= threshold * (n + m - common))
+                x = _unpack(b)
+                common = int(_intersections(last_set, x, np.zeros(1, np.int64))[0])
+                keep.append(100 * common >= threshold * (len(last_set) + len(x) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     kind = sets.schema["id"].dataType.simpleString()
-    return both.select("hub", "other", "hub_set", "other_set", "hub_n", "other_n").mapInArrow(run, f"hub {kind}, other {kind}")
+    return both.mapInArrow(run, f"hub {kind}, other {kind}")
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges (and, but for a chance of 2**-64, for those alone)."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
 def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -172,6 +183,7 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     edges = settle(edges)
+    mark = _mark(edges)
     while True:
         # Large star: each vertex links its larger neighbours to the least of its neighbours and itself.
         both = edges.union(edges.select("b", "a"))
@@ -183,53 +195,88 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_least.select("a", F.col("m").alias("b")))
-        new = settle(small.where("a > b").distinct())
-        same = new.join(edges, ["a", "b"], "left_anti").limit(1).count() == 0 and edges.join(new, ["a", "b"], "left_anti").limit(1).count() == 0
-        edges = new
-        if same:
+        edges = settle(small.where("a > b").distinct())
+        mark, last = _mark(edges), mark
+        if mark == last:
             break
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def resolve(buckets: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Components (id, root) of the classes that share buckets (bucket, id), all links inside buckets compared.
+def star_pairs(keyed: DataFrame, threshold: int) -> DataFrame:
+    """Distinct pairs (hub, other) of keyed rows (key, id, n): all members of a key with its hub, if their sizes allow a link."""
+    sizes = settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    members = keyed.join(sizes, "key")
+    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
+    members = settle_table(members.select("key", "id", "n").join(degree, "id"), "minhash-members")
+    best = F.max(F.struct("degree", F.xxhash64("id").alias("tie"), "id", "n")).alias("best")
+    hubs = settle(members.groupBy("key").agg(best).select("key", F.col("best.id").alias("hub"), F.col("best.n").alias("hub_n")))
+    close = F.least("hub_n", "n") * 100 >= F.greatest("hub_n", "n") * threshold
+    pairs = members.join(hubs, "key").where((F.col("id") != F.col("hub")) & close)
+    return pairs.select("hub", F.col("id").alias("other")).distinct()
+
 
-    Each round drops the buckets whose members lie in one component, takes hubs of the others (the member of the greatest
-    degree of each slot of a bucket) and compares them with every member of another component; then they are closed in that
-    bucket. One slot in the first round, four times as many in each later one; after the first round, a bucket of at most
-    SMALL open members has a slot for each of them. A pair is left uncompared only if its members are in one component
-    already, which a further link would not change. Buckets are never gathered: hubs come from partial aggregates.
+def remaining(buckets: DataFrame, roots: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between members of different components in a bucket (band, bucket, id, n), compared exactly in blocks.
+
+    A block meets BLOCK members outside the bucket's largest component with BLOCK members of the bucket: rows grow with members
+    times blocks. A pair that shares several buckets is compared in the first of them.
     """
-    sizes = settle(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    members = buckets.join(sizes, "bucket")
-    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
-    members = settle_table(members.select("bucket", "id").join(degree, "id"), "minhash-members")
-    roots, slots = None, 1
-    while True:
-        named = members.withColumn("root", F.col("id"))
-        if roots is not None:
-            named = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        stats = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("open"), F.min("root").alias("low"), F.max("root").alias("high"))
-        stats = settle(stats.where("low != high").select("bucket", "open"))
-        named = settle_table(named.join(stats, "bucket"), "minhash-round")
-        slot = F.pmod(F.xxhash64("id", F.lit("slot")), F.lit(slots))
-        if slots > 1:
-            slot = F.when(F.col("open") <= SMALL, F.xxhash64("id")).otherwise(slot)
-        best = F.max(F.struct("degree", F.xxhash64("id").alias("tie"), "id", "root")).alias("best")
-        hubs = settle(named.groupBy("bucket", slot.alias("slot")).agg(best).select("bucket", F.col("best.id").alias("hub"), F.col("best.root").alias("hub_root")))
-        pairs = named.join(hubs, "bucket").where("root != hub_root").select("hub", F.col("id").alias("other")).distinct()
-        pairs = settle_table(pairs, "minhash-candidates")
-        if pairs.isEmpty():
-            break
-        found = linked(pairs, sets, threshold).select(F.col("hub").alias("a"), F.col("other").alias("b"))
-        if roots is not None:
-            found = found.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        roots = settle(components(found))
-        # A hub has met all members of other components: it is closed in its bucket.
-        closed = hubs.select("bucket", F.col("hub").alias("id"))
-        members = settle_table(named.join(closed, ["bucket", "id"], "left_anti").select("bucket", "id", "degree"), "minhash-open")
-        slots *= 4
-    return roots if roots is not None else buckets.select("id", F.col("id").alias("root")).limit(0)
+    named = buckets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = F.max(F.struct("c", "root")).alias("largest")
+    stats = sizes.groupBy("bucket").agg(F.sum("c").alias("all"), largest, F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    stats = stats.select("bucket", F.col("largest.root").alias("main"), F.ceil(F.col("all") / BLOCK).alias("cols"), F.ceil((F.col("all") - F.col("largest.c")) / BLOCK).alias("rows"))
+    open_ = settle_table(named.join(settle(stats), "bucket"), "minhash-open")
+    spread = lambda n, mark: F.pmod(F.xxhash64("id", F.lit(mark)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    place = ["bucket", "row", "col"]
+    few = open_.where("root <> main").withColumn("row", spread(F.col("rows"), "row")).withColumn("col", every(F.col("cols")))
+    many = open_.withColumn("col", spread(F.col("cols"), "col")).withColumn("row", every(F.col("rows")))
+    columns = [*place, "id", "root", "main", "bands", "packed"]
+    few, many = (x.select(*place, "id", "root", "main").join(sets.select("id", "bands", "packed"), "id").select(*columns) for x in (few, many))
+    kind = sets.schema["id"].dataType.simpleString()
+    # The sides come from the same rows: other names keep their columns apart.
+    few, many = (x.toDF(*(f"{side}_{c}" for c in columns)) for x, side in ((few, "few"), (many, "many")))
+    sides = [x.groupBy(*x.columns[: len(place)]) for x in (few, many)]
+    return sides[0].cogroup(sides[1]).applyInArrow(_compare_blocks(threshold, columns), f"a {kind}, b {kind}")
+
+
+def _compare_blocks(threshold: int, columns: list[str]):
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.rename_columns(columns), right.rename_columns(columns)
+        found: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            bucket = left["bucket"][0].as_py()
+            ids, roots = right["id"].to_pylist(), np.array(right["root"].to_pylist())
+            bands = np.array(right["bands"].to_pylist(), np.int64)
+            sets = [_unpack(x) for x in right["packed"].to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            flat_sets, ends = np.concatenate(sets), np.cumsum(sizes)
+            order = np.arange(len(flat_sets))
+            linked_roots: set[tuple] = set()
+            for id_, root, main, own_bands, raw in zip(*(left[c].to_pylist() for c in ("id", "root", "main", "bands", "packed")), strict=True):
+                one = _unpack(raw)
+                shared = bands == np.array(own_bands, np.int64)
+                first = shared.argmax(1)
+                here = bands[np.arange(len(ids)), first] == bucket
+                close = np.minimum(sizes, len(one)) * 100 >= np.maximum(sizes, len(one)) * threshold
+                # Both members outside the main component: one direction is enough.
+                once = (roots == main) | np.array([i > id_ for i in ids])
+                chosen = np.flatnonzero(here & close & once & (roots != root))
+                chosen = np.array([c for c in chosen if (root, roots[c]) not in linked_roots], np.int64)
+                if not len(chosen):
+                    continue
+                parts = np.concatenate([order[ends[c] - sizes[c] : ends[c]] for c in chosen])
+                heads = np.concatenate([[0], np.cumsum(sizes[chosen])[:-1]])
+                common = _intersections(one, flat_sets[parts], heads)
+                for c in chosen[100 * common >= threshold * (len(one) + sizes[chosen] - common)]:
+                    if (root, roots[c]) not in linked_roots:
+                        linked_roots.add((root, roots[c]))
+                        found.append((id_, ids[c]))
+        kind = left.schema.field("id").type
+        return pa.table({"a": pa.array([f[0] for f in found], kind), "b": pa.array([f[1] for f in found], kind)})
+
+    return compare
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = 80,
@@ -250,13 +297,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = parts.withColumn("rep", F.min("least").over(Window.partitionBy(*key))).drop("least")
     member = settle_table(light.join(parts, salted).select("id", "n", "rep"), "minhash-classes")
     reps = member.where("id = rep").select("id", "n").distinct()
-    keys = some.join(reps.select("id"), "id", "left_semi").select("id", F.explode("bands").alias("bucket")).distinct()
-    counted = settle(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket"))
-    buckets = settle_table(keys.join(counted, "bucket"), "minhash-buckets")
+    own = some.join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    keys = own.select("id", "n", F.explode("bands").alias("key"))
+    counted = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
+    buckets = settle_table(keys.join(counted, "key"), "minhash-buckets")
     candidates = buckets.select("id").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(candidates, "id", "left_semi")
-    sets = settle_table(packed_sets(texts, size), "minhash-sets").dropDuplicates(["id"])
-    roots = resolve(buckets, sets, threshold)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(candidates, "id", "left_semi").dropDuplicates(["id"])
+    sets = settle_table(packed_sets(texts, size), "minhash-sets")
+    # Two neighbouring bands together: members that share both are closer to each other than to most of the bucket.
+    after = F.element_at("bands", F.pmod(F.col("place") + 1, F.size("bands")) + 1)
+    pairs_of_bands = own.join(candidates, "id", "left_semi").select("id", "n", "bands", F.posexplode("bands").alias("place", "band"))
+    doubled = pairs_of_bands.select(F.xxhash64("band", after).alias("key"), "id", "n")
+    pairs = settle_table(star_pairs(buckets.select("key", "id", "n").union(doubled.select("key", "id", "n")), threshold), "minhash-pairs")
+    found = settle(linked(pairs, sets, threshold).select(F.col("hub").alias("a"), F.col("other").alias("b")))
+    roots = components(found)
+    both = sets.join(own.select("id", "bands"), "id")
+    more = settle(remaining(buckets.select(F.col("key").alias("bucket"), "id", "n"), roots, both, threshold))
+    if not more.isEmpty():
+        roots = components(more.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     named = reps.select(F.col("id").alias("rep")).join(roots.select(F.col("id").alias("rep"), "root"), "rep").select("rep", "root")
     # A representative leads its class; only classes of several rows are hot here, so answers go by (rep, salt) again.
     member = member.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
