@@ -29,8 +29,8 @@ from .common import pages, scratch, settle_table, shuffle_partitions
 
 #: An empty gzip member, which parts the members of records.
 _EMPTY = bytes.fromhex("1f8b08000000000000030300") + bytes(8)
-#: Records of one archive file at most: bounds what one task holds.
-RECORDS = 20_000
+#: Compression of a record; records of one archive file at most: that bounds what one task holds.
+LEVEL, RECORDS = 5, 20_000
 #: The archives of a run have one date, so that reruns write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,7 +43,7 @@ def payload_digest(payload: bytes) -> str:
 def record(headers: dict[str, str], block: bytes) -> bytes:
     """One WARC record as a gzip member."""
     lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in headers.items()), f"Content-Length: {len(block)}", "", ""]
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + packer.flush()
 
 
