@@ -18,6 +18,7 @@ from .operators import graph, layers, lifecycle, retrieval
 from .providers import Encoder, HashEncoder, LanguageModel, OfflineModel
 from .schema import SCHEMAS
 from .sources import readers
+from .sources.builtin import builtin_capabilities
 from .sources.store import Store
 
 
@@ -35,7 +36,7 @@ class Memory:
         self.encoder, self.model = encoder or HashEncoder(), model or OfflineModel()
         self.active: list[int] = []
         self.last_dream = 0
-        self.builtin = builtin if builtin is not None else spark.createDataFrame([], SCHEMAS["capability"])
+        self.builtin = builtin if builtin is not None else builtin_capabilities(spark)
 
     # Helpers
 

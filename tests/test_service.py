@@ -91,7 +91,12 @@ def test_capabilities_and_trajectories(spark, tmp_path):
     memory = Memory(spark, f"file://{tmp_path}/db", model=model)
     path = f"file://{tmp_path}/cards"
     assert memory.capability_import(path) == 1 and memory.capability_import(path) == 0
-    id_ = shown(memory.capability_list()).first()["id"]
+    assert memory.capability_list().count() == 14
+    id_ = shown(memory.capability_list(status=0)).first()["id"]
+    built_in = shown(memory.capability_list(keyword="consolidate")).first()
+    assert memory.capability_get(built_in["id"])["origin"] == "builtin"
+    with pytest.raises(errors.MemoryError_):
+        memory.capability_delete(built_in["id"])
     memory.capability_activate(id_)
     memory.capability_usage(id_, True)
     memory.capability_usage(id_, False)
