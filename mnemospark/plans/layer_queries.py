@@ -492,6 +492,61 @@ def usage_windows(spark, sf):
     return found.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
+def payload_cut(spark, sf):
+    """Texts cut to 50 bytes at a character."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.first_bytes(F.coalesce("text", F.lit("")), 50)).alias("cut_md5"))
+
+
+def edit_distances(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.levenshtein(F.col("p_name"), F.lit("green anvil")).alias("distance"))
+
+
+def reverse_index(spark, sf):
+    """Scene to topics: how many, and which, as a sum."""
+    found = C.scene_members(_topics(spark, sf))
+    return found.select("scene_id", F.size("topic_ids").alias("n"), F.expr("aggregate(topic_ids, 0L, (a, x) -> a + x)").alias("id_sum"))
+
+
+def delete_graph(spark, sf):
+    """Nodes that stay when the graphs of one brand are deleted with all they hold."""
+    gone = _parts(spark, sf).where("graph_id = 'Brand#11'").select("id")
+    live = _parts(spark, sf)
+    return live.join(ST.tombstones(live, gone), "id", "left_anti").groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def delete_session(spark, sf):
+    """Events that stay when some sessions are deleted."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"))
+    return e.join(ST.tombstones(e, e.where("session_id % 5 = 0").select("id")), "id", "left_anti").groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+def flexible_ids(spark, sf):
+    ids = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise(F.lpad(F.lower(F.hex("o_orderkey")), 16, "a")).alias("text"))
+    return ids.where("o_orderkey % 2 = 0 or length(text) = 16").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, S.flexible_id(F.col("text"))).otherwise(F.lit(-1)).alias("id"))
+
+
+def nodes_by_exact_keyword(spark, sf):
+    return _parts(spark, sf).where(F.array_contains("keywords", "anvil")).select("id", "graph_id")
+
+
+def active_capabilities(spark, sf):
+    return _capabilities(spark, sf).where("status = 1").select("id", S.enum_name(F.col("status"), CAPABILITY_STATUS, "Status").alias("status"))
+
+
+def keyword_unions(spark, sf):
+    """Old and new keywords in one, in order, without repeats; and old references without removed ones."""
+    parts = table(spark, sf, "part")
+    old, new = F.split("p_name", " "), F.array("p_brand", F.split("p_name", " ")[0])
+    return parts.select("p_partkey", F.array_join(F.array_union(old, new), "|").alias("merged"), F.array_join(F.array_except(old, new), "|").alias("rest"))
+
+
+def message_counts(spark, sf):
+    """Messages by role name and conversation length: a grouped view of the archive."""
+    a = _archive(spark, sf)
+    role = S.enum_name(F.col("role"), {0: "user", 1: "agent", 2: "system"}, "Role")
+    return a.groupBy(role.alias("role")).agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
+
+
 _L1 = ctes("v_l1") + ", nd as (select id, scene_id, importance, valence, arousal, epoch_us(updated_at) // 1000 as updated_at from v_l1)"
 _T = ctes("v_topic")
 _TK = r"""regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce({}, ''), '([\p{{Ll}}\p{{Nd}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')), '[\p{{L}}\p{{Nd}}]+')"""
@@ -592,5 +647,15 @@ QUERIES = {
     "hex_ids": (hex_ids, "select o_orderkey, lpad(lower(to_hex(o_orderkey * 1000003)), 16, '0') as hex, o_orderkey * 1000003 as back from orders"),
     "keyword_cleaning": (keyword_cleaning, "select p_partkey, case when contains(p_name, '#') then trim(split_part(p_name, '#', 1)) || '|' || trim(split_part(p_name, '#', 2)) else trim(p_name) end as keywords from part"),
     "json_replies": (json_replies, "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events"),
+    "payload_cut": (payload_cut, "select doc_id, md5(substring(t, 1, list_max(list_filter(range(0, 51), lambda i: octet_length(encode(substring(t, 1, i))) <= 50)))) as cut_md5 from (select doc_id, coalesce(text, '') as t from documents) x"),
+    "edit_distances": (edit_distances, "select p_partkey, levenshtein(p_name, 'green anvil') as distance from part"),
+    "reverse_index": (reverse_index, _T + "select scene_id, count(*) as n, sum(id)::bigint as id_sum from v_topic where depth <= 2 group by 1"),
+    "delete_graph": (delete_graph, ctes("v_node") + "select graph_id, count(*) as nodes from v_node where graph_id <> 'Brand#11' group by 1"),
+    "delete_session": (delete_session, "select user_id as session_id, count(*) as events from events where user_id % 5 <> 0 group by 1"),
+    "flexible_ids": (flexible_ids, "select o_orderkey, case when o_orderkey % 2 = 0 then o_orderkey else -1 end as id from orders"),
+    "nodes_by_exact_keyword": (nodes_by_exact_keyword, ctes("v_node") + "select id, graph_id from v_node where list_contains(string_split(title, ' '), 'anvil')"),
+    "active_capabilities": (active_capabilities, f"with {_CAP} select id, 'active' as status from cap where status = 1"),
+    "keyword_unions": (keyword_unions, "select p_partkey, p_name_m || '|' || p_brand as merged, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> string_split(p_name, ' ')[1]), '|') as rest from (select *, replace(p_name, ' ', '|') as p_name_m from part) x"),
+    "message_counts": (message_counts, ctes("v_archive") + "select case role when 0 then 'user' when 1 then 'agent' else 'system' end as role, count(*) as n, min(created_at) as first_at, max(created_at) as last_at from v_archive group by 1"),
     "usage_windows": (usage_windows, "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) as n, round(sum(value), 4) as value from events group by 1, 2"),
 }

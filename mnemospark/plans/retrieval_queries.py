@@ -124,6 +124,14 @@ def scene_retrieval(spark, sf):
     return found.select("scene_id", F.round("score", 5).alias("score"))
 
 
+def scene_retrieval_by_reference(spark, sf):
+    """The same among topics that refer to one graph: the fuzzy channel still ranks every document."""
+    docs = _docs(spark, sf)
+    topics = _topics(docs).withColumn("l3_refs", F.array(F.col("id") % 4))
+    found = R.retrieve(topics, docs.select("id", "tokens"), _vectors(spark, sf).select("id", "vector"), QUERY, FUZZY, KEYWORDS, None, ACTIVE, l3_id=1)
+    return found.select("scene_id", F.round("score", 5).alias("score"))
+
+
 def retrieve_scene(spark, sf):
     """The winning scene."""
     return R.winner(scene_retrieval(spark, sf))
@@ -170,6 +178,16 @@ re as (select arg_max(scene_id, user_ts) as recent from el),
 fin as (select scene_id, round(score + case when scene_id in (3, 5) then 0.2 when scene_id = recent then 0.1 else 0 end, 5) as score from bo, re)
 """
 
+_BY_REF = f"""with {BM25}, {FUZ}, {TOPICS},
+el as (select * from tp where depth <= 2 and id % 4 = 1),
+ch as (select 1 as c, id, score from bm where id in (select id from el) union all select 2, id, score from fz),
+rk as (select id, 1.0 / (60 + row_number() over (partition by c order by score desc, id)) as part from ch),
+rrf as (select id, sum(part) as rrf from rk group by id),
+kw as (select ['the', 'and', 'que', 'von', 'reou'] as q),
+sc as (select scene_id, sum(rrf + len(list_intersect(list_distinct(keywords), q))::double / 5) as score from rrf join el using (id), kw group by scene_id),
+re as (select arg_max(scene_id, user_ts) as recent from el)
+select scene_id, round(score + case when scene_id in (3, 5) then 0.2 when scene_id = recent then 0.1 else 0 end, 5) as score from sc, re"""
+
 QUERIES = {
     "tokenise": (tokenise, f"with {TOK} select id as doc_id, len(toks) as n_words, md5(array_to_string(toks, ' ')) as words_md5,"
                            f" len(list_filter(toks, lambda w: w not in ({_STOP}))) as n_tokens from tok"),
@@ -189,6 +207,7 @@ QUERIES = {
                    " select id, round(sum(part), 8) as rrf from rk group by id"),
     "keyword_overlap": (keyword_overlap, f"with {TOK}, {TOPICS} select id, round(len(list_intersect(list_distinct(keywords), ['the', 'and', 'que', 'von', 'reou']))::double / 5, 6) as overlap from tp"),
     "scene_retrieval": (scene_retrieval, _SCENES + "select scene_id, score from fin"),
+    "scene_retrieval_by_reference": (scene_retrieval_by_reference, _BY_REF),
     "retrieve_scene": (retrieve_scene, _SCENES + "select scene_id, score from fin where score > 1 order by score desc, scene_id limit 1"),
     "latest_scene": (latest_scene, f"with {TOK}, {TOPICS} select arg_max(scene_id, user_ts) as scene_id from tp where depth <= 2"),
     "entity_hit": (entity_hit, f"with {_HIT} select item_id, hit from hit"),
