@@ -32,7 +32,7 @@ from .bytesops import flat, mix, pieces, words
 from .common import documents, settle_table, shuffle_partitions
 
 #: Bytes of text of a chunk, salts of a context, pseudo-counts of the prior.
-CHUNK, SALTS, MASS = 16 << 20, 8, 8.0
+CHUNK, SALTS, MASS = 8 << 20, 8, 8.0
 #: Quantised log10: steps from 0 down to -FLOOR.
 FLOOR, STEPS = 12.0, 65_534
 _END = np.uint64(0xE4D0E4D0E4D0E4D1)
