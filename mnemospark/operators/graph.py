@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import INVALID_QUERY, NOT_FOUND, MemoryError_
+from ..sources.shared import settle
 
 
 def members(edges: DataFrame) -> DataFrame:
@@ -28,29 +29,22 @@ def breadth_first(member: DataFrame, start: DataFrame, depth: int, kinds: list[i
     if kinds:
         member = member.where(F.col("kind").isin(*kinds))
     member = member.select("edge_id", "node_id")
-    visited = frontier = _settle(start.select("node_id", F.lit(0).alias("depth")).distinct())
+    visited = frontier = settle(start.select("node_id", F.lit(0).alias("depth")).distinct())
     used = None
     for hop in range(1, max(depth, 1) + 1):
         touched = member.join(frontier.select("node_id"), "node_id", "left_semi").select("edge_id").distinct()
         if used is not None:  # an edge's nodes are all visited once it was used
             touched = touched.join(used, "edge_id", "left_anti")
-        touched = _settle(touched)
+        touched = settle(touched)
         reached = member.join(touched, "edge_id", "left_semi").select("node_id").distinct()
-        frontier = _settle(reached.join(visited, "node_id", "left_anti").select("node_id", F.lit(hop).alias("depth")))
+        frontier = settle(reached.join(visited, "node_id", "left_anti").select("node_id", F.lit(hop).alias("depth")))
         if frontier.isEmpty():
             break
-        visited = _settle(visited.union(frontier))
-        used = touched if used is None else _settle(used.union(touched))
+        visited = settle(visited.union(frontier))
+        used = touched if used is None else settle(used.union(touched))
     return visited
 
 
-def _settle(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder (one of our own where none is set)."""
-    from ..sources.shared import settle
-
-    return settle(frame)
-
-
 def induced_edges(edges: DataFrame, visited: DataFrame, kinds: list[int] | None = None) -> DataFrame:
     """Edges all of whose nodes are visited; an edge without nodes counts as such."""
     if kinds:

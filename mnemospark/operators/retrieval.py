@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Defaults
 from ..functions.scalars import cosine
 from ..functions.text import keyword_overlap
+from ..sources.shared import settle
 
 DEFAULTS = Defaults()
 
@@ -146,8 +147,8 @@ def ranked(channel: DataFrame, buckets: int = 64) -> DataFrame:
 
 
 def fuse(channels: list[DataFrame], k: float = DEFAULTS.rrf_k) -> DataFrame:
-    """id, rrf: reciprocal ranks summed over channels."""
-    parts = [ranked(c).select("id", (1.0 / (k + F.col("rank"))).alias("part")) for c in channels]
+    """id, rrf: reciprocal ranks summed over channels. Each channel's scores are fixed once: ranking reads them three times."""
+    parts = [ranked(settle(c)).select("id", (1.0 / (k + F.col("rank"))).alias("part")) for c in channels]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.union(p)

@@ -19,6 +19,7 @@ from .providers import Encoder, HashEncoder, LanguageModel, OfflineModel
 from .schema import SCHEMAS
 from .sources import readers
 from .sources.builtin import builtin_capabilities
+from .sources.shared import settle
 from .sources.store import Store
 
 
@@ -141,8 +142,8 @@ class Memory:
         edges = self.store.table("scene_edge")
         live_edges = lifecycle.decay_edges(edges, gone.select(F.col("id").alias("node_id")), now, self.config)
         # Both results are fixed before anything is written.
-        kept, gone, live_edges = (graph._settle(x) for x in (kept, gone, live_edges))
-        dead = graph._settle(edges.select("id").join(live_edges.select("id"), "id", "left_anti"))
+        kept, gone, live_edges = (settle(x) for x in (kept, gone, live_edges))
+        dead = settle(edges.select("id").join(live_edges.select("id"), "id", "left_anti"))
         self.store.append("scene_node", kept)
         self.store.delete("scene_node", gone)
         self.store.append("scene_edge", live_edges)
@@ -164,13 +165,13 @@ class Memory:
         frame = self.spark.createDataFrame(given, "group_id int, scene_id bigint, node_ids array<bigint>, summary string")
         topics = self.store.table("topic")
         fused = lifecycle.fused_topics(lifecycle.group_spans(frame, topics.where("depth = 1").drop("scene_id")))
-        fused = graph._settle(fused.join(frame.select("group_id", "summary"), "group_id"))
+        fused = settle(fused.join(frame.select("group_id", "summary"), "group_id"))
         archive = fused.select(hash_id(F.col("id"), ":", F.lit(now), ":", F.col("summary")).alias("archive_id"), "id", "summary")
         self.store.append("archive", archive.select(
             F.col("archive_id").alias("id"), F.lit(0).alias("content_type"), F.lit(3).alias("role"), F.col("id").alias("context_id"),
             F.lit(now).alias("created_at"), F.col("summary").alias("content")))
-        sunk = graph._settle(lifecycle.sink_children(topics, fused))
-        gone = graph._settle(topics.select("id").join(sunk.select("id"), "id", "left_anti"))
+        sunk = settle(lifecycle.sink_children(topics, fused))
+        gone = settle(topics.select("id").join(sunk.select("id"), "id", "left_anti"))
         new = fused.withColumn("fused_keywords", tokens(F.col("summary"))).join(archive.select("id", F.array("archive_id").alias("l4_refs")), "id")
         self.store.append("topic", sunk)
         self.store.append("topic", new)
@@ -221,7 +222,7 @@ class Memory:
     def scene_merge(self, primary: str, secondary: list[str]) -> None:
         first, others = parse_id(primary), [parse_id(s) for s in secondary]
         topics = self.store.table("topic")
-        moved = graph._settle(layers.merge_scenes(topics, first, others).join(topics.where(F.col("scene_id").isin(*others)).select("id"), "id", "left_semi"))
+        moved = settle(layers.merge_scenes(topics, first, others).join(topics.where(F.col("scene_id").isin(*others)).select("id"), "id", "left_semi"))
         self.store.append("topic", moved)
         self.store.delete("scene", self.spark.createDataFrame([(s,) for s in others], "id bigint"))
         self.active = [s for s in self.active if s not in others]
@@ -241,9 +242,9 @@ class Memory:
         frame = self.spark.createDataFrame(rows, "seq int, title string, domain string, node_type string, content string, keywords array<string>")
         now = _now()
         after = layers.import_nodes(self.store.table("graph_node"), frame, mode, now)
-        touched = graph._settle(after.where("touched").drop("touched").withColumn("updated_at", F.lit(now)))
+        touched = settle(after.where("touched").drop("touched").withColumn("updated_at", F.lit(now)))
         graphs = frame.where(F.trim("title") != "").select(hash_id("graph:", F.col("domain")).alias("id"), F.col("domain").alias("name")).distinct()
-        fresh = graph._settle(graphs.join(self.store.table("graph").select("id"), "id", "left_anti").withColumn("created_at", F.lit(now)))
+        fresh = settle(graphs.join(self.store.table("graph").select("id"), "id", "left_anti").withColumn("created_at", F.lit(now)))
         self.store.append("graph", fresh)
         self.store.append("graph_node", touched)
         return touched.count()
@@ -297,7 +298,7 @@ class Memory:
                                                           "success_rate": F.lit(0.0), "trigger_count": F.lit(0)})
         shaped = rows.select(*self._capabilities().columns)
         merged = layers.upsert_capabilities(self._capabilities(), shaped).join(shaped.select("id"), "id", "left_semi")
-        merged = graph._settle(merged)
+        merged = settle(merged)
         self.store.append("capability", merged)
         return merged.count()
 
@@ -350,7 +351,7 @@ class Memory:
             payload = e.get("payload", "").encode()[:limit].decode("utf-8", "ignore")
             rows.append((i, parse_id(session_id), e["event_type"], payload, e.get("timestamp") or _now()))
         frame = self.spark.createDataFrame(rows, "pos int, session_id bigint, event_type string, payload string, timestamp bigint")
-        numbered = graph._settle(layers.next_sequence(self.store.table("trajectory"), frame))
+        numbered = settle(layers.next_sequence(self.store.table("trajectory"), frame))
         self.store.append("trajectory", numbered)
         return numbered.count()
 
@@ -376,13 +377,13 @@ class Memory:
         extra = self.spark.createDataFrame([(p.get("name"), p.get("action"), parse_id(p["reuse_id"]) if p.get("reuse_id") else None, i) for i, p in enumerate(proposed)],
                                            "name string, action string, reuse_id bigint, seq int")
         checked = layers.capability_errors(cards.drop("id")).join(extra, "name")
-        decided = graph._settle(checked.join(layers.crystallize(checked.select("seq", "name", "action", "reuse_id", "error"), self._capabilities()).drop("name"), "seq"))
+        decided = settle(checked.join(layers.crystallize(checked.select("seq", "name", "action", "reuse_id", "error"), self._capabilities()).drop("name"), "seq"))
         names = self._capabilities().select(F.col("id").alias("target"), F.col("name").alias("known"))
         changed = decided.where("disposition in ('create', 'merge')").join(names, "target", "left")
         # A merge keeps the existing record's name, and so its identity.
         changed = changed.withColumn("name", F.coalesce("known", "name")).withColumnRenamed("target", "id").select(*self._capabilities().columns)
         merged = layers.upsert_capabilities(self._capabilities(), changed).join(changed.select("id"), "id", "left_semi")
-        self.store.append("capability", graph._settle(merged))
+        self.store.append("capability", settle(merged))
         for row in decided.select("disposition", "target", "name", "error").collect():  # as many as the model proposed
             if row["disposition"] == "error":
                 result["errors"].append(f"{row['name']}: {row['error']}")
