@@ -19,8 +19,6 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
-
 import ahocorasick
 import numpy as np
 import pyarrow as pa

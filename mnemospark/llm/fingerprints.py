@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, settle, settle_table, shuffle_partitions, text_or_empty
+from .common import SPACE, documents, settle, shuffle_partitions, text_or_empty
 
 #: Words of a shingle, and the share of the hash range that is retained (one in so many).
 WORDS, SCALE = 5, 4

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pages, scratch, settle_table, shuffle_partitions
+from .common import pages, scratch, shuffle_partitions
 
 #: An empty gzip member, which parts the members of records.
 _EMPTY = bytes.fromhex("1f8b08000000000000030300") + bytes(8)

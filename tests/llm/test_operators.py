@@ -163,7 +163,7 @@ def test_language_model(hard, empty):
         assert (r["train"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (train, tokens, known, all_)
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(whole, abs=2e-4 * tokens)
     assert lm_score.score(empty, F.lit(True)).count() == 0
-    assert {r["score"] for r in table(lm_score.score(hard.limit(2), F.lit(False)))} == {0.0} or True
+    assert {r["score"] for r in table(lm_score.score(hard.limit(2), F.lit(False)))} == {0.0}
 
 
 # 6
@@ -267,12 +267,12 @@ def test_language(spark, sf_dir, hard, empty):
 
 def test_kneser_ney_sums_to_one():
     model = language_id.Identifier([("x", "abracadabra alakazam"), ("y", "zzz yyy")])
-    codes = np.arange(1, len(np.flatnonzero(model.codes)) + 1, dtype=np.uint64)
+    codes = np.arange(len(np.flatnonzero(model.codes)) + 1, dtype=np.uint64)
     for context in (0, 1, 5):
         c = np.uint64(context)
         grams = (c << np.uint64(48)) | (c << np.uint64(32)) | (c << np.uint64(16)) | codes
         for m in model.models:
-            assert np.exp(m.log_probability(grams)).sum() + m.uniform * 0 <= 1 + 1e-5
+            assert np.exp(m.log_probability(grams)).sum() == pytest.approx(1, abs=1e-4)
 
 
 # 9
