@@ -15,7 +15,6 @@ from ..sources import store as ST
 from .fixtures import ctes, table, view
 
 NOW_MS = 1_706_745_600_000  # 2024-02-01 00:00:00
-NOW = F.lit
 _MS = "cast(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {}) div 1000 as bigint)"
 D = Defaults()
 
@@ -58,10 +57,6 @@ def _edges(spark, sf):
 # Store
 
 
-def _log(spark, sf):
-    return view(spark, sf, "v_log").withColumn("commit", F.col("seq") % 3)
-
-
 def current_state(spark, sf):
     return ST.current(view(spark, sf, "v_log"), order=("seq",)).select("id", "seq", "payload")
 
