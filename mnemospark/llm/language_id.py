@@ -34,7 +34,7 @@ SAMPLE, SAMPLE_BYTES = 600, 100_000
 #: One in so many of the sample's rows calibrates.
 CALIBRATES = 5
 #: Letters below which cross-entropy alone does not reject.
-LEAST_LETTERS = 50
+LEAST_LETTERS = 100
 #: Code points of a piece that is scored at once.
 PIECE = 2 << 20
 UND = "und"
@@ -156,8 +156,8 @@ class Identifier:
             self.temperature = min(sharp, key=lambda t: self._loss(mean, n, spoken[use], t))
             for i in range(len(self.languages)):
                 own = -mean[(spoken[use] == i) & (n >= LEAST_LETTERS), i]
-                if len(own):  # half of the way from the worst seen to a uniform guess
-                    self.limits[i] = (own.max() + max(own.max(), np.log(len(used) + 1))) / 2
+                if len(own):  # three quarters of the way from the worst seen to a uniform guess
+                    self.limits[i] = own.max() + 0.75 * max(0.0, np.log(len(used) + 1) - own.max())
 
     def pack(self, points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         codes = self.codes[points].astype(np.uint64)
