@@ -31,15 +31,16 @@ def _segments(word: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case tokens of a text: camel case and underscores part words, Han runs become pairs. Null: no tokens."""
-    spaced = F.regexp_replace(pre_split(F.coalesce(text, F.lit(""))), r"(\p{IsHan}+)", " $1 ")
-    found = F.regexp_extract_all(F.lower(spaced), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
-    return F.flatten(F.transform(found, _segments))
+    split = pre_split(F.coalesce(text, F.lit("")))
+    pattern, whole = F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)
+    han = F.regexp_extract_all(F.lower(F.regexp_replace(split, r"(\p{IsHan}+)", " $1 ")), pattern, whole)
+    plain = F.regexp_extract_all(F.lower(split), pattern, whole)
+    return F.when(text.rlike(r"\p{IsHan}"), F.flatten(F.transform(han, _segments))).otherwise(plain)
 
 
 def tokens(text: Column) -> Column:
     """words() without stop words; repeats stay."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words(text), lambda w: ~F.array_contains(stop, w))
+    return F.filter(words(text), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def with_bigrams(tokens_: Column) -> Column:

@@ -64,20 +64,29 @@ def bm25(docs: DataFrame, query: list[str], tokens: str = "tokens", candidates:
     if not terms:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
     names = list(terms)
-    tfs = [F.size(F.filter(tokens, _is(q))).alias(f"tf{i}") for i, q in enumerate(names)]
+    columns = ["dl", *(f"tf{i}" for i in range(len(names)))]
+
+    def counts(found: Column) -> Column:
+        # No field is nullable: else a filter for null counts would make the tokens once more.
+        sizes = [F.size(found), *(F.size(F.filter(found, _is(q))) for q in names)]
+        return F.struct(*(F.coalesce(n, F.lit(0)).alias(c) for n, c in zip(sizes, columns, strict=True)))
+
+    # The lambda binds a row's tokens to a name: they are made once, however many terms are counted.
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
     keep = F.lit(True) if candidates is None else candidates
-    counted = docs.select("id", keep.alias("keep"), F.size(tokens).alias("dl"), *tfs)
+    none = F.struct(*(F.lit(0).alias(c) for c in columns))
+    counted = docs.select("id", keep.alias("keep"), F.coalesce(F.element_at(F.transform(F.array(tokens), counts), 1), none).alias("c"))
     stats = counted.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(names)))
+        F.count(F.lit(1)).alias("n"), F.avg("c.dl").alias("avgdl"), *(F.count_if(F.col(f"c.tf{i}") > 0).alias(f"df{i}") for i in range(len(names)))
     )
     parts = [
-        F.lit(float(terms[q])) * idf(F.col("n"), F.col(f"df{i}")) * _saturation(F.col(f"tf{i}"), F.col("dl"), F.col("avgdl"), k1, b)
+        F.lit(float(terms[q])) * idf(F.col("n"), F.col(f"df{i}")) * _saturation(F.col(f"c.tf{i}"), F.col("c.dl"), F.col("avgdl"), k1, b)
         for i, q in enumerate(names)
     ]
+    # A term that occurs has a positive part. The filter needs the statistics, so that it is not evaluated twice below the join
+    # with their one row.
     score = sum(parts[1:], parts[0])
-    some = F.greatest(*(F.col(f"tf{i}") for i in range(len(names))), F.lit(0)) > 0
-    # One row of statistics joins every document: its size is that of the query.
-    return counted.where("keep").where(some).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
+    return counted.where("keep").crossJoin(F.broadcast(stats)).select("id", score.alias("score")).where("score > 0")
 
 
 def bm25_indexed(posted: DataFrame, lengths: DataFrame, query: list[str], k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
