@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from .common import documents
 
-#: Runs without white space whose encodings are remembered in a Python worker (and half as many words), and their longest length.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 64
+#: Runs without white space whose encodings are remembered in a Python worker (and a third as many words), and their longest length.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 64
 #: Code points of private use stand for the bytes, and for a word's last byte.
 _INNER, _LAST = 0xE000, 0xE100
 #: White space as the library has it; str.split() also splits at the four separators.
@@ -92,8 +92,9 @@ class Tokenizer:
                     self.shorter[i] = j
                     break
         self.automaton.make_automaton()
-        self._known: dict[str, tuple[str, bytes]] = {}
-        self._known_words: dict[str, list[int]] = {}
+        self._names = [str(i) for i in range(size)]
+        self._known: dict[str, bytes] = {}
+        self._known_words: dict[str, bytes] = {}
 
     def _compatible(self, first: int, second: int, limit: int) -> bool:
         """Whether merging would leave first and second side by side: no merge across the border comes before the last
@@ -161,37 +162,42 @@ class Tokenizer:
         text = text.replace("Σ", "σ").lower()
         return _SPACES.split(text) if _SEPARATORS.search(text) else text.split()
 
-    def _chunk(self, chunk: str) -> tuple[str, bytes]:
-        ids: list[int] = []
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of a run without white space, packed."""
+        parts: list[bytes] = []
         for word in self._words.findall(chunk):
             known = self._known_words.get(word)
             if known is None:
-                known = self.encode_word(word.encode())
+                known = np.array(self.encode_word(word.encode()), np.int32).tobytes()
                 if len(word) <= REMEMBERED_BYTES:
-                    if len(self._known_words) >= REMEMBERED // 2:
+                    if len(self._known_words) >= REMEMBERED // 3:
                         self._known_words.clear()
                     self._known_words[word] = known
-            ids += known
-        found = " ".join(map(str, ids)), np.array(ids, np.int32).tobytes()
+            parts.append(known)
+        found = b"".join(parts) if len(parts) != 1 else parts[0]
         if len(chunk) <= REMEMBERED_BYTES:
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
             self._known[chunk] = found
         return found
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, str]:
-        """The ids of a text, and the same in decimal, joined by spaces."""
-        found: list[tuple[str, bytes]] = []
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a text."""
+        found: list[bytes] = []
         at, text = 0, text or ""
         spans = [(m.start(), m.end()) for m in self._special.finditer(text)] if self._special else []
         for start, end in [*spans, (len(text), len(text))]:
             get, make = self._known.get, self._chunk
             found += [get(c) or make(c) for c in self.chunks(text[at:start] if spans else text)]
             if end > start:
-                i = self.special[text[start:end]]
-                found.append((str(i), np.array([i], np.int32).tobytes()))
+                found.append(np.array([self.special[text[start:end]]], np.int32).tobytes())
             at = end
-        return np.frombuffer(b"".join([f[1] for f in found]), np.int32), " ".join([f[0] for f in found if f[1]])
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def shown(self, ids: np.ndarray) -> str:
+        """Ids in decimal, joined by spaces."""
+        names = self._names
+        return " ".join([names[i] for i in ids.tolist()])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' strings joined by a space, gathered from the blob at once."""
@@ -244,9 +250,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
             columns = {n: batch.column(n) for n in names}
             made: list[list] = [[] for _ in new]
             for text in batch.column(text_col):
-                ids, shown = t.encode(text.as_py())
+                ids = t.encode(text.as_py())
                 if digests:
-                    row = (len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(t.decode(ids)).hexdigest())
+                    row = (len(ids), hashlib.sha256(t.shown(ids).encode()).hexdigest(), hashlib.sha256(t.decode(ids)).hexdigest())
                 else:
                     row = (ids, t.decode(ids).decode("utf-8", "replace"))
                 for column, value in zip(made, row, strict=False):
