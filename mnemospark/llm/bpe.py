@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from .common import documents
 
-#: Runs without white space whose encodings are remembered in a Python worker (a third as many words, as many pairs), and their longest length.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 64
+#: Runs without white space whose encodings are remembered in a Python worker (a third as many words, five times as many pairs), and their longest length.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 64
 #: Code points of private use stand for the bytes, and for a word's last byte.
 _INNER, _LAST = 0xE000, 0xE100
 #: White space as the library has it; str.split() also splits at the four separators.
@@ -124,7 +124,7 @@ class Tokenizer:
         key = first * self._size + second
         found = self._fits.get(key)
         if found is None:
-            if len(self._fits) >= REMEMBERED:
+            if len(self._fits) >= 5 * REMEMBERED:
                 self._fits.clear()
             found = self._fits[key] = self._compatible(first, second, 1 << 62)
         return found
