@@ -80,8 +80,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) ->
 def schedule(spark, targets: DataFrame, tokens: int, sources: int, block: int) -> DataFrame:
     """source, rank: the slots of the mix; slot of rank r plays tokens [r * block, (r + 1) * block) of the stream.
 
-    Golden-ratio points fill every interval to within O(log n) points, so that the margin leaves each source with all the
-    slots it needs; ranks past the need are cut.
+    Golden-ratio points fill every interval to within O(log n) points, and the margin is for that; it is shared by weight,
+    though, so that a source of a small share can still have too few points, or none. A source needs ceil(take / block)
+    slots: ranks past that are cut, and ranks that the points left out are added behind the last slot.
     """
     slots = tokens // block + 1
     slots += int(sources * (8 + 4 * math.log2(slots + 2)))
@@ -103,7 +104,15 @@ def schedule(spark, targets: DataFrame, tokens: int, sources: int, block: int) -
         "shift", F.sum("c").over(Window.partitionBy("source").orderBy("bucket")) - F.col("c")
     ).select(F.col("source").alias("s_"), F.col("bucket").alias("b_"), "shift")
     ranked = inner.join(shift, F.col("source").eqNullSafe(F.col("s_")) & (F.col("bucket") == F.col("b_")))
-    return ranked.select("source", "n", (F.col("inner") + F.col("shift")).alias("rank"), "take").where(F.col("rank") * block < F.col("take"))
+    ranked = ranked.select("source", "n", (F.col("inner") + F.col("shift")).alias("rank"), "take").where(F.col("rank") * block < F.col("take"))
+    had = counts.groupBy(F.col("source").alias("s_")).agg(F.sum("c").alias("had"))
+    short = targets.where("take > 0").join(had, F.col("source").eqNullSafe(F.col("s_")), "left")
+    short = short.select("source", "take", F.coalesce("had", F.lit(0)).alias("had"), F.floor((F.col("take") - 1) / block).alias("last"))
+    short = short.where("had <= last").withColumn("missing", F.col("last") - F.col("had") + 1)
+    by_name = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    short = short.withColumn("behind", slots + F.sum("missing").over(by_name) - F.col("missing"))
+    added = short.withColumn("rank", F.explode(F.sequence("had", "last")))
+    return ranked.unionByName(added.select("source", (F.col("behind") + F.col("rank") - F.col("had")).alias("n"), "rank", "take"))
 
 
 def streams(sized: DataFrame, total_docs: int) -> DataFrame:

@@ -212,6 +212,26 @@ def test_mixing(spark, hard, empty, clashing):
     assert mixing.mix(spark.createDataFrame([(1, " ", "a")], "doc_id long, text string, source string")).first()["taken"] == 0
 
 
+def test_mixing_small_shares(spark):
+    """Sources of a few words beside large ones meet their targets too, though the golden-ratio points may miss their spans."""
+    sizes = {"a": 5_000_000, "b": 3_000_000, "c": 2_000_000, "d": 60, "e": 300, None: 7} | {f"s{i:03d}": 2_000_000 // (i + 1) ** 2 + 1 for i in range(300)}
+    rows = [(s, n, 1) for s, n in sizes.items()]
+    totals = spark.createDataFrame(rows, "source string, source_size long, docs long")
+    plan = mixing.settle(mixing.source_targets(totals, (1, 2, 3), 3.0))
+    takes = {r["source"]: r["take"] for r in table(plan)}
+    block = 512
+    slots = table(mixing.schedule(spark, plan, sum(takes.values()), len(takes), block))
+    ranks = collections.defaultdict(list)
+    for r in sorted(slots, key=lambda r: r["n"]):
+        ranks[r["source"]].append(r["rank"])
+    assert len({r["n"] for r in slots}) == len(slots)
+    assert {s: v for s, v in ranks.items()} == {s: list(range(-(-t // block))) for s, t in takes.items() if t}
+    texts = [(i, "w " * (20_000 if i else 40), "big" if i % 2 else "large") for i in range(1, 9)] + [(0, "w " * 3, "few")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    taken = {r["doc_id"]: (r["taken"], r["target"]) for r in table(mixing.mix(docs, weights=(1, 1, 1), cap=1.0))}
+    assert taken[0] == (3, 3.0) and all(t == 20_000 for i, (t, _) in taken.items() if i)
+
+
 # 7
 
 
