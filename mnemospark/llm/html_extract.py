@@ -4,15 +4,18 @@ Tokens of a page are its tags, with class and place in the tree, and its short t
 tokens with the same occurrence vector (the same count on every page) form an equivalence class; vectors are never
 gathered: a token's vector is summed up in a fingerprint, a sum over pages of a hash of (page, count), which merges in
 partial aggregates. A class is valid if it is frequent (on half of the host's pages and at least LEAST_PAGES) and large (at
-least two tokens); valid classes nest by the tree place in their tokens and together are the host's template. What stands
-between template tokens are slots. Slots inside menus, headers, footers, sidebars, notices, adverts, forms and comments are
-dropped by the template tags that enclose them; template text outside an article is boilerplate and dropped; what remains
-in the article is the main text. A host with too few pages has no template, and its pages are read by their tags alone.
+least two tokens, tags and texts alike); its tokens are in the order of their first places on the pages. A page is read
+against its host's valid classes: a class that begins inside another's occurrence nests there, in the slot between two
+tokens of the outer class, and what is no token of the template fills a slot. Only fillers are data: a template text is
+boilerplate and dropped, inside an article too. Slots inside menus, headers, footers, sidebars, notices, adverts, forms and
+comments are dropped by the tags that enclose them. A host with too few pages has no template, and its pages are read by
+their tags alone.
 
 A page meets its host's template by (host, salt), so that a host with a third of all pages is dealt over all tasks.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
-Text inside an ``article`` or ``main`` is never dropped for being common; without such an element the page's body counts.
+The text of an ``article`` or ``main`` counts, without such an element the page's body. An article that is template text
+throughout (a host's pages repeat each other) has no slot to tell data by and is kept whole.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own, without a name; repeated rows
 each give a row; broken nesting closes at the next enclosing end tag; an empty table gives an empty result.
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -100,49 +103,113 @@ def events(source: str) -> Iterator[tuple[str, str, str, bool]]:
             yield "close", name, "", False
 
 
-def tokens(source: str) -> Iterator[tuple[int, str]]:
-    """A hash of each template candidate, and its text if it is a text node, in page order."""
+def placed(source: str, hashed: bool = True) -> Iterator[tuple[str, str, str, bool, int | None]]:
+    """Events with the token each is: a hash of its kind, name and place in the tree (none for long and blank texts)."""
     path: list[str] = []
-    for kind, name, text, _ in events(source):
-        if kind == "text":
-            text = " ".join(html.unescape(text).split())
-            if text and len(text) <= NODE:
-                yield xxhash.xxh64_intdigest(f"#{'/'.join(path)}#{text}"), text
-            continue
-        if kind == "open":
-            yield xxhash.xxh64_intdigest(f"<{'/'.join(path)}<{name} {text}"), ""
+    for kind, name, text, dropped in events(source):
+        token = None
+        if not hashed:
+            pass
+        elif kind == "text":
+            short = " ".join(html.unescape(text).split())
+            if short and len(short) <= NODE:
+                token = xxhash.xxh64_intdigest(f"#{'/'.join(path)}#{short}")
+        elif kind == "open":
+            token = xxhash.xxh64_intdigest(f"<{'/'.join(path)}<{name} {text}")
             if name in _TREE:
                 path.append(name)
         else:
             if name in _TREE and name in path:
                 while path.pop() != name:
                     pass
-            yield xxhash.xxh64_intdigest(f">{'/'.join(path)}>{name}"), ""
+            token = xxhash.xxh64_intdigest(f">{'/'.join(path)}>{name}")
+        yield kind, name, text, dropped, token
+
+
+class Template:
+    """A host's valid classes, each with its tokens in order."""
+
+    def __init__(self, rows: Iterable[tuple[int, int, int]] = ()):
+        """rows: token, class, and a number that rises with the token's place."""
+        classes: dict[int, list[tuple[int, int]]] = {}
+        for token, of, at in rows:
+            classes.setdefault(of, []).append((at, token & ((1 << 64) - 1)))
+        #: Of each token, its class, its number in the class, and whether it is the last there.
+        self.tokens = {t: (of, i, i == len(m) - 1) for of, m in classes.items() for i, (_, t) in enumerate(sorted(m))}
+
+    def __bool__(self) -> bool:
+        return bool(self.tokens)
+
+
+class Reading:
+    """A page read against a template: which occurrences of classes are open, the inner ones last."""
+
+    def __init__(self, template: Template):
+        self.tokens, self.open = template.tokens, []
 
+    def take(self, token: int | None) -> bool:
+        """Whether the next token of the page is the template's: the first of a class, or the one due in an open occurrence."""
+        found = self.tokens.get(token)
+        if found is None:
+            return False
+        of, number, last = found
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == of), None)
+        if number:
+            if at is None or self.open[at][1] != number - 1:
+                return False  # out of order: it fills a slot
+            del self.open[at + 1 :]
+            self.open[at][1] = number
+            if last:
+                self.open.pop()
+        elif not last:
+            if at is not None and self.open[at][1] == 0:
+                del self.open[at:]  # the same class again, though the earlier occurrence is not over
+            self.open.append([of, 0])
+        return True
 
-def extract(source: str | None, template: frozenset[int]) -> str:
-    """The main text of a page, given the hashes of its host's template text nodes."""
+    @property
+    def slot(self) -> tuple[tuple[int, int], ...]:
+        """Where the page is: of each open occurrence, outer ones first, the class and the number of the token it is behind."""
+        return tuple(map(tuple, self.open))
+
+
+def slots(source: str, template: Template) -> Iterator[tuple[tuple[tuple[int, int], ...], str]]:
+    """The texts that fill the template's slots on a page, with their slots, in page order."""
+    reading = Reading(template)
+    for kind, _, text, _, token in placed(source):
+        if not reading.take(token) and kind == "text" and text.strip():
+            yield reading.slot, " ".join(html.unescape(text).split())
+
+
+def _lines(blocks: list[list[str]]) -> str:
+    lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks if b)
+    return "\n".join(line for line in lines if line)
+
+
+def extract(source: str | None, template: Template) -> str:
+    """The main text of a page, given its host's template."""
     if not source:
         return ""
     path: list[tuple[str, bool]] = []  # tree elements and whether each is dropped
     names: list[str] = []
-    inside, everything = [[]], [[]]  # blocks of the article, of the body
+    inside, whole, everything = [[]], [[]], [[]]  # blocks of the article: of its slots, of all its text; of the body's slots
     found = dropping = main = 0
-    for kind, name, text, dropped in events(source):
+    reading = Reading(template)
+    for kind, name, text, dropped, token in placed(source, bool(template)):
+        fixed = reading.take(token)
         if kind == "text":
             if dropping:
                 continue
             if main:
-                inside[-1].append(text)
-            else:
-                short = " ".join(html.unescape(text).split())
-                if template and len(short) <= NODE and xxhash.xxh64_intdigest(f"#{'/'.join(names)}#{short}") in template:
-                    continue
-            everything[-1].append(text)
+                whole[-1].append(text)
+            if not fixed:
+                everything[-1].append(text)
+                if main:
+                    inside[-1].append(text)
             continue
         if name in _BLOCKS:
-            inside.append([])
-            everything.append([])
+            for blocks in (inside, whole, everything):
+                blocks.append([])
         if name not in _TREE and name not in _DROPPED:
             continue
         if kind == "open":
@@ -166,13 +233,11 @@ def extract(source: str | None, template: frozenset[int]) -> str:
                 main -= closed in ("article", "main") and main > 0
                 if closed == name:
                     break
-    blocks = inside if found else everything
-    lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks if b)
-    return "\n".join(line for line in lines if line)
+    return (_lines(inside) or _lines(whole)) if found else _lines(everything)
 
 
 def templates(rows: DataFrame, id_col: str, host_col: str = "host", html_col: str = "html") -> DataFrame:
-    """host, template (array of hashes of text nodes in valid classes): one row for each host with a template."""
+    """host, template (array of the tokens of valid classes, with class and order): one row for each host with a template."""
 
     def run(batches):
         for batch in batches:
@@ -181,38 +246,41 @@ def templates(rows: DataFrame, id_col: str, host_col: str = "host", html_col: st
             for i, host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 hosts[host] = hosts.get(host, 0) + 1
                 counts: dict[int, int] = {}
-                texts = set()
-                for token, text in tokens(source or ""):
-                    counts[token] = counts.get(token, 0) + 1
-                    if text:
-                        texts.add(token)
+                firsts: dict[int, int] = {}
+                for at, (*_, token) in enumerate(placed(source or "")):
+                    if token is not None:
+                        counts[token] = counts.get(token, 0) + 1
+                        firsts.setdefault(token, at)
                 for token, n in counts.items():
-                    row = sums.setdefault((host, token), [0, 0, token in texts])
+                    row = sums.setdefault((host, token), [0, 0, 0])
                     row[0] += 1
                     # A sum over pages, of 44 bits each, so that a batch's sum stays in 64 bits.
                     row[1] += xxhash.xxh64_intdigest(f"{i} {n}") >> 20
+                    row[2] += firsts[token]
             keys = [*sums, *((host, None) for host in hosts)]
-            values = [*sums.values(), *([n, 0, False] for n in hosts.values())]
+            values = [*sums.values(), *([n, 0, 0] for n in hosts.values())]
             signed = [None if t is None else t - (1 << 64) if t >= 1 << 63 else t for _, t in keys]
             columns = [
                 pa.array([h for h, _ in keys], pa.string()), pa.array(signed, pa.int64()), pa.array([v[0] for v in values], pa.int64()),
-                pa.array([v[1] for v in values], pa.int64()), pa.array([v[2] for v in values], pa.bool_()),
+                pa.array([v[1] for v in values], pa.int64()), pa.array([v[2] for v in values], pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "token", "pages", "vector", "is_text"])
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "token", "pages", "vector", "at"])
 
-    schema = "host string, token bigint, pages bigint, vector bigint, is_text boolean"
+    schema = "host string, token bigint, pages bigint, vector bigint, at bigint"
     parts = rows.select(id_col, host_col, html_col).mapInArrow(run, schema)
     # The vector's fingerprint is summed by halves, which cannot overflow.
     low, high = F.col("vector").bitwiseAND(F.lit((1 << 22) - 1)), F.shiftright("vector", 22)
     summed = parts.groupBy("host", "token").agg(
-        F.sum("pages").alias("pages"), F.sum(low).alias("low"), F.sum(high).alias("high"), F.first("is_text").alias("is_text")
+        F.sum("pages").alias("pages"), F.sum(low).alias("low"), F.sum(high).alias("high"), F.sum("at").alias("at")
     )
     summed = settle_table(summed.where(f"token is null or pages >= {LEAST_PAGES}"), "html-tokens")
     sizes = summed.where("token is null").select("host", F.col("pages").alias("all_pages"))
     frequent = summed.where("token is not null").join(sizes, "host").where(F.col("pages") >= SHARE * F.col("all_pages"))
     same = Window.partitionBy("host", "pages", "low", "high")
-    valid = frequent.withColumn("size", F.count(F.lit(1)).over(same)).where(f"size >= {LEAST_TOKENS} and is_text")
-    return valid.groupBy("host").agg(F.collect_list("token").alias("template"))
+    valid = frequent.withColumn("size", F.count(F.lit(1)).over(same)).where(f"size >= {LEAST_TOKENS}")
+    # The tokens of a class are on the same pages, so that their summed first places are in the order of the pages.
+    token = F.struct("token", F.xxhash64("pages", "low", "high").alias("class"), "at")
+    return valid.groupBy("host").agg(F.array_sort(F.collect_list(token)).alias("template"))
 
 
 def main_text(rows: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -229,14 +297,14 @@ def main_text(rows: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
     def run(batches):
         for batch in batches:
-            texts, last, last_set = [], None, frozenset()
+            texts, last, last_template = [], None, Template()
             for source, template in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 key = template.values if template.is_valid else None
                 if key is None:
-                    last, last_set = None, frozenset()
+                    last, last_template = None, Template()
                 elif last is None or not key.equals(last):
-                    last, last_set = key, frozenset(t & ((1 << 64) - 1) for t in key.to_pylist())
-                texts.append(extract(source, last_set))
+                    last, last_template = key, Template(zip(*(f.to_pylist() for f in key.flatten()), strict=True))
+                texts.append(extract(source, last_template))
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, url_col, "text", "n_chars"])
 

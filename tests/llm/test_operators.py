@@ -109,6 +109,24 @@ def test_html(spark, empty):
     assert templates.get("a.org", 0) >= 2 and "b.org" not in templates
 
 
+def test_html_template_in_articles(spark):
+    """Boilerplate that repeats inside articles is template; what differs fills slots, nested by class."""
+    body = "<article><h1>Title {0}</h1><p>Read this on our site</p>{1}<p>Last {0}</p><p>Follow us for more</p></article>"
+    items = lambda i: "".join(f"<section><h2>Part</h2><p>Item {i} {k}</p></section>" for k in range(i % 3 + 1))
+    rows = [(i, f"http://t.org/{i}", page(body.format(i, items(i)), i)) for i in range(6)]
+    rows += [(10 + i, "http://copy.org/", "<article><h1>Same</h1><p>On each page</p></article>") for i in range(4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in table(html_extract.main_text(frame))}
+    for i in range(6):
+        assert found[i].split("\n") == [f"Title {i}", *(f"Item {i} {k}" for k in range(i % 3 + 1)), f"Last {i}"]
+    assert all(found[10 + i] == "Same\nOn each page" for i in range(4))
+    hosts = table(html_extract.templates(frame.withColumn("host", F.regexp_extract("url", "//([^/]*)", 1)), "page_id"))
+    template = html_extract.Template(next(r["template"] for r in hosts if r["host"] == "t.org"))
+    at = {text: slot for slot, text in html_extract.slots(rows[2][2], template)}
+    # The items' class is open once more than the class of the page, and all items fill the same slot.
+    assert at["Item 2 0"] == at["Item 2 1"] == at["Item 2 2"] and len(at["Item 2 0"]) > len(at["Title 2"]) >= 1
+
+
 # 4
 
 
