@@ -11,6 +11,10 @@ boilerplate and dropped, inside an article too. Slots inside menus, headers, foo
 comments are dropped by the tags that enclose them. A host with too few pages has no template, and its pages are read by
 their tags alone.
 
+Marks (words of class, id and role, such as sidebar) drop an element, but never html, body, an article or what holds one. A
+marked element inside an article goes only if the host repeats it (its tag is template) and its own text is short or is
+readers' replies, or if it is a bare label. A page without an article that marks leave empty is read without them.
+
 A page meets its host's template by (host, salt), so that a host with a third of all pages is dealt over all tasks.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
@@ -56,14 +60,24 @@ _MARKS = frozenset(
     " signup login share sharing social related recommended comment comments respond disqus popup modal overlay form search"
     " pagination pager contentinfo complementary".split()
 )
+#: Words before a mark that say what a page has or lacks, not what the element is: has-sidebar, no-ads.
+_QUALIFIERS = frozenset("has have no not non with without hide hides show shows is".split())
+#: Marks that are parts of an article inside one, and marks of what readers write under it, which may be long.
+_PARTS, _REPLIES = frozenset("header masthead banner".split()), frozenset("comment comments respond disqus".split())
+#: Tags of prose: a marked element with one of these is more than a label. Characters of a label at most.
+_PROSE, LABEL = frozenset("p h1 h2 h3 h4 h5 h6 li dd blockquote pre td figcaption".split()), 40
+#: Elements that no word drops.
+_KEPT = frozenset("html body article main".split())
 _WORD = re.compile(r"[a-z]+")
+#: What a tag says of its element: nothing, hidden, or marks of what is not the article.
+PLAIN, HIDDEN = frozenset(), frozenset({"hidden"})
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """Class, id and role as text, and whether they mark the element as not the article."""
+def _marks(attributes: str) -> tuple[str, frozenset[str]]:
+    """Class, id and role as text, and the words in them that mark the element as not the article (or HIDDEN)."""
     if not attributes or not attributes.strip():
-        return "", False
-    named, dropped = [], False
+        return "", PLAIN
+    named, dropped, marks = [], False, set()
     for key, value in _NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
@@ -71,19 +85,20 @@ def _marks(attributes: str) -> tuple[str, bool]:
             continue
         named.append(f"{key}={value}")
         for name in value.split():
-            if any(w in _MARKS for w in _WORD.findall(name)):
-                dropped = True
-    return " ".join(named), dropped
+            words = _WORD.findall(name)
+            if words and words[0] not in _QUALIFIERS:
+                marks.update(w for w in words if w in _MARKS)
+    return " ".join(named), HIDDEN if dropped else frozenset(marks)
 
 
-def events(source: str) -> Iterator[tuple[str, str, str, bool]]:
-    """(kind, name, marks or text, dropped) of each tag and text node, without comments and raw content."""
+def events(source: str) -> Iterator[tuple[str, str, str, frozenset[str]]]:
+    """(kind, name, marks or text, marking words) of each tag and text node, without comments and raw content."""
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
         end = m.start() if m else n
         if end > at:
-            yield "text", "", source[at:end], False
+            yield "text", "", source[at:end], PLAIN
         if not m:
             return
         at = m.end()
@@ -91,7 +106,7 @@ def events(source: str) -> Iterator[tuple[str, str, str, bool]]:
             continue
         name = m[2].lower()
         if m[1]:
-            yield "close", name, "", False
+            yield "close", name, "", PLAIN
             continue
         marks, dropped = _marks(m[3])
         if name in _RAW:
@@ -100,13 +115,13 @@ def events(source: str) -> Iterator[tuple[str, str, str, bool]]:
             continue
         yield "open", name, marks, dropped
         if m[3].rstrip().endswith("/") and name in _TREE:
-            yield "close", name, "", False
+            yield "close", name, "", PLAIN
 
 
-def placed(source: str, hashed: bool = True) -> Iterator[tuple[str, str, str, bool, int | None]]:
+def placed(source: str, hashed: bool = True) -> Iterator[tuple[str, str, str, frozenset[str], int | None]]:
     """Events with the token each is: a hash of its kind, name and place in the tree (none for long and blank texts)."""
     path: list[str] = []
-    for kind, name, text, dropped in events(source):
+    for kind, name, text, marked in events(source):
         token = None
         if not hashed:
             pass
@@ -123,7 +138,7 @@ def placed(source: str, hashed: bool = True) -> Iterator[tuple[str, str, str, bo
                 while path.pop() != name:
                     pass
             token = xxhash.xxh64_intdigest(f">{'/'.join(path)}>{name}")
-        yield kind, name, text, dropped, token
+        yield kind, name, text, marked, token
 
 
 class Template:
@@ -186,19 +201,53 @@ def _lines(blocks: list[list[str]]) -> str:
     return "\n".join(line for line in lines if line)
 
 
+class _Suspect:
+    """A marked element inside an article: where its text begins, and what tells whether it goes."""
+
+    def __init__(self, kept: tuple[list[list[str]], ...], prose: int, fixed: bool, marked: frozenset[str]):
+        self.starts = [(len(blocks), len(blocks[-1])) for blocks in kept]
+        self.prose, self.fixed, self.marked = prose, fixed, marked
+
+    def settle(self, kept: tuple[list[list[str]], ...], prose: int) -> None:
+        """Takes the element's text back if it is a bare label, or if the host repeats the element and it is short or holds replies."""
+        n, m = self.starts[0]
+        own = len(_lines([kept[0][n - 1][m:], *kept[0][n:]]))
+        label = prose == self.prose and own <= LABEL
+        if not (label or (self.fixed and (own <= NODE or self.marked & _REPLIES))):
+            return
+        for blocks, (n, m) in zip(kept, self.starts, strict=True):
+            del blocks[n:]
+            del blocks[-1][m:]
+            blocks.append([])
+
+
 def extract(source: str | None, template: Template) -> str:
     """The main text of a page, given its host's template."""
     if not source:
         return ""
-    path: list[tuple[str, bool]] = []  # tree elements and whether each is dropped
-    names: list[str] = []
-    inside, whole, everything = [[]], [[]], [[]]  # blocks of the article: of its slots, of all its text; of the body's slots
-    found = dropping = main = 0
+    path: list[list] = []  # tree elements: name, 1 if dropped by its tag or hidden, 1 if by its marks, what is to be settled at its end
+    # Blocks: of the article's slots, of all its text, of the body's slots, of these with what marks drop.
+    inside, whole, everything, marks_too = kept = [[]], [[]], [[]], [[]]
+    found = hard = soft = main = prose = 0
     reading = Reading(template)
-    for kind, name, text, dropped, token in placed(source, bool(template)):
+
+    def leave():
+        nonlocal hard, soft, main
+        closed, was_hard, was_soft, suspect = path.pop()
+        hard -= was_hard
+        soft -= was_soft
+        main -= closed in ("article", "main") and main > 0
+        if suspect:
+            suspect.settle(kept, prose)
+
+    for kind, name, text, marked, token in placed(source, bool(template)):
         fixed = reading.take(token)
         if kind == "text":
-            if dropping:
+            if hard:
+                continue
+            if not fixed:
+                marks_too[-1].append(text)
+            if soft:
                 continue
             if main:
                 whole[-1].append(text)
@@ -208,32 +257,37 @@ def extract(source: str | None, template: Template) -> str:
                     inside[-1].append(text)
             continue
         if name in _BLOCKS:
-            for blocks in (inside, whole, everything):
+            for blocks in kept:
                 blocks.append([])
+        prose += kind == "open" and name in _PROSE
         if name not in _TREE and name not in _DROPPED:
             continue
         if kind == "open":
-            article = name in ("article", "main") and not dropped
-            if article and dropping:  # an advert or a notice that was never closed ends here
-                while path and dropping and path[-1][0] in ("div", "section"):
-                    dropping -= path.pop()[1]
-                    names.pop()
-            if article:
-                found += not dropping
+            hidden = marked is HIDDEN and name not in ("html", "body")
+            if name in ("article", "main") and not hidden:
+                # What holds an article is not dropped by its marks; an advert that was never closed holds it too.
+                for entry in path:
+                    soft -= entry[2]
+                    entry[2] = 0
+                while path and hard and path[-1][0] in ("div", "section"):
+                    leave()
+                found += not hard
                 main += 1
-            dropped = dropped or name in _DROPPED or (name == "header" and not main)
-            path.append((name, dropped))
-            names.append(name)
-            dropping += dropped
-        elif name in names:
+            dropped = hidden or name in _DROPPED or (name == "header" and not main)
+            words = PLAIN if dropped or name in _KEPT or marked is HIDDEN else marked - _PARTS if main else marked
+            suspect = _Suspect(kept, prose, fixed, words) if words and main and not hard + soft else None
+            path.append([name, int(dropped), int(bool(words) and not main), suspect])
+            hard += dropped
+            soft += path[-1][2]
+        elif any(entry[0] == name for entry in path):
             while True:
-                closed, was = path.pop()
-                names.pop()
-                dropping -= was
-                main -= closed in ("article", "main") and main > 0
+                closed = path[-1][0]
+                leave()
                 if closed == name:
                     break
-    return (_lines(inside) or _lines(whole)) if found else _lines(everything)
+    while path:
+        leave()
+    return (_lines(inside) or _lines(whole)) if found else _lines(everything) or _lines(marks_too)
 
 
 def templates(rows: DataFrame, id_col: str, host_col: str = "host", html_col: str = "html") -> DataFrame:

@@ -127,6 +127,26 @@ def test_html_template_in_articles(spark):
     assert at["Item 2 0"] == at["Item 2 1"] == at["Item 2 2"] and len(at["Item 2 0"]) > len(at["Title 2"]) >= 1
 
 
+def test_html_marks_do_not_drop_articles():
+    none, text = html_extract.Template(), "Real text of the page, " * 20
+    read = lambda source, template=none: html_extract.extract(source, template)
+    for name in ("has-sidebar", "no-ads", "with-header", "sidebar", "page-header"):
+        for whole in (f"<html><body class='{name}'>{{}}</body></html>", f"<html class='{name}'><body><div id='{name}'><section class={name}>{{}}</section></div></body></html>"):
+            assert read(whole.format(f"<article><p>{text}</p></article>")) == text.strip()
+            assert read(whole.format(f"<main class='{name}'><p>{text}</p></main>")) == text.strip()
+            assert read(whole.format(f"<p>{text}</p>")) == text.strip()
+    parts = "<article><div class='entry-header'><h1>Head</h1></div><section id='related-work'><h2>Related</h2><p>{0}</p></section><div class='search-form-of-x'><p>{0}</p></div>{1}</article>"
+    wanted = f"Head\nRelated\n{text.strip()}\n{text.strip()}"
+    assert read(parts.format(text, "<div class='share'>Share</div><aside>skip</aside><div hidden><p>skip</p></div>")) == wanted
+    # Repetition on the host confirms a short marked element, and replies of any length.
+    boxes = "<div class='related'><ul><li>Other {0}</li></ul></div><div class='comments'><p>Reply {0} " + "so " * 200 + "</p></div>"
+    source = parts.format(text, boxes.format(7))
+    tokens = [(token, name, i) for i, (kind, name, marks, _, token) in enumerate(html_extract.placed(source)) if kind != "text" and name == "div"]
+    opens = [(t, 5, i) for t, _, i in tokens if i in [i for i, (k, _, m, *_) in enumerate(html_extract.placed(source)) if k == "open" and ("related" in m or "comments" in m)]]
+    assert len(opens) == 2 and read(source, html_extract.Template(opens)) == wanted
+    assert "Other 7" in read(source) and "Reply 7" in read(source)
+
+
 # 4
 
 
