@@ -9,9 +9,11 @@ SPACING. As in prefix-free parsing, equal strings are parsed alike, so that the
 * An entry of the dictionary that occurs again is repeated with all its strings, however long the repetition goes on, and
   nothing inside it is looked at: this is where highly repetitive text costs next to nothing. An entry alone under
   its key is unique with all its strings. Only entries that share a key with different ones are taken apart: the
-  suffixes at their places, cut at WINDOW bytes, are put in order together by their shard (a suffix array of that part of
-  the dictionary, in hash order, since only equality of neighbours counts here), and equal neighbours are repeats.
-* Strings without a trigger in their first bytes (nearly none in prose) are put in that order directly.
+  WINDOW-byte strings at their places are grouped by 64-bit hash inside their shard, and equal ones are repeats.
+* Strings without a trigger in their first bytes (nearly none in prose) are grouped so directly.
+
+No suffix array is built, of the dictionary or of the parse: grouping windows by hash replaces both. Whether a string of a
+fixed length repeats is a matter of equality, which needs no lexicographic order, nor one order over the whole corpus.
 
 So every string is judged exactly on the input, by 64-bit hashes. Texts stay in one table, bucketed by chunk, which three
 passes read in place; between passes only hashes are exchanged, each distinct one once for a chunk, and answers of a few
