@@ -61,13 +61,47 @@ def _unpack40(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
+#: Of each byte, where its k-th one is, the leading bit first.
+_SELECT = np.zeros((256, 8), np.uint8)
+for _byte in range(256):
+    _ones = np.flatnonzero(np.unpackbits(np.array([_byte], np.uint8)))
+    _SELECT[_byte, : len(_ones)] = _ones
+
+
 class EliasFano:
-    """A monotone sequence of integers: low bits as they are (whole bytes), high bits in unary."""
+    """A monotone sequence of integers: low bits as they are (whole bytes), high bits in unary. Both stay as they are mapped;
+    in memory are only the counts of ones and zeros before each 64 high bits."""
 
     def __init__(self, low_bytes: int, n: int, low: np.ndarray, high: np.ndarray):
-        self.low_bytes, self.n, self.low, self.high = low_bytes, n, low, high
-        ones = np.flatnonzero(np.unpackbits(high))[:n]
-        self._heads = ones - np.arange(len(ones))
+        self.low_bytes, self.n, self.low, self.high = low_bytes, n, low, high.reshape(-1, 8)
+        ones = np.zeros(len(self.high) + 1, np.uint32)
+        np.cumsum(np.bitwise_count(self.high).sum(1, dtype=np.uint32), out=ones[1:])
+        self._before = np.arange(len(ones), dtype=np.uint32) * np.uint32(64) - ones, ones
+
+    def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
+        """The place of the k-th bit of this value among the high bits; each k must be below their number."""
+        before = self._before[bit]
+        word = np.searchsorted(before, k.astype(np.uint32), "right") - 1
+        rest = k - before[word]
+        eight = self.high[word] if bit else ~self.high[word]
+        counts = np.cumsum(np.bitwise_count(eight), 1, dtype=np.uint8)
+        byte = (counts <= rest[:, None]).sum(1)
+        rows = np.arange(len(k))
+        rest = rest - np.where(byte > 0, counts[rows, byte - 1], 0)
+        return word * 64 + byte * 8 + _SELECT[eight[rows, byte], rest]
+
+    def _below(self, head: np.ndarray) -> np.ndarray:
+        """How many elements have smaller high bits."""
+        out = np.where(head > 0, self.n, 0)
+        some = np.flatnonzero((head > 0) & (head <= int(self._before[0][-1])))
+        out[some] = self._select(head[some] - 1, 0) - (head[some] - 1)
+        return out
+
+    def _lows(self, at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), 8), np.uint8)
+        if self.low_bytes:
+            out[:, : self.low_bytes] = self.low.reshape(self.n, self.low_bytes)[at]
+        return out.view(np.uint64).reshape(-1)
 
     @staticmethod
     def encode(values: np.ndarray) -> tuple[int, int, bytes, bytes]:
@@ -78,23 +112,23 @@ class EliasFano:
         heads = (values >> np.uint64(8 * low_bytes)).astype(np.int64)
         bits = np.zeros(int(heads[-1]) + n if n else 0, np.uint8)
         bits[heads + np.arange(n)] = 1
-        return low_bytes, n, np.ascontiguousarray(low).tobytes(), np.packbits(bits).tobytes()
+        high = np.packbits(bits).tobytes()
+        return low_bytes, n, np.ascontiguousarray(low).tobytes(), high + bytes(-len(high) % 8)
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(at), 8), np.uint8)
-        if self.low_bytes:
-            out[:, : self.low_bytes] = self.low.reshape(self.n, self.low_bytes)[at]
-        return out.view(np.uint64).reshape(-1) | (self._heads[at].astype(np.uint64) << np.uint64(8 * self.low_bytes))
-
-    def successor(self, wanted: np.ndarray) -> np.ndarray:
-        """Of each wanted value, the place of the first element not below it (n if none): within its high bits' run,
-        by bisection over the low bits."""
-        head = (wanted >> np.uint64(8 * self.low_bytes)).astype(np.int64)
-        first = np.searchsorted(self._heads, head, "left")
-        last = np.searchsorted(self._heads, head, "right")
+        return self._lows(at) | ((self._select(at, 1) - at).astype(np.uint64) << np.uint64(8 * self.low_bytes))
+
+    def successor(self, wanted: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | None = None) -> np.ndarray:
+        """Of each wanted value, the place of the first element in [begin, end) not below it (end if none): within its high
+        bits' run, by bisection over the low bits."""
+        end = self.n if end is None else end
+        shift = np.uint64(8 * self.low_bytes)
+        head = (wanted >> shift).astype(np.int64)
+        low = wanted & ((np.uint64(1) << shift) - np.uint64(1))
+        first, last = (np.clip(self._below(h), begin, end) for h in (head, head + 1))
         while len(open_ := np.flatnonzero(first < last)):
             middle = (first[open_] + last[open_]) // 2
-            below = self[middle] < wanted[open_]
+            below = self._lows(middle) < low[open_]
             first[open_[below]] = middle[below] + 1
             last[open_[~below]] = middle[~below]
         return first
@@ -106,9 +140,12 @@ class Trie:
     def __init__(self, contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, codes: np.ndarray):
         """contexts: rising hashes; starts: where their successors begin; successors: 40-bit word hashes, rising inside a
         context; codes: quantised log probabilities."""
-        rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(np.append(starts, len(successors))))
-        # Successors become one monotone sequence by their context's rank above them.
-        levels = [EliasFano.encode(x) for x in (starts.astype(np.uint64), (rank << np.uint64(40)) | successors)]
+        ends = np.append(starts, len(successors))
+        # Successors become one monotone sequence by adding to each context's the last element of the context before.
+        base = np.zeros(len(contexts), np.uint64)
+        if len(contexts):
+            np.cumsum(successors[ends[1:-1] - 1], out=base[1:])
+        levels = [EliasFano.encode(x) for x in (ends.astype(np.uint64), successors + np.repeat(base, np.diff(ends)))]
         parts = [contexts.tobytes(), codes.astype(np.uint16).tobytes(), *(p for lv in levels for p in lv[2:])]
         with tempfile.TemporaryFile() as file:
             file.write(b"".join(parts) or b"\0")
@@ -128,8 +165,14 @@ class Trie:
             return out
         at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
         known = np.repeat(self.contexts[at] == contexts, lengths)
-        wanted = (np.repeat(at.astype(np.uint64), lengths) << np.uint64(40)) | successors
-        place = np.minimum(self.successors.successor(wanted), self.successors.n - 1)
+        # The context's own range, and what was added to its successors.
+        begin, end = (self.pointers[x].astype(np.int64) for x in (at, at + 1))
+        base = np.where(begin > 0, self.successors[np.maximum(begin - 1, 0)], np.uint64(0))
+        wanted = np.repeat(base, lengths) + successors
+        end = np.repeat(end, lengths)
+        place = self.successors.successor(wanted, np.repeat(begin, lengths), end)
+        known &= place < end
+        place = np.minimum(place, self.successors.n - 1)
         hit = known & (self.successors[place] == wanted)
         out[hit] = self.codes[place[hit]]
         return out

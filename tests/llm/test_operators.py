@@ -181,6 +181,29 @@ def test_elias_fano():
     assert (ef.successor(asked) == np.searchsorted(values, asked)).all()
 
 
+def test_trie_searches_ranges_of_contexts():
+    r = np.random.default_rng(2)
+    contexts = np.unique(r.integers(0, 1 << 63, 400).astype(np.uint64))
+    groups = [np.unique(np.append(r.integers(0, 1 << 40, n), [0] * (n % 2)).astype(np.uint64)) for n in r.integers(1, 60, len(contexts))]
+    starts = np.cumsum([0, *map(len, groups)])[:-1]
+    codes = r.integers(0, lm_score.STEPS, sum(map(len, groups))).astype(np.uint16)
+    trie = lm_score.Trie(contexts, starts, np.concatenate(groups), codes)
+    assert trie.pointers.n == len(contexts) + 1 and (trie.pointers[np.arange(len(contexts))] == starts).all()
+    known = {(int(c), int(w)): int(codes[a + i]) for c, a, g in zip(contexts, starts, groups, strict=True) for i, w in enumerate(g)}
+    asked = [np.unique(np.concatenate([g[::2], groups[i - 1][:5], np.array([0, (1 << 40) - 1], np.uint64)])) for i, g in enumerate(groups)]
+    heads = np.append(contexts[:-1], np.uint64(1 << 63))  # the last is no context
+    found = trie.find(heads, np.array([len(x) for x in asked]), np.concatenate(asked))
+    assert found.tolist() == [known.get((int(c), int(w)), lm_score.STEPS + 1) for c, x in zip(heads, asked, strict=True) for w in x]
+    # The pointers decide: with others, the same successors are not found.
+    trie.pointers = lm_score.EliasFano(*(np.frombuffer(x, np.uint8) if isinstance(x, bytes) else x for x in lm_score.EliasFano.encode(np.zeros(len(contexts) + 1, np.uint64))))
+    assert (trie.find(contexts, np.array([len(g) for g in groups]), np.concatenate(groups)) == lm_score.STEPS + 1).all()
+    # Compact: what is in memory beside the mapped levels is far below 8 bytes an element.
+    many = np.arange(100_000, dtype=np.uint64) * np.uint64(1000)
+    ef = lm_score.EliasFano(*(np.frombuffer(x, np.uint8) if isinstance(x, bytes) else x for x in lm_score.EliasFano.encode(many)))
+    held = [x for v in vars(ef).values() for x in (v if isinstance(v, tuple) else (v,)) if isinstance(x, np.ndarray) and x.flags.writeable]
+    assert sum(x.nbytes for x in held) < len(many) and (ef[np.arange(len(many))] == many).all()
+
+
 def test_language_model(hard, empty):
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
     texts = [(i, WORD.findall((t or "").translate(LOWER)) + ["\0end"], i is not None and zlib.crc32(str(i).encode()) % 10 != 0) for i, t, *_ in hard_rows()]
