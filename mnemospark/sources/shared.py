@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.errors import PySparkException
@@ -9,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a folder of our own only where it is unset, as in tests."""
+    """spark.checkpoint.dir as the cluster names it; where it is unset, a folder of our own in local mode, as in tests.
+
+    On a cluster an unset folder is an error: a temporary folder of the driver is not one that executors share.
+    """
     context = spark.sparkContext
     set_ = context._jsc.sc().getCheckpointDir()
     if set_.isDefined():
@@ -19,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
         try:
             named = spark.conf.get("spark.checkpoint.dir")
         except PySparkException:
+            if not re.fullmatch(r"local(\[[^,]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share") from None
             named = "file://" + tempfile.mkdtemp(prefix="mnemospark-checkpoint-")
     context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
@@ -28,3 +34,20 @@ def settle(frame: DataFrame) -> DataFrame:
     """Cuts lineage by a reliable checkpoint."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system that holds path, and path as it takes it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes what was written to path when the application ends."""
+    system, there = file_system(spark, path)
+    system.deleteOnExit(there)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    system, there = file_system(spark, path)
+    system.delete(there, True)
