@@ -6,7 +6,8 @@ with the token before (the pair-compatibility table). If no prefix fits, the las
 prefix; a place that failed is never tried again, so that the work stays linear in the word's length. Decoding takes each
 id's bytes from one blob by an offset table.
 
-The compatibility of a pair is computed by undoing merges from both sides and memoised: the table holds only pairs met.
+The compatibility of a pair is computed by undoing merges from both sides (the test of pairs that the backtracking encoders
+in public byte-pair libraries use) and memoised: a table of fixed size holds pairs met lately.
 Encodings of words, and of runs without white space, are memoised too, in tables of bounded size. The vocabulary reaches executors inside a broadcast of
 the file's bytes (its size is that of the vocabulary, not of the data).
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,10 @@ from pyspark.sql import DataFrame
 
 from .common import documents
 
-#: Runs without white space whose encodings are remembered in a Python worker (a third as many words, five times as many pairs), and their longest length.
+#: Runs without white space whose encodings are remembered in a Python worker (a third as many words), and their longest length.
 REMEMBERED, REMEMBERED_BYTES = 300_000, 64
+#: Places of the table of remembered pairs, eight bytes each; a pair displaces the one that had its place.
+PAIRS = (1 << 20) - 3
 #: Code points of private use stand for the bytes, and for a word's last byte.
 _INNER, _LAST = 0xE000, 0xE100
 #: White space as the library has it; str.split() also splits at the four separators.
@@ -79,7 +84,7 @@ class Tokenizer:
             if (left, right) not in self.pairs:
                 self.pairs[left, right] = whole
                 self.left[whole], self.right[whole] = left, right
-        self._fits: dict[int, bool] = {}
+        self._fits = array("q", [-1]) * PAIRS
         self._size = size
         # Tokens that their own string does not merge to are never the answer.
         usable = {s: i for s, i in ids.items() if len(s) == 1 or (self.left[i] != i and self._compatible(self.left[i], self.right[i], i))}
@@ -122,12 +127,10 @@ class Tokenizer:
 
     def fits(self, first: int, second: int) -> bool:
         key = first * self._size + second
-        found = self._fits.get(key)
-        if found is None:
-            if len(self._fits) >= 5 * REMEMBERED:
-                self._fits.clear()
-            found = self._fits[key] = self._compatible(first, second, 1 << 62)
-        return found
+        found = self._fits[key % PAIRS]
+        if found >> 1 != key:
+            found = self._fits[key % PAIRS] = 2 * key + self._compatible(first, second, 1 << 62)
+        return bool(found & 1)
 
     def encode_word(self, raw: bytes) -> list[int]:
         """The ids of one word's bytes."""

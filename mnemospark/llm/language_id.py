@@ -6,8 +6,9 @@ probabilities and back-off masses. A text goes to the language of the least cros
 probability comes from a softmax whose temperature is fitted on a part of the sample that the models did not see; so is
 the limit of cross-entropy beyond which a text is rejected.
 
-The sample: of each language at most SAMPLE rows, the least by a hash of the identifier, of at most SAMPLE_BYTES each.
-That bound makes the models small enough to send to every executor. Every row is scored, over its whole text.
+The sample: of each language at most SAMPLE rows, the least by a hash of the identifier, of at most SAMPLE_BYTES each, and
+of all languages together about TOTAL_BYTES. That bound makes the models small enough to send to every executor. Letters
+beyond the 65,534 most frequent of the sample count as unseen. Every row is scored, over its whole text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, and rejected; rows of null language are
 not learned from; repeated rows are scored alike; an empty table, or one without labels, gives ``und`` throughout; extra
@@ -22,7 +23,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesops import mix
@@ -31,12 +32,14 @@ from .common import documents
 ORDER = 4
 #: Rows of the sample for a language, and bytes of the longest of them.
 SAMPLE, SAMPLE_BYTES = 600, 100_000
+#: Bytes of the sample: of one language, of all (but for the last row of each language).
+LANG_BYTES, TOTAL_BYTES = 8 << 20, 64 << 20
 #: One in so many of the sample's rows calibrates.
 CALIBRATES = 5
 #: Letters below which cross-entropy alone does not reject.
 LEAST_LETTERS = 100
 #: Code points of a piece that is scored at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 UND = "und"
 _SPACE = 32
 
@@ -206,7 +209,7 @@ class Identifier:
             seen[pair] = True
             seen[front] = True
             pairs = np.flatnonzero(seen)
-            if len(pairs) ** 2 <= 1 << 25:
+            if len(pairs) ** 2 <= 1 << 24:
                 small = np.zeros(a * a, np.int32)
                 small[pairs] = np.arange(len(pairs))
                 key = small[front] * len(pairs) + small[pair]
@@ -242,17 +245,18 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     place = F.xxhash64(F.col(id_col), F.lit("sample"))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), place.alias("place"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(-1)
-    for lang, n in counts.items():  # half as many again, so that the sample is full
-        most = (1 << 64) * min(1.0, 1.5 * SAMPLE / n) - (1 << 63)
-        share = F.when(F.col("lang") == lang, F.lit(min(int(most), (1 << 63) - 1))).otherwise(share)
-    found = sorted((r["place"], r["lang"], r["text"]) for r in rows.where(F.col("place") <= share).collect())
-    taken: dict[str, int] = {}
-    sample = []
-    for _, lang, text in found:
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= SAMPLE:
-            sample.append((lang, text))
+    if not counts:
+        return Identifier([])
+    # Half as many again as wanted, so that the sample is full; then exactly the least places, within the bytes.
+    most = {lang: min(int((1 << 64) * min(1.0, 1.5 * SAMPLE / n)) - (1 << 63), (1 << 63) - 1) for lang, n in counts.items()}
+    share = F.create_map(*(F.lit(x) for item in most.items() for x in item))
+    few = rows.where(F.col("place") <= F.element_at(share, F.col("lang")))
+    here = Window.partitionBy("lang").orderBy("place", "text")
+    size = F.octet_length("text")
+    few = few.withColumn("row", F.row_number().over(here)).withColumn("before", F.sum(size).over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    quota = min(LANG_BYTES, TOTAL_BYTES // len(counts))
+    few = few.where((F.col("row") <= SAMPLE) & (F.coalesce("before", F.lit(0)) < quota))
+    sample = [(r["lang"], r["text"]) for r in sorted(few.collect(), key=lambda r: (r["place"], r["lang"], r["text"]))]
     return Identifier(sample)
 
 
