@@ -10,13 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of a piece; a longer document is a piece of its own.
 PIECE = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = []
-
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -33,17 +30,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A fixed random value for each byte, and the same after lower-casing A-Z.
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_LOWER_VALUES = _VALUES[_LOWER]
+_LENGTHS, _BLOCKS = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
+#: Bytes beyond which a string is hashed by itself.
+_LONG = 512
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer (zeros behind the end); one place more than data has bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, PIECE + 1)
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (_BASE, _UNBASE)]
-    return _powers[0][:n], _powers[1][:n]
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
+    """64-bit hashes of the strings data[start:end], which equal strings of equal seed share.
+
+    Eight bytes at a time are taken up by a bijective finaliser: unlike a polynomial modulo a power of two, it has no strings
+    that collide by construction, and strings of up to eight bytes and equal length never do.
+    """
+    eight, length = eights(data), ends - starts
+    h = mix(length.astype(np.uint64) * _LENGTHS + np.asarray(seed).astype(np.uint64))
+    live = np.flatnonzero(length <= _LONG)
+    at, left = starts[live], length[live]
+    while len(live):
+        block = eight[at]
+        part = left < 8
+        block[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
+        h[live] = mix((h[live] ^ block) * _BLOCKS)
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > _LONG):
+        h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), int(h[i])))
+    return h
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,22 +88,6 @@ def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def prefix_sums(data: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
-    """Sums of a polynomial in the bytes: span() takes a substring's hash from two of them."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * powers(len(data))[0], out=out[1:])
-    return out
-
-
-def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end]; equal substrings of equal length have equal hashes."""
-    h = sums[end]
-    h -= sums[start]
-    h *= powers(len(sums))[1][start]
-    h += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(h)
-
-
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each text, in order, and the offsets of the texts among them.
 
@@ -101,8 +103,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     ends = inside
     ends[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    h = span(prefix_sums(data, _LOWER_VALUES if lower else _VALUES), starts, ends)
-    return h, np.searchsorted(starts, offsets)
+    return hashes(_LOWER[data] if lower else data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def uint64s(raw: bytes | pa.Scalar) -> np.ndarray:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop, drop_at_exit, settle, shared_folder  # noqa: F401
+
 #: The white space of the contracts, as a regular expression class.
 SPACE = r"\x20\x09-\x0D"
 
@@ -42,42 +45,49 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
-    from pyspark.errors import PySparkException
-
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return context._jsc.sc().getCheckpointDir().get()
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        try:
-            named = spark.conf.get("spark.checkpoint.dir")
-        except PySparkException:
-            import tempfile
-
-            named = "file://" + tempfile.mkdtemp(prefix="mnemospark-checkpoint-")
-    context.setCheckpointDir(named)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for one written table."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a light table with a reliable checkpoint, eagerly."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settle_table(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage by writing Parquet to the shared folder; narrower and compressed, unlike a checkpoint."""
+    """Cuts the lineage by writing Parquet to the shared folder; narrower and compressed, unlike a checkpoint.
+
+    The files go when the application ends; what no result reads can go before (dropped_after).
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    drop_at_exit(spark, path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._settled = path
+    return found
+
+
+class _Drops:
+    def __init__(self):
+        self.paths, self.tables = [], []
+
+    def __call__(self, settled: DataFrame) -> DataFrame:
+        """Marks a table of settle_table."""
+        self.paths.append(settled._settled)
+        return settled
+
+    def table(self, name: str) -> None:
+        self.tables.append(name)
+
+
+@contextlib.contextmanager
+def dropped_after(spark: SparkSession):
+    """Inside, tables are marked that nothing reads once the block is left; then they are deleted."""
+    drops = _Drops()
+    try:
+        yield drops
+    finally:
+        for name in drops.tables:
+            spark.sql(f"drop table if exists {name}")
+        for path in drops.paths:
+            drop(spark, path)
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -1,26 +1,28 @@
 """Removal of long repeated substrings by prefix-free parsing.
 
-Each text is parsed at rolling-hash triggers: a place starts a phrase if the hash of the next TRIGGER bytes is divisible by
-SPACING. As in prefix-free parsing, equal strings are parsed alike, so that the parse, not the text, is what is compared:
-
-* Every WINDOW-byte string belongs to the first trigger at or after its start. The strings of one trigger make an entry of
-  the dictionary: the text from the first of these strings to the end of the last. An entry's key is the KEY bytes
-  at its trigger, which all its strings contain; entries meet by key.
-* An entry of the dictionary that occurs again is repeated with all its strings, however long the repetition goes on, and
-  nothing inside it is looked at: this is where highly repetitive text costs next to nothing. An entry alone under
-  its key is unique with all its strings. Only entries that share a key with different ones are taken apart: the
-  WINDOW-byte strings at their places are grouped by 64-bit hash inside their shard, and equal ones are repeats.
-* Strings without a trigger in their first bytes (nearly none in prose) are grouped so directly.
-
-No suffix array is built, of the dictionary or of the parse: grouping windows by hash replaces both. Whether a string of a
-fixed length repeats is a matter of equality, which needs no lexicographic order, nor one order over the whole corpus.
-
-So every string is judged exactly on the input, by 64-bit hashes. Texts stay in one table, bucketed by chunk, which three
-passes read in place; between passes only hashes are exchanged, each distinct one once for a chunk, and answers of a few
-bits. A key with more than MANY entries in one chunk is sent once for that chunk, and its strings are all compared.
-
-Defined cases: null and empty texts have no bytes and lose none; texts shorter than WINDOW lose none; repeated rows repeat
-each other and are removed where they do; an empty table gives an empty result.
+Each text is parsed at rolling-hash triggers: a place starts a phrase if a hash of the next TRIGGER bytes is divisible by
+2**SPACING_BITS. Equal strings are parsed alike, so that the parse, not the text, is what is compared:
+
+* Every WINDOW-byte string has an anchor, the first trigger at or after its start; a string without one near its start has
+  the place of the least rolling hash. Neighbouring strings of one anchor make an entry: the text from the first of them to
+  the end of the last. An entry's key is a hash of the KEY bytes at its anchor, which all its strings contain.
+* Entries meet by key, as hashes. An entry that occurs again is repeated with all its strings, however long the repetition goes
+  on, and nothing inside it is looked at: this is where highly repetitive text costs next to nothing. An entry alone under
+  its key is unique with all its strings. Only entries that share a key with different ones are taken apart.
+* These entries meet again with their bytes, and in every shard the parse is sorted: the dictionary (distinct phrases) and
+  the parse (phrases by rank in it) each get their suffix array, and the two combine into the order of the strings: first the
+  rank of the phrase's suffix, then the rank of the parse behind it. Neighbours in that order are compared byte by byte,
+  and those with WINDOW bytes in common are repeated.
+* A key with very many different entries (a passage that a large share of the documents have, each time in another
+  context) would be one task's load. Its strings are dealt out by their own 128-bit hashes instead, and equal ones are repeats.
+
+Entries are equal by a 64-bit hash under a 48-bit key, strings of crowded keys by 128 bits, all others by their bytes. Texts
+stay in one table, bucketed by chunk, which three passes read in place; between passes each distinct entry of a chunk is
+sent once, and answers of a few bits. As with the blocks of an exchange, there is a row for each chunk and shard.
+
+Defined cases: null and empty texts have no bytes and lose none; texts shorter than WINDOW lose none; a text longer than CHUNK
+is a chunk of its own; repeated rows repeat each other and are removed where they do; other columns, whatever their names,
+are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,17 +36,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import flat, mix, pieces, powers, prefix_sums, span
-from .common import documents, settle_table, shuffle_partitions
+from .bytesops import eights, flat, hashes, mix, pieces
+from .common import documents, dropped_after, settle_table, shuffle_partitions
 
 WINDOW, KEY = 200, 64
 TRIGGER, SPACING_BITS = 10, 5
-#: Bytes of a chunk; entries of one key in a chunk that are sent one by one.
-CHUNK, MANY = 4 << 20, 64
+#: Bytes of a chunk; different entries of one key beyond which the key is crowded, in a chunk and in all chunks together.
+CHUNK, MANY, CROWD = 4 << 20, 64, 4096
 _ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-#: Answers for an entry.
-UNIQUE, REPEATED, COMPARE, SHOW = 0, 1, 2, 3
+#: Answers for an entry: what is repeated as a whole, what is compared by bytes (and repeated anyway), what by hashes.
+UNIQUE, REPEATED, COMPARE, SHOW, SPLIT = 0, 1, 2, 3, 4
 _W48 = np.uint64((1 << 48) - 1)
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _pack48(values: np.ndarray) -> bytes:
@@ -57,64 +60,164 @@ def _unpack48(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the ranges [start, start + length), end to end."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def rolling(data: np.ndarray) -> np.ndarray:
+    """A hash of the TRIGGER bytes from each place on that has so many."""
+    if len(data) < TRIGGER:
+        return np.zeros(0, np.uint64)
+    eight = eights(data)
+    n = len(data) - TRIGGER + 1
+    out = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
+    out += eight[TRIGGER - 8 : TRIGGER - 8 + n]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out
+
+
+def triggers(data: np.ndarray, offsets: np.ndarray, found: np.ndarray | None = None) -> np.ndarray:
+    """The places that start a phrase; a trigger's bytes are in one text."""
+    found = rolling(data) if found is None else found
+    t = np.flatnonzero(found >> np.uint64(64 - SPACING_BITS) == 0)
+    return t[t + TRIGGER <= offsets[np.searchsorted(offsets, t, "right")]] if len(t) else t
+
+
 class Parse:
-    """The parse of a chunk: its runs (strings of one trigger) and the strings without a trigger."""
+    """The entries of a chunk: strings [low, high] of one anchor each."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
-        self.window = window
-        reach = window - KEY  # a string's trigger starts at most so far behind its start
+        reach = window - KEY  # a string's anchor starts at most so far behind its start
         n = len(data)
-        self.sums = prefix_sums(data)
-        if n > TRIGGER:
-            rolling = self.sums[TRIGGER:] - self.sums[:-TRIGGER]
-            rolling *= powers(len(rolling))[1]
-            rolling *= np.uint64(0xC2B2AE3D27D4EB4F)
-            t = np.flatnonzero(rolling >> np.uint64(64 - SPACING_BITS) == 0)
-        else:
-            t = np.zeros(0, np.int64)
+        roll = rolling(data)
+        t = triggers(data, offsets, roll)
         doc = np.searchsorted(offsets, t, "right") - 1
-        inside = t + TRIGGER <= offsets[doc + 1]
-        t, doc = t[inside], doc[inside]
         start, stop = offsets[doc], offsets[doc + 1] - window  # the first and the last string's start
         previous = np.concatenate([[-1], t[:-1]]) + 1
         previous = np.maximum(previous, start)  # triggers of the text before do not count
         low, high = np.maximum(previous, t - reach), np.minimum(t, stop)
         some = low <= high
-        self.low, self.high, at = low[some], high[some], t[some]
-        self.key = span(self.sums, at, at + KEY) & _W48
-        whole = span(self.sums, self.low, self.high + window)
-        self.entry = mix(whole + (at - self.low).astype(np.uint64)) & _W48
-        # Strings without a trigger near their start.
-        covered = np.zeros(n + 1, np.int32)
-        np.add.at(covered, self.low, 1)
-        np.add.at(covered, self.high + 1, -1)
+        low, high, at = low[some], high[some], t[some]
+        bare = self._bare(n, offsets, low, high, window)
+        if len(bare):
+            more = self._least(roll, bare, reach)
+            new = np.ones(len(bare), bool)
+            new[1:] = (bare[1:] != bare[:-1] + 1) | (more[1:] != more[:-1])
+            heads = np.flatnonzero(new)
+            last = np.append(heads[1:], len(bare)) - 1
+            low, high, at = np.append(low, bare[heads]), np.append(high, bare[last]), np.append(at, more[heads])
+        self.data, self.window = data, window
+        self.low, self.high, self.at = low, high, at
+        self.key = hashes(data, at, at + KEY) & _W48
+        self.entry = hashes(data, low, high + window, at - low + 1)
+
+    @staticmethod
+    def _bare(n: int, offsets: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
+        """The starts of strings without a trigger near their start."""
+        open_ = np.zeros(n + 1, np.int32)
         a, b = offsets[:-1], offsets[1:] - window + 1
         long = b > a
-        valid = np.zeros(n + 1, np.int32)
-        np.add.at(valid, a[long], 1)
-        np.add.at(valid, b[long], -1)
-        self.bare = np.flatnonzero((np.cumsum(valid)[:n] > 0) & (np.cumsum(covered)[:n] == 0))
+        np.add.at(open_, a[long], 1)
+        np.add.at(open_, b[long], -1)
+        np.add.at(open_, low, -1)
+        np.add.at(open_, high + 1, 1)
+        return np.flatnonzero(np.cumsum(open_, dtype=np.int32)[:n] > 0)
+
+    @staticmethod
+    def _least(roll: np.ndarray, bare: np.ndarray, reach: int) -> np.ndarray:
+        """Of each place, where the least hash of it and the reach places behind it is, the first of equal ones."""
+        new = np.ones(len(bare), bool)
+        new[1:] = bare[1:] != bare[:-1] + 1
+        heads = np.flatnonzero(new)
+        lengths = np.diff(np.append(heads, len(bare)))
+        zone = ranges(bare[heads], lengths + reach)
+        first = np.cumsum(lengths + reach) - (lengths + reach)  # of each zone, its first place among all zones
+        at = np.repeat(first, lengths) + (bare - np.repeat(bare[heads], lengths))
+        least, width = (roll[zone] & ~np.uint64(0xFFFFFFFF)) | zone.astype(np.uint64), 1
+        while 2 * width <= reach + 1:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        return (np.minimum(least[at], least[at + reach + 1 - width]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (key, entry) in order, whether each occurs more than once here, and each run's place among them."""
+        """The runs that stand for distinct (key, entry), in order, whether each occurs more than once here, each run's place
+        among them, and whether the key is new."""
         order = np.lexsort((self.entry, self.key))
         k, e = self.key[order], self.entry[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (k[1:] != k[:-1]) | (e[1:] != e[:-1])
+        key = np.ones(len(order), bool)
+        key[1:] = k[1:] != k[:-1]
+        new = key.copy()
+        new[1:] |= e[1:] != e[:-1]
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
         heads = np.flatnonzero(new)
-        return k[heads], e[heads], np.diff(np.append(heads, len(order))) > 1, place
+        return order[heads], np.diff(np.append(heads, len(order))) > 1, place, key[heads]
 
     def strings(self, runs: np.ndarray) -> np.ndarray:
-        """The starts of the strings of some runs and of those without a trigger."""
-        length = self.high[runs] - self.low[runs] + 1
-        ends = np.cumsum(length)
-        inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
-        return np.concatenate([np.repeat(self.low[runs], length) + inner, self.bare])
-
-    def suffixes(self, starts: np.ndarray) -> np.ndarray:
-        return span(self.sums, starts, starts + self.window)
+        """The starts of the strings of some runs."""
+        return ranges(self.low[runs], self.high[runs] - self.low[runs] + 1)
+
+
+def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each place, the rank of the rest of its string; symbols are above 0, ends are the places behind the strings.
+
+    A suffix array by prefix doubling, with equal ranks for equal rests; strings lie end to end, and a rest stops at its end.
+    """
+    if not len(symbols):
+        return symbols.astype(np.int64)
+    end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+    rank, width = np.unique(symbols, return_inverse=True)[1] + 1, 1
+    longest, places = int(np.diff(np.concatenate([[0], ends])).max()), np.arange(len(symbols))
+    while width < longest:
+        behind = places + width
+        inside = behind < end
+        more = np.zeros(len(rank), np.int64)
+        more[inside] = rank[behind[inside]]
+        rank = np.unique(rank * (len(rank) + 1) + more, return_inverse=True)[1] + 1
+        width *= 2
+        if rank.max() == len(rank):
+            break
+    return rank
+
+
+def corpus_order(data: np.ndarray, ends: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """The order of the rests of texts at the given places, by the suffix arrays of the dictionary and the parse of texts."""
+    offsets = np.concatenate([[0], ends])
+    cuts = np.union1d(triggers(data, offsets), offsets[:-1])
+    text = np.searchsorted(ends, cuts, "right")
+    # A phrase reaches over the next trigger's bytes.
+    stops = np.minimum(np.append(cuts[1:], len(data)) + TRIGGER, ends[text])
+    raw, known, phrase = data.tobytes(), {}, np.empty(len(cuts), np.int64)
+    for i, (a, b) in enumerate(zip(cuts.tolist(), stops.tolist(), strict=True)):
+        phrase[i] = known.setdefault(raw[a:b], len(known))
+    sizes = np.array([len(p) for p in known], np.int64)
+    dictionary = np.frombuffer(b"".join(known), np.uint8)
+    in_dictionary = suffix_ranks(dictionary.astype(np.int64) + 1, np.cumsum(sizes))
+    starts = np.cumsum(sizes) - sizes
+    # The parse: each text's phrases by rank; the rest of the parse behind a text's last phrase is empty, rank 0.
+    last = np.append(text[1:] != text[:-1], True)
+    parse = suffix_ranks(in_dictionary[starts[phrase]], np.flatnonzero(last) + 1)
+    behind = np.append(parse[1:], 0)
+    behind[last] = 0
+    of = np.searchsorted(cuts, strings, "right") - 1
+    suffix = in_dictionary[starts[phrase[of]] + (strings - cuts[of])]
+    return np.argsort(suffix * (len(parse) + 1) + behind[of], kind="stable")
+
+
+def repeated(data: np.ndarray, ends: np.ndarray, strings: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Whether the window bytes at each place are those at another, too: neighbours in corpus order are compared in full."""
+    order = corpus_order(data, ends, strings)
+    a, b = strings[order[:-1]], strings[order[1:]]
+    eight, same = eights(data), np.arange(len(a))
+    for k in [*range(0, window - 8, 8), window - 8]:
+        same = same[eight[a[same] + k] == eight[b[same] + k]]
+    out = np.zeros(len(strings), bool)
+    out[order[same]] = True
+    out[order[same + 1]] = True
+    return out
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -157,32 +260,33 @@ def _parse(row: dict) -> tuple[np.ndarray, np.ndarray, Parse]:
     return data, offsets, Parse(data, offsets)
 
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(keys ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(shards)).astype(np.int64)
-
-
 class _Sent:
-    """The entries of a chunk as they are sent: dealt over shards by key; of a key with MANY entries, one row for all."""
+    """The distinct entries of a chunk, dealt over shards by key; of a key with MANY of them, one row stands for all."""
 
     def __init__(self, parse: Parse, shards: int):
-        self.key, self.entry, self.again, self.place = parse.entries()
-        new = np.ones(len(self.key), bool)
-        new[1:] = self.key[1:] != self.key[:-1]
+        self.runs, self.again, self.place, new = parse.entries()
         group = np.cumsum(new) - 1
-        many = np.bincount(group, minlength=1)[group] > MANY if len(group) else np.zeros(0, bool)
-        self.kept = np.flatnonzero(~many | new)
-        shown = np.where(many, np.uint64(0), np.maximum(self.entry, np.uint64(1)))  # 0 stands for many
-        shard = _shard(self.key[self.kept], shards)
+        self.many = np.bincount(group, minlength=1)[group] > MANY if len(group) else np.zeros(0, bool)
+        self.key = parse.key[self.runs]
+        self.shown = np.where(self.many, np.uint64(0), np.maximum(parse.entry[self.runs], np.uint64(1)))  # 0 stands for many
+        kept = np.flatnonzero(~self.many | new)
+        shard = (mix(self.key[kept] ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        self.order = self.kept[order]
-        self.shown, self.bounds = shown, np.searchsorted(shard[order], np.arange(shards + 1))
-        self.many = many
+        #: The entries that are sent, in order of shards, and where each shard's begin.
+        self.order, self.bounds = kept[order], np.searchsorted(shard[order], np.arange(shards + 1))
+
+    def answers(self, row: dict) -> np.ndarray:
+        found = np.zeros(len(self.key), np.uint8)
+        for s, raw in row["entry_answers"]:
+            found[self.order[self.bounds[s] : self.bounds[s + 1]]] = np.frombuffer(raw, np.uint8)
+        found[self.many] = SPLIT
+        return found
 
 
-def _entry_answers(table: pa.Table) -> pa.Table:
+def _entry_answers(table: pa.Table, crowd: int) -> pa.Table:
     """Counts a shard's entries by key and tells each chunk what to do with its own."""
     keys = [_unpack48(x) for x in table["keys"].to_pylist()]
-    entries = [_unpack48(x) for x in table["entries"].to_pylist()]
+    entries = [np.frombuffer(x, np.uint64) for x in table["entries"].to_pylist()]
     again = [np.frombuffer(x, bool) for x in table["again"].to_pylist()]
     k, e, a = np.concatenate(keys), np.concatenate(entries), np.concatenate(again)
     order = np.lexsort((e, k))
@@ -192,13 +296,12 @@ def _entry_answers(table: pa.Table) -> pa.Table:
     new = new_key.copy()
     new[1:] |= es[1:] != es[:-1]
     entry, key = np.cumsum(new) - 1, np.cumsum(new_key) - 1
-    repeated = (np.bincount(entry, 1 + a[order]) > 1)[entry]
-    many = np.bincount(key, es == 0)[key] > 0
-    alone = np.bincount(key, new)[key] == 1
-    single = np.bincount(key, ~repeated)[key] > 0  # some entry of the key occurs once
-    answer = np.where(repeated, REPEATED, np.where(alone, UNIQUE, COMPARE)).astype(np.uint8)
-    answer[repeated & ~alone & single & new] = SHOW  # one occurrence shows the strings of its entry
-    answer[many] = COMPARE
+    repeats = (np.bincount(entry, 1 + a[order]) > 1)[entry]
+    different = np.bincount(key, new)[key]
+    single = np.bincount(key, ~repeats)[key] > 0  # some entry of the key occurs once
+    answer = np.where(repeats, REPEATED, np.where(different == 1, UNIQUE, COMPARE)).astype(np.uint8)
+    answer[repeats & (different > 1) & single & new] = SHOW  # one occurrence shows the strings of its entry
+    answer[(np.bincount(key, es == 0)[key] > 0) | (different > crowd)] = SPLIT
     out = np.empty(len(order), np.uint8)
     out[order] = answer
     ends = np.cumsum([len(x) for x in keys])
@@ -206,49 +309,79 @@ def _entry_answers(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"], "shard": table["shard"], "answer": pa.array(made, pa.binary())})
 
 
-def _suffix_answers(table: pa.Table) -> pa.Table:
-    """Puts a shard's suffixes in order and marks those with an equal neighbour."""
-    found = [np.frombuffer(x, np.uint64) for x in table["suffixes"].to_pylist()]
-    again = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(f)] for x, f in zip(table["again"].to_pylist(), found, strict=True)]
-    s, a = np.concatenate(found), np.concatenate(again)
-    order = np.argsort(s)
-    ss = s[order]
-    same = np.zeros(len(ss), bool)
-    same[1:] = ss[1:] == ss[:-1]
-    same[:-1] |= ss[1:] == ss[:-1]
-    out = a.astype(bool)
-    out[order] |= same
-    ends = np.cumsum([len(x) for x in found])
-    made = [np.packbits(x).tobytes() for x in np.split(out, ends[:-1])]
-    return pa.table({"chunk": table["chunk"], "shard": table["shard"], "answer": pa.array(made, pa.binary())})
+class _Open:
+    """What of a chunk is compared: entries by their bytes, and distinct strings of crowded keys by their hashes."""
 
-
-def _decisions(row: dict, parse: Parse, shards: int) -> np.ndarray:
-    """The answer for each run. An entry that shows its strings does so wherever this chunk has it (they count once)."""
-    sent = _Sent(parse, shards)
-    found = np.zeros(len(sent.key), np.uint8)
-    for s, raw in row["entry_answers"]:
-        found[sent.order[sent.bounds[s] : sent.bounds[s + 1]]] = np.frombuffer(raw, np.uint8)
-    found[sent.many] = COMPARE
-    return found[sent.place]
-
-
-class _Suffixes:
-    """The strings of a chunk that must be compared: distinct hashes by shard, and where each string's is."""
-
-    def __init__(self, parse: Parse, decisions: np.ndarray, shards: int):
-        self.starts = parse.strings(np.flatnonzero(decisions >= COMPARE))
-        distinct, self.inverse, counts = np.unique(parse.suffixes(self.starts), return_inverse=True, return_counts=True)
+    def __init__(self, sent: _Sent, parse: Parse, decisions: np.ndarray, shards: int):
+        self.parse = parse
+        picked = np.flatnonzero((decisions[sent.order] == COMPARE) | (decisions[sent.order] == SHOW))
+        self.runs, self.bounds = sent.runs[sent.order[picked]], np.searchsorted(picked, sent.bounds)
+        self.counts = parse.high[self.runs] - parse.low[self.runs] + 1
+        self.starts = parse.strings(np.flatnonzero(decisions[sent.place] == SPLIT))
+        one, two = (hashes(parse.data, self.starts, self.starts + parse.window, seed) for seed in (0, _SECOND))
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        self.inverse = np.empty(len(order), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
+        heads = np.flatnonzero(new)
+        self.one, self.two, self.again = one[heads], two[heads], np.diff(np.append(heads, len(order))) > 1
         # The leading bits are the shard, so that the distinct hashes are in order of shards already.
-        shard = ((distinct >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-        self.distinct, self.again = distinct, counts > 1
-        self.bounds = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+        shard = ((self.one >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+        self.hash_bounds = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+
+    def sent(self, s: int) -> tuple[bytes, bytes, bytes, bytes] | None:
+        """Counts of strings and bytes of a shard's entries, hashes of its strings, and whether these occur again here."""
+        a, b = self.bounds[s : s + 2]
+        c, d = self.hash_bounds[s : s + 2]
+        if a == b and c == d:
+            return None
+        low, size = self.parse.low[self.runs[a:b]], self.counts[a:b] + self.parse.window - 1
+        both = np.stack([self.one[c:d], self.two[c:d]], 1)
+        return self.counts[a:b].astype(np.uint8).tobytes(), self.parse.data[ranges(low, size)].tobytes(), both.tobytes(), np.packbits(self.again[c:d]).tobytes()
+
+    def hits(self, answers: list[tuple[int, bytes]]) -> np.ndarray:
+        """The starts of the strings that are repeated."""
+        found, hit = [], np.zeros(len(self.one), bool)
+        for s, raw in answers:
+            a, b = self.bounds[s : s + 2]
+            c, d = self.hash_bounds[s : s + 2]
+            starts = self.parse.strings(self.runs[a:b])
+            bits = np.unpackbits(np.frombuffer(raw, np.uint8))[: len(starts) + d - c].astype(bool)
+            found.append(starts[bits[: len(starts)]])
+            hit[c:d] = bits[len(starts) :]
+        return np.concatenate([*found, self.starts[hit[self.inverse]]])
+
+
+def _string_answers(table: pa.Table) -> pa.Table:
+    """Marks the strings of a shard that occur elsewhere, too: first those of entries, by corpus order, then those sent as hashes."""
+    counts = [np.frombuffer(x, np.uint8).astype(np.int64) for x in table["counts"].to_pylist()]
+    data = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8)
+    sent = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in table["hashes"].to_pylist()]
+    again = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(f)] for x, f in zip(table["again"].to_pylist(), sent, strict=True)]
+    every = np.concatenate(counts)
+    ends = np.cumsum(every + WINDOW - 1)
+    strings = ranges(ends - (every + WINDOW - 1), every)
+    hit = repeated(data, ends, strings) if len(strings) else np.zeros(0, bool)
+    hashed = np.concatenate(sent)
+    order = np.lexsort((hashed[:, 1], hashed[:, 0]))
+    same = np.zeros(len(order), bool)
+    equal = (hashed[order[1:]] == hashed[order[:-1]]).all(1)
+    same[1:] = equal
+    same[:-1] |= equal
+    hashed_hit = np.concatenate(again).astype(bool)
+    hashed_hit[order] |= same
+    by_entry = np.split(hit, np.cumsum([int(c.sum()) for c in counts])[:-1])
+    by_hash = np.split(hashed_hit, np.cumsum([len(x) for x in sent])[:-1])
+    made = [np.packbits(np.concatenate(x)).tobytes() for x in zip(by_entry, by_hash, strict=True)]
+    return pa.table({"chunk": table["chunk"], "shard": table["shard"], "answer": pa.array(made, pa.binary())})
 
 
 def _rows(batch: pa.RecordBatch):
     for i in range(batch.num_rows):
         row = batch.slice(i, 1).to_pylist()[0]
-        for name in ("entry_answers", "suffix_answers"):
+        for name in ("entry_answers", "string_answers"):
             if name in row:
                 row[name] = [(x["shard"], x["answer"]) for x in row[name] or []]
         yield row
@@ -258,7 +391,7 @@ def _per_chunk(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "answer")).alias(name))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, crowd: int = CROWD) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text (bytes that no
     longer form a character are replaced)."""
     spark: SparkSession = docs.sparkSession
@@ -269,7 +402,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = _ID_TYPES[kind]
     name = f"repeat_chunks_{uuid.uuid4().hex}"
     chunks(named).write.option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name, format="parquet")
-    try:
+    with dropped_after(spark) as drop:
+        drop.table(name)
         table = spark.table(name)
         plain = table.select("chunk", "lengths", "data")
         answer = "chunk bigint, shard int, answer binary"
@@ -277,49 +411,47 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def send_entries(batches):
             for batch in batches:
                 for row in _rows(batch):
-                    sent = _Sent(_parse(row)[2], shards)
+                    parse = _parse(row)[2]
+                    sent = _Sent(parse, shards)
                     some = [s for s in range(shards) if sent.bounds[s] < sent.bounds[s + 1]]
                     parts = [sent.order[sent.bounds[s] : sent.bounds[s + 1]] for s in some]
                     columns = [
                         pa.array([row["chunk"]] * len(some), pa.int64()), pa.array(some, pa.int32()),
                         pa.array([_pack48(sent.key[x]) for x in parts], pa.binary()),
-                        pa.array([_pack48(sent.shown[x]) for x in parts], pa.binary()),
+                        pa.array([sent.shown[x].tobytes() for x in parts], pa.binary()),
                         pa.array([sent.again[x].tobytes() for x in parts], pa.binary()),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=["chunk", "shard", "keys", "entries", "again"])
 
         sent = plain.mapInArrow(send_entries, "chunk bigint, shard int, keys binary, entries binary, again binary")
-        answered = settle_table(sent.groupBy("shard").applyInArrow(_entry_answers, answer), "repeat-entries")
+        answered = drop(settle_table(sent.groupBy("shard").applyInArrow(lambda t: _entry_answers(t, crowd), answer), "repeat-entries"))
         entry_answers = _per_chunk(answered, "entry_answers")
 
-        def send_suffixes(batches):
+        def send_strings(batches):
             for batch in batches:
                 for row in _rows(batch):
                     parse = _parse(row)[2]
-                    x = _Suffixes(parse, _decisions(row, parse, shards), shards)
-                    some = [s for s in range(shards) if x.bounds[s] < x.bounds[s + 1]]
-                    columns = [
-                        pa.array([row["chunk"]] * len(some), pa.int64()), pa.array(some, pa.int32()),
-                        pa.array([x.distinct[x.bounds[s] : x.bounds[s + 1]].tobytes() for s in some], pa.binary()),
-                        pa.array([np.packbits(x.again[x.bounds[s] : x.bounds[s + 1]]).tobytes() for s in some], pa.binary()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["chunk", "shard", "suffixes", "again"])
-
-        sent = plain.join(entry_answers, "chunk", "left").mapInArrow(send_suffixes, "chunk bigint, shard int, suffixes binary, again binary")
-        answered = settle_table(sent.groupBy("shard").applyInArrow(_suffix_answers, answer), "repeat-suffixes")
-        both = table.join(entry_answers, "chunk", "left").join(_per_chunk(answered, "suffix_answers"), "chunk", "left")
+                    sent = _Sent(parse, shards)
+                    x = _Open(sent, parse, sent.answers(row), shards)
+                    made = [(s, *part) for s in range(shards) if (part := x.sent(s))]
+                    columns = list(zip(*made, strict=True)) if made else [()] * 5
+                    columns = [pa.array(c, k) for c, k in zip(columns, [pa.int32(), *[pa.binary()] * 4], strict=True)]
+                    columns = [pa.array([row["chunk"]] * len(made), pa.int64()), *columns]
+                    yield pa.RecordBatch.from_arrays(columns, names=["chunk", "shard", "counts", "data", "hashes", "again"])
+
+        schema = "chunk bigint, shard int, counts binary, data binary, hashes binary, again binary"
+        sent = plain.join(entry_answers, "chunk", "left").mapInArrow(send_strings, schema)
+        answered = drop(settle_table(sent.groupBy("shard").applyInArrow(_string_answers, answer), "repeat-strings"))
+        both = table.join(entry_answers, "chunk", "left").join(_per_chunk(answered, "string_answers"), "chunk", "left")
 
         def finish(batches):
             for batch in batches:
                 for row in _rows(batch):
                     data, offsets, parse = _parse(row)
-                    decisions = _decisions(row, parse, shards)
-                    x = _Suffixes(parse, decisions, shards)
-                    hit = np.zeros(len(x.distinct), bool)
-                    for s, raw in row["suffix_answers"]:
-                        a, b = x.bounds[s], x.bounds[s + 1]
-                        hit[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8))[: b - a]
-                    starts = x.starts[hit[x.inverse]]
+                    sent = _Sent(parse, shards)
+                    decisions = sent.answers(row)
+                    starts = _Open(sent, parse, decisions, shards).hits(row["string_answers"])
+                    decisions = decisions[sent.place]
                     whole = np.flatnonzero((decisions == REPEATED) | (decisions == SHOW))
                     cover = np.zeros(len(data) + WINDOW + 1, np.int32)
                     np.add.at(cover, parse.low[whole], 1)
@@ -331,8 +463,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
         found = settle_table(both.mapInArrow(finish, schema), "repeat-results")
-    finally:
-        spark.sql(f"drop table if exists {name}")
     return found.withColumnRenamed("id", id_col)
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import math
+import random
 import re
 import zlib
 
@@ -416,7 +417,7 @@ def test_blocks_find_what_stars_miss(spark):
 # 10
 
 
-def test_repeats(hard, empty, spark):
+def test_repeats(hard, empty, clashing, spark):
     texts = [(i, (t or "").encode()) for i, t, *_ in hard_rows()]
     count = collections.Counter(b[p : p + 200] for _, b in texts for p in range(len(b) - 199))
     wanted = collections.Counter()
@@ -429,9 +430,47 @@ def test_repeats(hard, empty, spark):
         wanted[i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()] += 1
     found = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in table(repeats.remove_repeats(hard)))
     assert found == wanted
+    crowded = repeats.remove_repeats(hard, crowd=1)
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in table(crowded)) == wanted
     assert repeats.remove_repeats(empty).count() == 0
-    # A key with more entries in a chunk than are sent one by one.
+    # A key with more entries in a chunk than are sent one by one, and (with fewer allowed) in all chunks together.
     passage = prose(7, 60)
     many = spark.createDataFrame([(i, prose(200 + i, 50) + " " + passage + " " + prose(900 + i, 50)) for i in range(150)], "doc_id long, text string").coalesce(1)
     gone = [r["n_removed"] for r in table(repeats.remove_repeats(many))]
     assert min(gone) >= len(passage.encode())
+    assert repeats.remove_repeats(clashing).count() == len(hard_rows())
+
+
+def thue_morse(n: int) -> str:
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s[:n]
+
+
+def test_strings_that_collide_under_polynomials(spark):
+    """A Thue-Morse string and its complement have equal polynomials modulo 2**64, whatever the odd base."""
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    frame = spark.createDataFrame([(1, one), (2, two), (10, one[:200]), (11, two[:200])], "doc_id long, text string")
+    assert {r["n_known"] for r in table(lm_score.score(frame, F.col("doc_id") != 2)) if r["id" if "id" in r else "doc_id"] == 2} == {1}
+    assert {r["doc_id"]: r["component_id"] for r in table(minhash.near_duplicates(frame))} == {1: 1, 2: 2, 10: 10, 11: 11}
+    count = collections.Counter(t[p : p + 200] for t in (one, two, one[:200], two[:200]) for p in range(len(t) - 199))
+    covered = lambda t: len({q for p in range(len(t) - 199) if count[t[p : p + 200]] > 1 for q in range(p, p + 200)})
+    assert [r["n_removed"] for r in sorted(table(repeats.remove_repeats(frame)), key=lambda r: r["doc_id"])] == [covered(t) for t in (one, two, one[:200], two[:200])]
+
+
+def test_corpus_order_is_lexicographic():
+    """The suffix arrays of dictionary and parse together give the order of whole suffixes."""
+    r = random.Random(5)
+    base = bytes(r.choice(b"ab ") for _ in range(600))
+    for _ in range(20):
+        texts = [base[a : a + r.randrange(200, 300)] for a in (r.randrange(300) for _ in range(8))] + [b"a" * r.randrange(200, 400) for _ in range(3)]
+        texts += [t[:k] + b"c" + t[k:] for t, k in ((t, r.randrange(len(t))) for t in texts[:4])]
+        raw, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+        data = np.frombuffer(raw, np.uint8)
+        strings = np.concatenate([np.arange(e - len(t), e - 199) for t, e in zip(texts, ends, strict=True)])
+        rests = [raw[p : ends[np.searchsorted(ends, p, "right")]] for p in strings]
+        assert [rests[i] for i in repeats.corpus_order(data, ends, strings)] == sorted(rests)
+        count = collections.Counter(raw[p : p + 200] for p in strings)
+        assert repeats.repeated(data, ends, strings).tolist() == [count[raw[p : p + 200]] > 1 for p in strings]
