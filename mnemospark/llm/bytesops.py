@@ -45,8 +45,8 @@ def eights(data: np.ndarray) -> np.ndarray:
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
     """64-bit hashes of the strings data[start:end], which equal strings of equal seed share.
 
-    Eight bytes at a time are taken up by a bijective finaliser: unlike a polynomial modulo a power of two, it has no strings
-    that collide by construction, and strings of up to eight bytes and equal length never do.
+    Eight bytes at a time are taken up by a bijective step that is not linear: unlike a polynomial modulo a power of two, it
+    has no strings that collide by construction, and strings of up to eight bytes and equal length never do.
     """
     eight, length = eights(data), ends - starts
     h = mix(length.astype(np.uint64) * _LENGTHS + np.asarray(seed).astype(np.uint64))
@@ -56,12 +56,15 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.ndar
         block = eight[at]
         part = left < 8
         block[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
-        h[live] = mix((h[live] ^ block) * _BLOCKS)
+        block ^= h[live]
+        block *= _BLOCKS
+        block ^= block >> np.uint64(29)
+        h[live] = block
         more = np.flatnonzero(left > 8)
         live, at, left = live[more], at[more] + 8, left[more] - 8
     for i in np.flatnonzero(length > _LONG):
         h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), int(h[i])))
-    return h
+    return mix(h)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ Each text is parsed at rolling-hash triggers: a place starts a phrase if a hash
   context) would be one task's load. Its strings are dealt out by their own 128-bit hashes instead, and equal ones are repeats.
 
 Entries are equal by a 64-bit hash under a 48-bit key, strings of crowded keys by 128 bits, all others by their bytes. Texts
-stay in one table, bucketed by chunk, which three passes read in place; between passes each distinct entry of a chunk is
+stay in one table, bucketed by chunk, which three passes read in place (the last does not parse again); between passes each distinct entry of a chunk is
 sent once, and answers of a few bits. As with the blocks of an exchange, there is a row for each chunk and shard.
 
 Defined cases: null and empty texts have no bytes and lose none; texts shorter than WINDOW lose none; a text longer than CHUNK
@@ -28,6 +28,7 @@ are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import uuid
 
 import numpy as np
@@ -46,6 +47,8 @@ CHUNK, MANY, CROWD = 4 << 20, 64, 4096
 _ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 #: Answers for an entry: what is repeated as a whole, what is compared by bytes (and repeated anyway), what by hashes.
 UNIQUE, REPEATED, COMPARE, SHOW, SPLIT = 0, 1, 2, 3, 4
+#: In place of a shard: what a chunk keeps for itself.
+OWN = -1
 _W48 = np.uint64((1 << 48) - 1)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -91,7 +94,6 @@ class Parse:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
         reach = window - KEY  # a string's anchor starts at most so far behind its start
-        n = len(data)
         roll = rolling(data)
         t = triggers(data, offsets, roll)
         doc = np.searchsorted(offsets, t, "right") - 1
@@ -101,7 +103,7 @@ class Parse:
         low, high = np.maximum(previous, t - reach), np.minimum(t, stop)
         some = low <= high
         low, high, at = low[some], high[some], t[some]
-        bare = self._bare(n, offsets, low, high, window)
+        bare = self._bare(offsets, low, high, window)
         if len(bare):
             more = self._least(roll, bare, reach)
             new = np.ones(len(bare), bool)
@@ -115,16 +117,17 @@ class Parse:
         self.entry = hashes(data, low, high + window, at - low + 1)
 
     @staticmethod
-    def _bare(n: int, offsets: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
-        """The starts of strings without a trigger near their start."""
-        open_ = np.zeros(n + 1, np.int32)
-        a, b = offsets[:-1], offsets[1:] - window + 1
-        long = b > a
-        np.add.at(open_, a[long], 1)
-        np.add.at(open_, b[long], -1)
-        np.add.at(open_, low, -1)
-        np.add.at(open_, high + 1, 1)
-        return np.flatnonzero(np.cumsum(open_, dtype=np.int32)[:n] > 0)
+    def _bare(offsets: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
+        """The starts of strings without a trigger near their start: what the runs leave between them and at a text's end."""
+        start, stop = offsets[:-1], offsets[1:] - window
+        long = stop >= start
+        start, stop = start[long], stop[long]
+        edge = np.concatenate([low, stop + 1])
+        order = np.argsort(edge, kind="stable")
+        edge = edge[order]
+        before = np.concatenate([[0], np.concatenate([high, stop])[order][:-1] + 1])
+        before = np.maximum(before, start[np.searchsorted(start, edge, "right") - 1]) if len(edge) else before[:0]
+        return ranges(before, np.maximum(edge - before, 0))
 
     @staticmethod
     def _least(roll: np.ndarray, bare: np.ndarray, reach: int) -> np.ndarray:
@@ -161,25 +164,46 @@ class Parse:
         return ranges(self.low[runs], self.high[runs] - self.low[runs] + 1)
 
 
+def _firsts(new: np.ndarray) -> np.ndarray:
+    """Of each place, the last one up to it that is new."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
 def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Of each place, the rank of the rest of its string; symbols are above 0, ends are the places behind the strings.
 
     A suffix array by prefix doubling, with equal ranks for equal rests; strings lie end to end, and a rest stops at its end.
+    A rank is one more than the number of smaller rests, so that each round sorts only those that are not yet told apart.
     """
-    if not len(symbols):
+    n = len(symbols)
+    if not n:
         return symbols.astype(np.int64)
-    end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-    rank, width = np.unique(symbols, return_inverse=True)[1] + 1, 1
-    longest, places = int(np.diff(np.concatenate([[0], ends])).max()), np.arange(len(symbols))
-    while width < longest:
-        behind = places + width
-        inside = behind < end
-        more = np.zeros(len(rank), np.int64)
-        more[inside] = rank[behind[inside]]
-        rank = np.unique(rank * (len(rank) + 1) + more, return_inverse=True)[1] + 1
-        width *= 2
-        if rank.max() == len(rank):
-            break
+    lengths = np.diff(np.concatenate([[0], ends]))
+    left = np.repeat(ends, lengths) - np.arange(n)
+    # As many symbols at once as fit into an integer.
+    bits = int(symbols.max()).bit_length()
+    width = max(1, 63 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key <<= bits
+        key[: n - k] += np.where(left[: n - k] > k, symbols[k:], 0) if k else symbols
+    order = np.argsort(key)
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    rank = np.empty(n, np.int64)
+    rank[order] = _firsts(new) + 1
+    alone = new & np.append(new[1:], True)
+    open_ = order[~alone]
+    while len(open_ := open_[left[open_] >= width]):
+        behind = np.minimum(open_ + width, n - 1)
+        key = rank[open_] * (n + 1) + np.where(left[open_] > width, rank[behind], 0)
+        order = np.argsort(key)
+        open_, key = open_[order], key[order]
+        old = rank[open_]
+        new = np.append(True, key[1:] != key[:-1])
+        rank[open_] = old + _firsts(new) - _firsts(np.append(True, old[1:] != old[:-1]))
+        alone = new & np.append(new[1:], True)
+        open_, width = open_[~alone], 2 * width
     return rank
 
 
@@ -254,10 +278,8 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"chunk bigint, ids array<{kind}>, lengths binary, data binary")
 
 
-def _parse(row: dict) -> tuple[np.ndarray, np.ndarray, Parse]:
-    data = np.frombuffer(row["data"], np.uint8)
-    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(row["lengths"], np.int64))])
-    return data, offsets, Parse(data, offsets)
+def _parse(row: dict) -> Parse:
+    return Parse(np.frombuffer(row["data"], np.uint8), np.concatenate([[0], np.cumsum(np.frombuffer(row["lengths"], np.int64))]))
 
 
 class _Sent:
@@ -341,17 +363,31 @@ class _Open:
         both = np.stack([self.one[c:d], self.two[c:d]], 1)
         return self.counts[a:b].astype(np.uint8).tobytes(), self.parse.data[ranges(low, size)].tobytes(), both.tobytes(), np.packbits(self.again[c:d]).tobytes()
 
-    def hits(self, answers: list[tuple[int, bytes]]) -> np.ndarray:
-        """The starts of the strings that are repeated."""
-        found, hit = [], np.zeros(len(self.one), bool)
-        for s, raw in answers:
-            a, b = self.bounds[s : s + 2]
-            c, d = self.hash_bounds[s : s + 2]
-            starts = self.parse.strings(self.runs[a:b])
-            bits = np.unpackbits(np.frombuffer(raw, np.uint8))[: len(starts) + d - c].astype(bool)
-            found.append(starts[bits[: len(starts)]])
-            hit[c:d] = bits[len(starts) :]
-        return np.concatenate([*found, self.starts[hit[self.inverse]]])
+    def pending(self, whole: np.ndarray) -> bytes:
+        """What the chunk needs again when the answers are there; whole: the runs that are repeated anyway."""
+        cover = _cover(len(self.parse.data), self.parse.low[whole], self.parse.high[whole] - self.parse.low[whole] + self.parse.window)
+        return pickle.dumps((np.packbits(cover), self.parse.low[self.runs], self.counts, self.bounds, self.starts, self.inverse, self.hash_bounds))
+
+
+def _cover(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+    """Which of n places the ranges cover."""
+    open_ = np.bincount(starts, minlength=n + 1) - np.bincount(starts + lengths, minlength=n + 1)
+    return np.cumsum(open_)[:n] > 0
+
+
+def _gone(pending: bytes, n: int, answers: list[tuple[int, bytes]]) -> np.ndarray:
+    """Which bytes of a chunk are repeated, given what was pending and the shards' answers."""
+    cover, low, counts, bounds, starts, inverse, hash_bounds = pickle.loads(pending)
+    found, hit = [], np.zeros(hash_bounds[-1], bool)
+    for s, raw in answers:
+        a, b = bounds[s : s + 2]
+        c, d = hash_bounds[s : s + 2]
+        own = ranges(low[a:b], counts[a:b])
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8))[: len(own) + d - c].astype(bool)
+        found.append(own[bits[: len(own)]])
+        hit[c:d] = bits[len(own) :]
+    strings = np.concatenate([*found, starts[hit[inverse]]])
+    return np.unpackbits(cover)[:n].astype(bool) | _cover(n, strings, WINDOW)
 
 
 def _string_answers(table: pa.Table) -> pa.Table:
@@ -411,7 +447,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def send_entries(batches):
             for batch in batches:
                 for row in _rows(batch):
-                    parse = _parse(row)[2]
+                    parse = _parse(row)
                     sent = _Sent(parse, shards)
                     some = [s for s in range(shards) if sent.bounds[s] < sent.bounds[s + 1]]
                     parts = [sent.order[sent.bounds[s] : sent.bounds[s + 1]] for s in some]
@@ -430,36 +466,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def send_strings(batches):
             for batch in batches:
                 for row in _rows(batch):
-                    parse = _parse(row)[2]
+                    parse = _parse(row)
                     sent = _Sent(parse, shards)
-                    x = _Open(sent, parse, sent.answers(row), shards)
-                    made = [(s, *part) for s in range(shards) if (part := x.sent(s))]
-                    columns = list(zip(*made, strict=True)) if made else [()] * 5
-                    columns = [pa.array(c, k) for c, k in zip(columns, [pa.int32(), *[pa.binary()] * 4], strict=True)]
+                    decisions = sent.answers(row)
+                    x = _Open(sent, parse, decisions, shards)
+                    decisions = decisions[sent.place]
+                    own = x.pending(np.flatnonzero((decisions == REPEATED) | (decisions == SHOW)))
+                    made = [(OWN, None, own, None, None), *((s, *part) for s in range(shards) if (part := x.sent(s)))]
+                    columns = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)]
                     columns = [pa.array([row["chunk"]] * len(made), pa.int64()), *columns]
                     yield pa.RecordBatch.from_arrays(columns, names=["chunk", "shard", "counts", "data", "hashes", "again"])
 
         schema = "chunk bigint, shard int, counts binary, data binary, hashes binary, again binary"
         sent = plain.join(entry_answers, "chunk", "left").mapInArrow(send_strings, schema)
-        answered = drop(settle_table(sent.groupBy("shard").applyInArrow(_string_answers, answer), "repeat-strings"))
-        both = table.join(entry_answers, "chunk", "left").join(_per_chunk(answered, "string_answers"), "chunk", "left")
+        sent = drop(settle_table(sent, "repeat-strings"))
+        answered = sent.where(F.col("shard") != OWN).groupBy("shard").applyInArrow(_string_answers, answer)
+        answered = drop(settle_table(answered, "repeat-answers"))
+        own = sent.where(F.col("shard") == OWN).select("chunk", F.col("data").alias("pending"))
+        both = table.join(own, "chunk").join(_per_chunk(answered, "string_answers"), "chunk", "left")
 
         def finish(batches):
             for batch in batches:
                 for row in _rows(batch):
-                    data, offsets, parse = _parse(row)
-                    sent = _Sent(parse, shards)
-                    decisions = sent.answers(row)
-                    starts = _Open(sent, parse, decisions, shards).hits(row["string_answers"])
-                    decisions = decisions[sent.place]
-                    whole = np.flatnonzero((decisions == REPEATED) | (decisions == SHOW))
-                    cover = np.zeros(len(data) + WINDOW + 1, np.int32)
-                    np.add.at(cover, parse.low[whole], 1)
-                    np.add.at(cover, parse.high[whole] + WINDOW, -1)
-                    np.add.at(cover, starts, 1)
-                    np.add.at(cover, starts + WINDOW, -1)
-                    gone = np.cumsum(cover)[: len(data)] > 0
-                    yield _outcome(row["ids"], data, offsets, gone, id_type, with_text)
+                    data = np.frombuffer(row["data"], np.uint8)
+                    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(row["lengths"], np.int64))])
+                    yield _outcome(row["ids"], data, offsets, _gone(row["pending"], len(data), row["string_answers"]), id_type, with_text)
 
         schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text
         found = settle_table(both.mapInArrow(finish, schema), "repeat-results")
