@@ -2,92 +2,106 @@
 
 Rows are range-partitioned by sampled splitters over the normalised text, sorted inside each range by the whole
 normalised bytes (Spark's external sorter spills), and neighbours are compared in full. The splitter key is the first
-bytes of the normalised text, then its digest, so that a sample of splitters stays small however long the texts are and
-equal texts are adjacent; below both stands a tie slot, a hash of the identifier, which cuts a text with very many copies
-into several ranges. What leaves a range is a digest, never the text: the runs of a text in its slots, at most one for
-each slot, are merged by digest and length, and each document takes its group's answer from (digest, slot), so that
-no key holds more than one slot's share of the largest group.
+code points of the normalised text, then a 64-bit hash of it, so that the sample of splitters stays small however long the
+texts are, and a frequent beginning is cut into several ranges. Equal keys never fall into two ranges; texts of one
+hash are told apart by the comparison, not by the hash. Of a run of equal texts the row that stays sorts first.
+
+A text that holds more of a sample than half a partition's share is heavy: its rows get tie slots, a hash of the identifier and of the input
+partition, behind the splitter key, so that a text with a third of all rows is dealt over many ranges. There are at most
+two heavy texts for each partition. Of a heavy text, the first row of each slot keeps the text; these few rows meet by the
+whole text again.
 
 Defined cases: a null text counts as empty; texts of white space only are equal to it; repeated rows (same identifier)
-each count as a member; a null identifier is the least; an empty table gives an empty result; other columns are carried along only by ``dedup``.
+each count as a member; a null identifier is the least; very long texts are compared whole; an empty table gives an empty
+result; other columns are carried along only by ``dedup``, whatever their names. Of rows with equal text, length and identifier
+but different other columns, ``dedup`` keeps the one of the least hash over all columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, settle_table, shuffle_partitions, text_or_empty
+from .common import SPACE, documents, settle_table, shuffle_partitions, text_or_empty
 
 #: Code points of the normalised text in the splitter key.
 PREFIX = 32
-#: Tie slots at least; with more shuffle partitions there are as many slots as partitions.
-SLOTS = 64
+#: Share of the rows that heavy texts are looked for in, with its seed; rows there from which a text can be heavy.
+SAMPLE, SEED, LEAST = 0.05, 7, 8
+
+_KEYS = ["head", "mark", "slot"]
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int | None = None) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    partitions = shuffle_partitions(spark)
-    slots = slots or max(SLOTS, partitions)
+def heavy_marks(marked: DataFrame, partitions: int) -> DataFrame:
+    """mark: of texts that hold more than half a partition's share of a sample of marked."""
+    counts = marked.sample(SAMPLE, SEED).groupBy("mark").agg(F.count(F.lit(1)).alias("c"))
+    rows = counts.agg(F.sum("c")).first()[0] or 0
+    return counts.where(F.col("c") >= max(LEAST, -(-rows // (2 * partitions)))).select("mark", F.lit(True).alias("heavy"))
+
+
+def in_content_order(docs: DataFrame, id_col: str, text_col: str, mark: Callable[[Column], Column], carry: bool) -> DataFrame:
+    """id, points, head, mark, slot, norm, starts (1 at the first row of a run of equal texts, which is the row to keep), run and,
+    if carry, row: the columns of docs. Slot 0 is for texts that are not heavy."""
+    partitions = shuffle_partitions(docs.sparkSession)
     norm = F.regexp_replace(text_or_empty(text_col), f"[{SPACE}]+", "")
-    rows = (
-        docs.select(F.col(id_col).alias("id"), F.char_length(text_or_empty(text_col)).alias("points"), norm.alias("norm"))
-        .withColumn("digest", F.sha2("norm", 256))
-        .select(
-            "id",
-            "points",
-            "norm",
-            "digest",
-            F.substring("norm", 1, PREFIX).alias("head"),
-            F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int").alias("slot"),
-        )
-        .repartitionByRange(partitions, "head", "digest", "slot")
-    )
+    row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("id"), F.char_length(text_or_empty(text_col)).alias("points"), norm.alias("norm"), *row)
+    rows = rows.withColumn("mark", mark(F.col("norm")))
+    slots = max(64, partitions)
+    slot = F.when(F.col("heavy"), F.pmod(F.xxhash64("id", F.spark_partition_id()), F.lit(slots)) + 1).otherwise(0).cast("int")
+    # At most two heavy texts for a partition: the broadcast has so many rows of one number.
+    rows = rows.join(F.broadcast(heavy_marks(rows, partitions)), "mark", "left").withColumn("slot", slot).drop("heavy")
+    rows = rows.withColumn("head", F.substring("norm", 1, PREFIX)).repartitionByRange(partitions, *_KEYS)
     # The range partitioning already clusters these keys: the window adds a sort, no exchange.
-    inside = Window.partitionBy("head", "digest", "slot").orderBy("norm", "id")
-    starts = F.when(F.lag("norm").over(inside).eqNullSafe(F.col("norm")), 0).otherwise(1)
-    member = (
-        rows.withColumn("starts", starts)
-        .withColumn("run", F.sum("starts").over(inside))
-        .select("id", "points", "digest", "slot", F.octet_length("norm").alias("bytes"), "run")
-    )
-    member = settle_table(member, "exact-members")
-    # One row for each run; a text has at most one run in each slot. run is 1 unless two texts share a digest.
-    keys = ["digest", "bytes", "run"]
-    runs = member.groupBy(*keys, "slot").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("points")).alias("p"), F.col("id").alias("id"))).alias("best")
-    )
-    whole = Window.partitionBy(*keys)
-    answer = runs.select(
-        *keys, "slot", F.min("best").over(whole)["id"].alias("keep_id"), F.sum("n").over(whole).alias("group_size")
-    )
-    found = member.join(answer, [*keys, "slot"])
-    return found.select(
+    ties = [F.xxhash64("row")] if carry else []
+    inside = Window.partitionBy(*_KEYS).orderBy("norm", F.col("points").desc(), "id", *ties)
+    rows = rows.withColumn("starts", F.when(F.lag("norm").over(inside).eqNullSafe(F.col("norm")), 0).otherwise(1))
+    return rows.withColumn("run", F.sum("starts").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def _mark(norm: Column) -> Column:
+    return F.xxhash64(norm)
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Callable[[Column], Column] = _mark) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256. mark: the hash behind the splitter key."""
+    ordered = in_content_order(docs, id_col, text_col, mark, False)
+    keys = [*_KEYS, "run"]
+    shown = F.when((F.col("slot") > 0) & (F.col("starts") == 1), F.col("norm")).alias("shown")
+    member = ordered.select("id", "points", *keys, F.sha2("norm", 256).alias("digest"), shown)
+    here = Window.partitionBy(*keys)
+    best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").alias("id")))
+    member = member.withColumn("best", best.over(here)).withColumn("n", F.count(F.lit(1)).over(here))
+    member = settle_table(member.drop("points"), "exact-members")
+    # The runs of a heavy text in its slots meet by the whole text.
+    same = Window.partitionBy("shown")
+    runs = member.where("shown is not null")
+    runs = runs.select(*keys, F.min("best").over(same).alias("all_best"), F.sum("n").over(same).alias("all_n"))
+    light = member.where("slot = 0").select("id", "digest", "best", "n")
+    heavy = member.where("slot > 0").join(runs, keys).select("id", "digest", F.col("all_best").alias("best"), F.col("all_n").alias("n"))
+    return light.unionByName(heavy).select(
         F.col("id").alias(id_col),
-        "keep_id",
-        "group_size",
-        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.col("best.id").alias("keep_id"),
+        F.col("n").alias("group_size"),
+        F.col("id").eqNullSafe(F.col("best.id")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of repeated rows (same identifier, equal text) one.
-
-    Rows meet the answers by digest and identifier, so that copies of one text are dealt over all tasks.
-    """
-    digest = F.sha2(F.regexp_replace(text_or_empty(text_col), f"[{SPACE}]+", ""), 256)
-    keys = ["__digest", "__mark"]
-    kept = groups(docs, id_col, text_col).where("kept")
-    kept = kept.select(F.col("text_sha256").alias(keys[0]), F.xxhash64(id_col).alias(keys[1])).distinct()
-    rows = docs.withColumn(keys[0], digest).withColumn(keys[1], F.xxhash64(id_col))
-    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    """The rows of docs that stay, one of each group, with all their columns; texts move once."""
+    first = in_content_order(docs, id_col, text_col, _mark, True).where("starts = 1")
+    # Of a heavy text there is a first row in each slot: at most as many as slots.
+    text = F.when(F.col("slot") > 0, F.col("norm")).alias("text")
+    first = settle_table(first.select("row", "slot", "points", "id", text), "exact-firsts")
+    place = Window.partitionBy("text").orderBy(F.col("points").desc(), "id", F.xxhash64("row"))
+    heavy = first.where("slot > 0").withColumn("place", F.row_number().over(place)).where("place = 1")
+    return first.where("slot = 0").select("row.*").unionAll(heavy.select("row.*"))
 
 
 def op2_exact_dedup(spark, sf_dir):
-    from .common import documents
-
     return groups(documents(spark, sf_dir))
 
 

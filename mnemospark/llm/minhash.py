@@ -1,7 +1,7 @@
 """Near-duplicate detection by min-max hashing, exact on what it links.
 
-1. Each text becomes its set of 2-word shingles (64-bit hashes); equal sets are one class from here on, stood for by their
-   smallest identifier, so that copies are never paired.
+1. Each text becomes its set of 2-word shingles (64-bit hashes); equal sets are one class from here on, named by a digest of
+   the set, so that copies are never paired.
 2. Under each of PERMUTATIONS permutations a set keeps both its minimum and its maximum: two signature values for one hash
    evaluation. Bands of four values are the keys of buckets.
 3. In every bucket, and in every bucket of two neighbouring bands, all members are compared with one hub, the member that
@@ -17,8 +17,9 @@ Full sets reach a comparison packed, six bytes a shingle (a false match inside o
 probability 6e-10). Everything large stays in tables in the shared folder; no list of documents reaches the driver.
 
 Defined cases: texts without words (or null) have an empty set, are linked with nothing and are kept; one word makes one
-shingle of the whole sequence; repeated rows of one identifier are one document's rows and share its component; rows of null identifier are linked with nothing and kept; an empty
-table gives an empty result; other columns are carried only by ``keep_first``.
+shingle of the whole sequence; repeated rows of one identifier have one component if their texts are equal, and are separate
+documents of one name if not; rows of null identifier are linked with nothing and kept; texts of any length are read whole;
+an empty table gives an empty result; other columns, whatever their names, are carried only by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def bands(hashes: np.ndarray, offsets: np.ndarray, permutations: int, rows: int)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, permutations: int, rows: int) -> DataFrame:
-    """id, n (shingles), class_a and class_b (a digest of the set), bands (array, null for empty sets)."""
+    """id, mark (a hash of the text), n (shingles), class (a digest of the set), bands (array, empty for empty sets)."""
 
     def run(batches):
         for batch in batches:
@@ -96,23 +97,31 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, permutati
                 some = n > 0
                 heads = at[:-1][some]
                 keys = np.zeros((0, 2 * permutations // rows), np.uint64)
-                digests = np.zeros((2, j - i), np.uint64)
                 if len(heads):
                     keys = bands(hashes, np.append(heads, at[-1]), permutations, rows)
-                    digests[0, some] = np.add.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), heads)
-                    digests[1, some] = np.add.reduceat(mix(hashes + np.uint64(0x123456789ABCDEF1)), heads)
+                keys_of = digests(hashes, at)
                 ends = np.concatenate([[0], np.cumsum(some * keys.shape[1])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
-                columns = [batch.column(0).slice(i, j - i), pa.array(n), *(pa.array(d.view(np.int64)) for d in digests), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "class_a", "class_b", "bands"])
+                columns = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n), pa.array(keys_of.view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "n", "class", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n bigint, class_a bigint, class_b bigint, bands array<bigint>"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = f"id {kind}, mark bigint, n bigint, class bigint, bands array<bigint>"
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, schema)
+
+
+def digests(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each set."""
+    out = np.zeros(len(at) - 1, np.uint64)
+    some = at[1:] > at[:-1]
+    if some.any():
+        sums = (np.add.reduceat(mix(hashes ^ np.uint64(x)), at[:-1][some]) for x in (0xA5A5A5A5A5A5A5A5, 0x123456789ABCDEF1))
+        out[some] = mix(next(sums)) + next(sums)
+    return out
 
 
 def packed_sets(docs: DataFrame, size: int) -> DataFrame:
-    """docs (id, text) as id, n, packed: the set's hashes, low 48 bits, rising."""
+    """docs (id, text) as id, n, packed: the set's hashes, low 48 bits, rising; only texts whose set has the digest id."""
 
     def run(batches):
         for batch in batches:
@@ -121,9 +130,10 @@ def packed_sets(docs: DataFrame, size: int) -> DataFrame:
                 hashes, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 packed = [_pack(np.unique(hashes[a:b] & _MASK)) for a, b in zip(at[:-1], at[1:], strict=True)]
                 columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "packed"])
+                made = pa.RecordBatch.from_arrays(columns, names=["id", "n", "packed"])
+                yield made.filter(pa.array(digests(hashes, at).view(np.int64) == columns[0].to_numpy()))
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n bigint, packed binary")
+    return docs.select("id", "text").mapInArrow(run, "id bigint, n bigint, packed binary")
 
 
 def _pack(hashes: np.ndarray) -> bytes:
@@ -143,13 +153,24 @@ def _intersections(one: np.ndarray, many: np.ndarray, heads: np.ndarray) -> np.n
     return np.add.reduceat((one[at] == many).astype(np.int64), heads)
 
 
+def _salts(df: DataFrame) -> int:
+    return max(64, shuffle_partitions(df.sparkSession))
+
+
+def looked_up(rows: DataFrame, by: str, few: DataFrame) -> DataFrame:
+    """rows joined (left) with few, which has each value of by once: a value that many rows have is dealt over salts."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(_salts(rows))))
+    used = rows.select(by, "salt").distinct().join(few, by)
+    return rows.join(used, [by, "salt"], "left").drop("salt")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Of the pairs (hub, other): those with 100 * intersection >= threshold * union of their full sets.
 
     The hub's side of the second join may be hot: rows are dealt over salts by the other's identifier, and the hub's set
     is repeated for salts in use only.
     """
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(64)))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(_salts(pairs))))
     hubs = salted.select("hub", "salt").distinct().join(sets.select(F.col("id").alias("hub"), F.col("packed").alias("hub_set")), "hub")
     other = sets.select(F.col("id").alias("other"), F.col("packed").alias("other_set"))
     both = salted.join(other, "other").join(hubs, ["hub", "salt"]).select("hub", "other", "hub_set", "other_set")
@@ -279,34 +300,27 @@ def _compare_blocks(threshold: int, columns: list[str]):
     return compare
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = 80,
-                    permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept."""
+def _components(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: int, permutations: int, rows: int) -> DataFrame:
+    """id, mark (a hash of the text), n, component_id: one row for each row of docs."""
     nameless = docs.where(F.col(id_col).isNull())
     docs = docs.where(F.col(id_col).isNotNull())
     signed = settle_table(signatures(docs, id_col, text_col, size, permutations, rows), "minhash-signatures")
     # Empty sets are linked with nothing, not even with one another.
-    key = ["class_a", "class_b", "n"]
     some = signed.where("n > 0")
-    classes = some.groupBy(*key).agg(F.min("id").alias("rep"))
-    salted = [*key, "salt"]
-    # Membership by (class, salt): the largest class is dealt over all tasks.
-    salts = max(64, shuffle_partitions(docs.sparkSession))
-    light = some.select("id", *key, F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-    parts = light.groupBy(*salted).agg(F.min("id").alias("least"))
-    parts = parts.withColumn("rep", F.min("least").over(Window.partitionBy(*key))).drop("least")
-    member = settle_table(light.join(parts, salted).select("id", "n", "rep"), "minhash-classes")
-    reps = member.where("id = rep").select("id", "n").distinct()
-    own = some.join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    keys = own.select("id", "n", F.explode("bands").alias("key"))
+    # From here on, id is the class; its first member is the least identifier.
+    classes = some.groupBy(F.col("class").alias("id")).agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = settle_table(classes, "minhash-classes")
+    keys = classes.select("id", "n", F.explode("bands").alias("key"))
     counted = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
     buckets = settle_table(keys.join(counted, "key"), "minhash-buckets")
-    candidates = buckets.select("id").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(candidates, "id", "left_semi").dropDuplicates(["id"])
-    sets = settle_table(packed_sets(texts, size), "minhash-sets")
+    own = settle_table(classes.join(buckets.select("id").distinct(), "id", "left_semi"), "minhash-candidates")
+    # The text of the first member; where rows of that identifier have other texts, their sets have other digests.
+    named = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("text"))
+    texts = named.join(own.select("first", "id"), "first").withColumn("mark", F.xxhash64("text"))
+    sets = settle_table(packed_sets(texts.dropDuplicates(["first", "id", "mark"]), size).dropDuplicates(["id"]), "minhash-sets")
     # Two neighbouring bands together: members that share both are closer to each other than to most of the bucket.
     after = F.element_at("bands", F.pmod(F.col("place") + 1, F.size("bands")) + 1)
-    pairs_of_bands = own.join(candidates, "id", "left_semi").select("id", "n", "bands", F.posexplode("bands").alias("place", "band"))
+    pairs_of_bands = own.select("id", "n", "bands", F.posexplode("bands").alias("place", "band"))
     doubled = pairs_of_bands.select(F.xxhash64("band", after).alias("key"), "id", "n")
     pairs = settle_table(star_pairs(buckets.select("key", "id", "n").union(doubled.select("key", "id", "n")), threshold), "minhash-pairs")
     found = settle(linked(pairs, sets, threshold).select(F.col("hub").alias("a"), F.col("other").alias("b")))
@@ -315,24 +329,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = settle(remaining(buckets.select(F.col("key").alias("bucket"), "id", "n"), roots, both, threshold))
     if not more.isEmpty():
         roots = components(more.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
-    named = reps.select(F.col("id").alias("rep")).join(roots.select(F.col("id").alias("rep"), "root"), "rep").select("rep", "root")
-    # A representative leads its class; only classes of several rows are hot here, so answers go by (rep, salt) again.
-    member = member.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    used = member.select("rep", "salt").distinct().join(named, "rep")
-    out = member.join(used, ["rep", "salt"], "left")
-    component = F.coalesce("root", "rep")
-    found = out.select("id", "n", component.alias("component_id"))
-    alone = signed.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    lone = signatures(nameless, id_col, text_col, size, permutations, rows).select("id", "n", F.col("id").alias("component_id"))
-    return found.unionByName(alone).unionByName(lone).select(
+    # Every class of a component gets the least identifier of all of them.
+    linked_ = settle(roots.select("id", "root").union(roots.select("root", "root").distinct()).distinct().join(own.select("id", "first"), "id"))
+    least = linked_.groupBy("root").agg(F.min("first").alias("least"))
+    answer = looked_up(linked_.select("id", "root"), "root", least).select(F.col("id").alias("class"), "least")
+    answer = classes.select(F.col("id").alias("class"), "first").join(answer, "class", "left").select("class", F.coalesce("least", "first").alias("component_id"))
+    out = looked_up(some.select("id", "mark", "n", "class"), "class", answer).select("id", "mark", "n", "component_id")
+    alone = signed.where("n = 0").select("id", "mark", "n", F.col("id").alias("component_id"))
+    lone = signatures(nameless, id_col, text_col, size, permutations, rows).select("id", "mark", "n", F.col("id").alias("component_id"))
+    return out.unionByName(alone).unionByName(lone)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = 80,
+                    permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept."""
+    return _components(docs, id_col, text_col, size, threshold, permutations, rows).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = 80,
+               permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """The rows of docs of the smallest identifier of each component, with their columns as they are."""
-    kept = near_duplicates(docs, id_col, text_col, **more).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    found = _components(docs, id_col, text_col, size, threshold, permutations, rows)
+    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__kept"), F.col("mark").alias("__mark")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("__kept")) & (F.xxhash64(docs[text_col]) == F.col("__mark"))
+    return docs.join(kept, same, "left_semi")
 
 
 def op9_minhash(spark, sf_dir):

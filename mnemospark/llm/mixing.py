@@ -4,15 +4,16 @@ Sources are weighed, their targets water-filled below a cap, and a schedule of s
 frac(n * golden ratio), maps it through the cumulative weights to a source, and its rank among that source's slots says
 which block of the source's stream it plays. A source's stream is its documents in a hashed order, laid end to end and
 repeated; it is cut into blocks of equal tokens. Joining slots with blocks gives, for each document, the tokens that the
-mix takes. A source's last slot is cut short so that it meets its target to the token.
+mix takes, and the first slot that plays it. A source's last slot is cut short so that it meets its target to the token.
 
 Nothing is ranked in one task by source: ranks and running sums are taken inside bounded buckets (of slot numbers, of
 the documents' hash) and shifted by the sums of the buckets before, so a source with a third of all rows is dealt over
 all tasks. Tables by source have one row for each distinct source.
 
 Defined cases: a null text has size 0; a document of size 0 takes 0; a null source is a source of its own, last in the
-order; repeated rows take alike as separate documents; an empty table gives an empty result. Results depend on the
-rows alone, not on partitioning, so that reruns agree.
+order; repeated rows are separate documents; rows of one identifier and different texts are different documents; a very
+long text is cut into as many blocks as it reaches; columns of other names are not read; an empty table gives an empty
+result. Results depend on the rows alone, not on partitioning, so that reruns agree.
 """
 
 from __future__ import annotations
@@ -27,16 +28,19 @@ from .common import SPACE, documents, settle, settle_table, text_or_empty
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: Tokens of a block at most, and blocks that the mix has at least (where it has as many tokens).
 BLOCK, LEAST_BLOCKS = 4096, 20_000
+#: What tells documents apart; twin counts equal rows.
+_ROW = ["id", "source", "size", "mark", "twin"]
 
 
 def with_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, source, size, place: a hash that orders the documents of a source, and twin, which tells repeated rows apart."""
+    """id, source, size, mark (a hash of the text) and place: a hash that orders the documents of a source."""
     size = F.regexp_count(text_or_empty(text_col), F.lit(f"[^{SPACE}]+")).cast("long")
     return docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         size.alias("size"),
-        F.xxhash64(F.col(id_col), F.lit("mix")).alias("place"),
+        F.xxhash64(text_col).alias("mark"),
+        F.xxhash64(F.col(id_col), F.col(text_col), F.lit("mix")).alias("place"),
     )
 
 
@@ -120,22 +124,29 @@ def streams(sized: DataFrame, total_docs: int) -> DataFrame:
     bits = math.ceil(math.log2(max(1, total_docs)) / 2)
     # The top bits of the hash: the order by (bucket, place) is the order by place, whatever the number of buckets.
     bucketed = sized.withColumn("bucket", F.shiftright("place", 64 - bits) if bits else F.lit(0).cast("long"))
-    here = Window.partitionBy("source", "bucket").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = Window.partitionBy("source", "bucket").orderBy("place", "id", "mark", "size", "twin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = bucketed.withColumn("inner", F.sum("size").over(here) - F.col("size"))
     sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     shift = sums.withColumn("shift", F.sum("s").over(Window.partitionBy("source").orderBy("bucket")) - F.col("s"))
     shift = shift.select(F.col("source").alias("s_"), F.col("bucket").alias("b_"), "shift")
     joined = inner.join(shift, F.col("source").eqNullSafe(F.col("s_")) & (F.col("bucket") == F.col("b_")))
-    return joined.select("id", "source", "size", "twin", (F.col("inner") + F.col("shift")).alias("start"))
+    return joined.select(*_ROW, (F.col("inner") + F.col("shift")).alias("start"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken."""
+    """One row per document: id, size, source_size, target, taken, first_slot (the first slot of the schedule that plays a word of
+    it, null if none does)."""
+    placed = _mix(docs, id_col, text_col, source_col, weights, cap)
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "first_slot")
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """The columns of mix, and those that tell rows apart."""
     spark = docs.sparkSession
     sized = settle_table(with_sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    # Repeated rows are told apart by a number within their identifier.
-    same = Window.partitionBy("id", "source", "size").orderBy("place")
+    # Repeated rows are told apart by a number among their equals.
+    same = Window.partitionBy("id", "source", "size", "mark").orderBy("place")
     sized = sized.withColumn("twin", F.row_number().over(same))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     targets = settle(source_targets(totals, weights, cap))
@@ -155,28 +166,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("rank", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
         .withColumn("part", F.least(F.col("b"), (F.col("rank") + 1) * block) - F.greatest(F.col("a"), F.col("rank") * block))
     )
-    slots = schedule(spark, targets, tokens, sources, block).select(F.col("source").alias("s_"), F.col("rank").alias("r_"))
+    slots = schedule(spark, targets, tokens, sources, block).select(F.col("source").alias("s_"), F.col("rank").alias("r_"), "n")
     # A document's pieces are summed before the join with the slots only if they meet the same slot, so join pieces.
     played = pieces.join(slots, F.col("source").eqNullSafe(F.col("s_")) & (F.col("rank") == F.col("r_")))
-    taken = played.groupBy("id", "source", "size", "twin").agg(F.sum("part").alias("taken"))
-    taken = taken.select(*(F.col(c).alias(f"{c}_") for c in ("id", "source", "size", "twin")), "taken")
-    same_row = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("id", "source", "size", "twin")]
-    out = placed.join(taken, same_row[0] & same_row[1] & same_row[2] & same_row[3], "left")
-    return out.select(
-        F.col("id").alias(id_col), "size", F.col("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
-    )
+    taken = played.groupBy(*_ROW).agg(F.sum("part").alias("taken"), F.min("n").cast("long").alias("first_slot"))
+    taken = taken.select(*(F.col(c).alias(f"{c}_") for c in _ROW), "taken", "first_slot")
+    same_row = F.lit(True)
+    for c in _ROW:
+        same_row &= F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return placed.join(taken, same_row, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """The mix itself: each row of docs as often as the mix takes its text, to the nearest whole time; columns as they are.
 
-    A source's stream is cut inside one document at most, so whole documents come as near to the target as they can.
+    A source's stream is cut inside one document at most, so whole documents come as near to the target as they can. Equal
+    rows (identifier, text and source) take their mean.
     """
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    taken = mix(docs, id_col, text_col, source_col, **more).groupBy(F.col(id_col).alias("__id")).agg(F.max(times).alias("__times"))
-    rows = docs.join(taken.where("__times > 0"), docs[id_col].eqNullSafe(F.col("__id")))
-    rows = rows.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return rows.select(*(docs[c] for c in docs.columns))
+    keys = {"id": F.col(id_col), "source": F.col(source_col).cast("string"), "mark": F.xxhash64(text_col)}
+    times = F.round(F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0))).cast("int")
+    taken = _mix(docs, id_col, text_col, source_col, weights, cap).groupBy(*keys).agg(times.alias("__times")).where("__times > 0")
+    taken = taken.select(*(F.col(k).alias(f"__{k}_") for k in keys), "__times")
+    rows = docs.select("*", *(v.alias(f"__{k}") for k, v in keys.items()))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"__{k}").eqNullSafe(F.col(f"__{k}_"))
+    rows = rows.join(taken, same).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_mixing(spark, sf_dir):

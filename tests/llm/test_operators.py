@@ -67,8 +67,9 @@ def test_exact_groups(spark, hard, empty, clashing):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", "", t or "")
     for i, text, *_ in hard_rows():
         groups[norm(text)].append((-len(text or ""), i is not None, i))
-    for slots in (None, 3):
-        found = collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in table(exact_dedup.groups(hard, slots=slots)))
+    # With a hash that is the same for all texts, the comparison of neighbours alone tells them apart.
+    for mark in (F.xxhash64, lambda norm: F.lit(7).cast("long")):
+        found = collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in table(exact_dedup.groups(hard, mark=mark)))
         wanted = collections.Counter()
         for i, text, *_ in hard_rows():
             g = groups[norm(text)]
@@ -77,6 +78,8 @@ def test_exact_groups(spark, hard, empty, clashing):
         assert found == wanted
     kept = exact_dedup.dedup(clashing)
     assert kept.columns == clashing.columns and kept.count() == len(groups)
+    best = {min(g, key=lambda x: (x[0], x[1], x[2] or 0))[2] for g in groups.values()}
+    assert {r["doc_id"] for r in table(kept)} == best
     assert exact_dedup.groups(empty).count() == exact_dedup.dedup(empty).count() == 0
 
 
@@ -268,6 +271,24 @@ def test_mixing(spark, hard, empty, clashing):
     plan = mixing.settle(mixing.source_targets(hard.groupBy("source").agg(F.sum(F.lit(1)).cast("long").alias("source_size"), F.count("*").alias("docs")), (1, 2, 3), 3.0))
     slots = mixing.schedule(spark, plan, 78, 9, 1)
     assert slots.groupBy("source").agg((F.max("rank") + 1 == F.count("*")).alias("dense")).where("not dense").count() == 0
+    # All of the mix by brute force: streams in the order of their hashes, slots by golden-ratio points.
+    order = {(r["id"], r["source"], r["mark"]): r["place"] for r in table(mixing.with_sizes(hard, "doc_id", "text", "source"))}
+    marks = {(r["doc_id"], r["source"], r["text"]): r["mark"] for r in table(hard.withColumn("mark", F.xxhash64("text")))}
+    takes = {s: round(t) for s, t in targets.items()}
+    block = max(1, min(mixing.BLOCK, sum(takes.values()) // mixing.LEAST_BLOCKS))
+    full = mixing.settle(mixing.source_targets(hard.withColumn("n", F.regexp_count("text", F.lit(WORD.pattern))).groupBy("source").agg(F.sum(F.coalesce("n", F.lit(0))).cast("long").alias("source_size"), F.count("*").alias("docs")), (1, 2, 3), 3.0))
+    at = {(r["source"], r["rank"]): r["n"] for r in table(mixing.schedule(spark, full, sum(takes.values()), len(takes), block))}
+    wanted = collections.Counter()
+    for source in takes:
+        stream = sorted((order[i, s, marks[i, s, t]], -1 if i is None else i, size(t), i) for i, t, _, s in hard_rows() if s == source)
+        start, words = 0, []
+        for _, _, n, i in stream:
+            places = [p for lap in range(4) for p in range(start + lap * sizes[source], start + lap * sizes[source] + n) if p < takes[source]]
+            wanted[i, n, len(places), min((at[source, p // block] for p in places), default=None)] += 1
+            start += n
+    assert collections.Counter((r["doc_id"], r["size"], r["taken"], r["first_slot"]) for r in found) == wanted
+    same_name = spark.createDataFrame([(1, "a b c d", "x"), (1, "e", "x"), (2, "f g " * 30, "y")], "doc_id long, text string, source string")
+    assert sorted(r["text"] for r in table(mixing.mixed(same_name))) == sorted(["a b c d"] * 3 + ["e"] * 3 + ["f g " * 30])
     mixed = mixing.mixed(clashing)
     assert mixed.columns == clashing.columns and mixed.count() > 0
     assert mixing.mix(empty).count() == mixing.mixed(empty).count() == 0
@@ -402,16 +423,26 @@ def test_near_duplicates(spark, hard, empty, clashing):
     assert minhash.near_duplicates(empty).count() == minhash.keep_first(empty).count() == 0
 
 
+def test_near_duplicates_of_one_name(spark):
+    """Rows of one identifier with different texts are separate documents."""
+    a, b = prose(21, 80), prose(22, 80)
+    frame = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b), (9, b)], "doc_id long, text string")
+    found = collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in table(minhash.near_duplicates(frame)))
+    assert found == {(1, 1, True): 1, (5, 1, False): 1, (5, 5, True): 1, (9, 5, False): 2}
+    assert sorted((r["doc_id"], r["text"]) for r in table(minhash.keep_first(frame))) == sorted([(1, a), (5, b)])
+
+
 def test_blocks_find_what_stars_miss(spark):
     # Without stars, the exact blocks alone must link everything inside a bucket.
     rows = [(i, prose(1, 60) + f" x{i}") for i in range(30)]
-    frame = spark.createDataFrame(rows, "id long, text string")
-    signed = minhash.signatures(frame, "id", "text", 2, 48, 4)
-    sets = minhash.packed_sets(frame, 2).join(signed.select("id", "bands"), "id")
+    frame = spark.createDataFrame(rows, "name long, text string")
+    signed = minhash.signatures(frame, "name", "text", 2, 48, 4).select(F.col("id").alias("name"), F.col("class").alias("id"), "n", "bands")
+    sets = minhash.packed_sets(frame.join(signed, "name"), 2).join(signed.select("id", "bands"), "id")
+    assert sets.count() == 30 and minhash.packed_sets(frame.withColumn("id", F.lit(1).cast("long")), 2).count() == 0
     buckets = signed.select(F.explode("bands").alias("bucket"), "id", "n")
     none = spark.createDataFrame([], "id long, root long")
     links = minhash.remaining(buckets, none, sets, 80)
-    assert minhash.components(links).where("root = 0").count() == 29
+    assert minhash.components(links).count() == 29 and minhash.components(links).select("root").distinct().count() == 1
 
 
 # 10
