@@ -28,10 +28,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import documents
+from .common import documents, tidy
 
-#: Runs without white space whose encodings are remembered in a Python worker (a third as many words), and their longest length.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 64
+#: Runs without white space whose encodings are remembered in a Python worker (half as many words), and their longest length.
+REMEMBERED, REMEMBERED_BYTES = 160_000, 64
 #: Places of the table of remembered pairs, eight bytes each; a pair displaces the one that had its place.
 PAIRS = (1 << 20) - 3
 #: Code points of private use stand for the bytes, and for a word's last byte.
@@ -47,6 +47,25 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Remembered:
+    """A mapping of at most so many keys: the younger half takes new ones in, the older half is given up when that is full."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) <= REMEMBERED_BYTES:
+            if len(self.young) >= self.half:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+
+
 class Tokenizer:
     """A BPE vocabulary with word ends whose ids follow the merge order, read from a tokenizers file's content."""
 
@@ -98,8 +117,7 @@ class Tokenizer:
                     break
         self.automaton.make_automaton()
         self._names = [str(i) for i in range(size)]
-        self._known: dict[str, bytes] = {}
-        self._known_words: dict[str, bytes] = {}
+        self._known, self._known_words = Remembered(REMEMBERED), Remembered(REMEMBERED // 2)
 
     def _compatible(self, first: int, second: int, limit: int) -> bool:
         """Whether merging would leave first and second side by side: no merge across the border comes before the last
@@ -167,21 +185,17 @@ class Tokenizer:
 
     def _chunk(self, chunk: str) -> bytes:
         """The ids of a run without white space, packed."""
-        parts: list[bytes] = []
-        for word in self._words.findall(chunk):
-            known = self._known_words.get(word)
-            if known is None:
-                known = np.array(self.encode_word(word.encode()), np.int32).tobytes()
-                if len(word) <= REMEMBERED_BYTES:
-                    if len(self._known_words) >= REMEMBERED // 3:
-                        self._known_words.clear()
-                    self._known_words[word] = known
-            parts.append(known)
-        found = b"".join(parts) if len(parts) != 1 else parts[0]
-        if len(chunk) <= REMEMBERED_BYTES:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            self._known[chunk] = found
+        found = self._known.get(chunk)
+        if found is None:
+            parts: list[bytes] = []
+            for word in self._words.findall(chunk):
+                known = self._known_words.get(word)
+                if known is None:
+                    known = np.array(self.encode_word(word.encode()), np.int32).tobytes()
+                    self._known_words.put(word, known)
+                parts.append(known)
+            found = b"".join(parts) if len(parts) != 1 else parts[0]
+            self._known.put(chunk, found)
         return found
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -190,7 +204,7 @@ class Tokenizer:
         at, text = 0, text or ""
         spans = [(m.start(), m.end()) for m in self._special.finditer(text)] if self._special else []
         for start, end in [*spans, (len(text), len(text))]:
-            get, make = self._known.get, self._chunk
+            get, make = self._known.young.get, self._chunk
             found += [get(c) or make(c) for c in self.chunks(text[at:start] if spans else text)]
             if end > start:
                 found.append(np.array([self.special[text[start:end]]], np.int32).tobytes())
@@ -249,7 +263,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
 
     def run(batches):
         t = tokenizer(key, shared.value)
-        for batch in batches:
+        for batch in tidy(batches):
             columns = {n: batch.column(n) for n in names}
             made: list[list] = [[] for _ in new]
             for text in batch.column(text_col):

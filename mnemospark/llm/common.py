@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,26 @@ def ship(spark: SparkSession) -> None:
     context._mnemospark_shipped = True
 
 
+def tidy(batches: Iterator, rows: int = 1000) -> Iterator:
+    """The batches in pieces of some rows, and behind the last one gives the memory that a task has freed back to the system.
+
+    Python workers live on from task to task, and their allocators keep what was freed; beside the heap of an executor that
+    is what adds up when stages of different needs follow each other.
+    """
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

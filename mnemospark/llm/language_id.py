@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesops import mix
-from .common import documents
+from .common import documents, tidy
 
 ORDER = 4
 #: Rows of the sample for a language, and bytes of the longest of them.
@@ -268,7 +268,7 @@ def identify(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id", te
 
     def run(batches):
         known = shared.value
-        for batch in batches:
+        for batch in tidy(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             found, at = [], 0
             while at < len(texts):
@@ -292,7 +292,7 @@ def keep_identified(docs: DataFrame, identifier: Identifier, text_col: str = "te
 
     def run(batches):
         known = shared.value
-        for batch in batches:
+        for batch in tidy(batches):
             texts, kept, at = batch.column(place).to_pylist(), [], 0
             while at < len(texts):
                 end, size = at, 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesops import flat, mix, pieces, words
-from .common import documents, settle, settle_table, shuffle_partitions
+from .common import documents, settle, settle_table, shuffle_partitions, tidy
 
 PERMUTATIONS, ROWS = 48, 4
 SHINGLE = 2
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, permutati
     """id, mark (a hash of the text), n (shingles), class (a digest of the set), bands (array, empty for empty sets)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             data, offsets = flat(batch.column(1))
             for i, j in pieces(offsets):
                 hashes, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
@@ -124,7 +124,7 @@ def packed_sets(docs: DataFrame, size: int) -> DataFrame:
     """docs (id, text) as id, n, packed: the set's hashes, low 48 bits, rising; only texts whose set has the digest id."""
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             data, offsets = flat(batch.column(1))
             for i, j in pieces(offsets):
                 hashes, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
@@ -176,7 +176,7 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     both = salted.join(other, "other").join(hubs, ["hub", "salt"]).select("hub", "other", "hub_set", "other_set")
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             keep, last, last_set = [], None, None
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = a.as_buffer(), b.as_buffer()
