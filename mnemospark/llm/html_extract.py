@@ -1,6 +1,6 @@
 """Main-text extraction by deduced page templates (equivalence classes of tokens).
 
-Tokens of a page are its tags, with class and place in the tree, and its short text nodes. Over all pages of a host, the
+Tokens of a page are its tags, with class and place in the tree, and its text nodes. Over all pages of a host, the
 tokens with the same occurrence vector (the same count on every page) form an equivalence class; vectors are never
 gathered: a token's vector is summed up in a fingerprint, a sum over pages of a hash of (page, count), which merges in
 partial aggregates. A class is valid if it is frequent (on half of the host's pages and at least LEAST_PAGES) and large (at
@@ -11,7 +11,7 @@ boilerplate and dropped, inside an article too. Slots inside menus, headers, foo
 comments are dropped by the tags that enclose them. A host with too few pages has no template, and its pages are read by
 their tags alone.
 
-Marks (words of class, id and role, such as sidebar) drop an element, but never html, body, an article or what holds one. A
+Marks (names in class, id and role, such as sidebar) drop an element, but never html, body, an article or what holds one. A
 marked element inside an article goes only if the host repeats it (its tag is template) and its own text is short or is
 readers' replies, or if it is a bare label. A page without an article that marks leave empty is read without them.
 
@@ -22,7 +22,9 @@ The text of an ``article`` or ``main`` counts, without such an element the page'
 throughout (a host's pages repeat each other) has no slot to tell data by and is kept whole.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own, without a name; repeated rows
-each give a row; broken nesting closes at the next enclosing end tag; an empty table gives an empty result.
+each give a row; broken nesting closes at the next enclosing end tag; a tag that never ends reaches to the page's end; pages
+are read in one pass, in time that grows with their length; ties (tokens of one place) keep the order of their hashes;
+other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,14 +38,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pages, settle_table
+from .common import pages, settle_table, shuffle_partitions, tidy
 
-#: Pages of a host on which a class must occur, and the share of them; tokens of a class.
+#: Pages of a host on which a class must occur, and the share of them; tokens of a class. A host of fewer pages has no template.
 LEAST_PAGES, SHARE, LEAST_TOKENS = 3, 0.5, 2
-#: Characters of a text node that may belong to a template.
-NODE = 200
+#: Characters up to which the text of a marked element that the host repeats is short.
+SHORT = 200
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations and tags; quotes count behind an equals sign only. Nothing is given back, so that a scan is linear.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)(?:>|\Z)""", re.S
+)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: Elements whose content is not markup.
 _RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")}
@@ -62,6 +67,11 @@ _MARKS = frozenset(
 )
 #: Words before a mark that say what a page has or lacks, not what the element is: has-sidebar, no-ads.
 _QUALIFIERS = frozenset("has have no not non with without hide hides show shows is".split())
+#: Words behind a mark that leave it what it is: sidebar-left, share-buttons; ad-free and related-work are no marks.
+_BOXES = frozenset(
+    "area bar block body bottom box button buttons container content icon icons inner item items left link links list outer panel posts"
+    " right section slot top unit widget wrap wrapper".split()
+)
 #: Marks that are parts of an article inside one, and marks of what readers write under it, which may be long.
 _PARTS, _REPLIES = frozenset("header masthead banner".split()), frozenset("comment comments respond disqus".split())
 #: Tags of prose: a marked element with one of these is more than a label. Characters of a label at most.
@@ -86,8 +96,10 @@ def _marks(attributes: str) -> tuple[str, frozenset[str]]:
         named.append(f"{key}={value}")
         for name in value.split():
             words = _WORD.findall(name)
-            if words and words[0] not in _QUALIFIERS:
-                marks.update(w for w in words if w in _MARKS)
+            while len(words) > 1 and words[-1] in _BOXES and words[-1] not in _MARKS:
+                words.pop()
+            if words and words[0] not in _QUALIFIERS and words[-1] in _MARKS:
+                marks.add(words[-1])
     return " ".join(named), HIDDEN if dropped else frozenset(marks)
 
 
@@ -119,16 +131,16 @@ def events(source: str) -> Iterator[tuple[str, str, str, frozenset[str]]]:
 
 
 def placed(source: str, hashed: bool = True) -> Iterator[tuple[str, str, str, frozenset[str], int | None]]:
-    """Events with the token each is: a hash of its kind, name and place in the tree (none for long and blank texts)."""
+    """Events with the token each is: a hash of its kind, name and place in the tree (none for blank texts)."""
     path: list[str] = []
     for kind, name, text, marked in events(source):
         token = None
         if not hashed:
             pass
         elif kind == "text":
-            short = " ".join(html.unescape(text).split())
-            if short and len(short) <= NODE:
-                token = xxhash.xxh64_intdigest(f"#{'/'.join(path)}#{short}")
+            shown = " ".join(html.unescape(text).split())
+            if shown:
+                token = xxhash.xxh64_intdigest(f"#{'/'.join(path)}#{shown}")
         elif kind == "open":
             token = xxhash.xxh64_intdigest(f"<{'/'.join(path)}<{name} {text}")
             if name in _TREE:
@@ -213,7 +225,7 @@ class _Suspect:
         n, m = self.starts[0]
         own = len(_lines([kept[0][n - 1][m:], *kept[0][n:]]))
         label = prose == self.prose and own <= LABEL
-        if not (label or (self.fixed and (own <= NODE or self.marked & _REPLIES))):
+        if not (label or (self.fixed and (own <= SHORT or self.marked & _REPLIES))):
             return
         for blocks, (n, m) in zip(kept, self.starts, strict=True):
             del blocks[n:]
@@ -294,7 +306,7 @@ def templates(rows: DataFrame, id_col: str, host_col: str = "host", html_col: st
     """host, template (array of the tokens of valid classes, with class and order): one row for each host with a template."""
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             hosts: dict[str, int] = {}
             sums: dict[tuple[str, int], list] = {}
             for i, host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -343,14 +355,14 @@ def main_text(rows: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     # The authority of a url, in JVM expressions; what stands before an at sign or after a colon is part of it.
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     named = named.withColumn("host", host)
-    salt = F.pmod(F.xxhash64("id", "url"), F.lit(64))
+    salt = F.pmod(F.xxhash64("id", "url"), F.lit(max(64, shuffle_partitions(rows.sparkSession))))
     named_salted = named.withColumn("salt", salt)
     known = settle_table(templates(named, "id"), "html-templates")
     used = named.select("host", salt.alias("salt")).distinct().join(known, "host")
     joined = named_salted.join(used, ["host", "salt"], "left").select("id", "url", "html", "template")
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             texts, last, last_template = [], None, Template()
             for source, template in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 key = template.values if template.is_valid else None
