@@ -10,7 +10,8 @@ fresh headers, other records as revisits that name the response by its identifie
 A digest that a large share of the records has is dealt over tasks by (digest, salt).
 
 Defined cases: a null html is an empty payload; an empty payload counts like any other if the least size is 0; a null url
-is the target ``about:blank``; repeated rows of one page are separate records, of which one at most is the response; an
+is the target ``about:blank``; repeated rows of one page are separate records, of which one at most is the response; a very
+long payload is one record, and a file of its own length; an
 empty table gives an empty archive; other columns are not archived.
 """
 
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pages, scratch, shuffle_partitions
+from .common import drop, drop_at_exit, pages, scratch, shuffle_partitions, tidy
 
 #: An empty gzip member, which parts the members of records.
 _EMPTY = bytes.fromhex("1f8b08000000000000030300") + bytes(8)
-#: Compression of a record; records of one archive file at most: that bounds what one task holds.
-LEVEL, RECORDS = 5, 20_000
+#: Compression of a record; bytes from which records written together are one row, and such rows in a file: that bounds what one
+#: task holds of a file (64 MB, and a record for each row).
+LEVEL, ROW_BYTES, ROWS = 5, 1 << 20, 64
 #: The archives of a run have one date, so that reruns write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -63,39 +65,54 @@ def revisit_headers(uri: str, target: str, digest: str, size: int, to_uri: str,
             "WARC-Refers-To-Date": DATE, "X-Payload-Length": str(size)}
 
 
+def rows_of(members: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Gzip members as rows of about ROW_BYTES, one row a batch."""
+    made, size = [], 0
+    for member in members:
+        made.append(member)
+        size += len(member)
+        if size >= ROW_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(made)], pa.binary())], names=["member"])
+            made, size = [], 0
+    if made:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(made)], pa.binary())], names=["member"])
+
+
 def write_archive(members: DataFrame, path: str) -> None:
-    """members: one binary column of gzip members, one for each record."""
+    """members: one binary column of gzip members, some records in a row."""
     column = F.col(members.columns[0]).cast("string").alias("value")
     writer = members.select(column).write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY.decode("latin-1"))
-    writer.option("maxRecordsPerFile", RECORDS).text(path)
+    writer.option("maxRecordsPerFile", ROWS).text(path)
 
 
 def archive_pages(rows: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes a response record for each row."""
 
     def run(batches):
-        for batch in batches:
-            made = []
-            for i, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                payload = (html or "").encode("utf-8", "surrogatepass")
-                made.append(record(response_headers(f"urn:page:{i}", _one_line(url), payload_digest(payload)), payload))
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
+        yield from rows_of(made(batches))
+
+    def made(batches):
+        for batch in tidy(batches):
+            for i, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
+                yield record(response_headers(f"urn:page:{i}", _one_line(url), payload_digest(payload)), payload)
 
     write_archive(rows.select(id_col, url_col, html_col).mapInArrow(run, "member binary"), path)
 
 
-def parse(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """number, headers and block of each record of an archive file."""
+def parse(content: bytes | pa.Buffer) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """number, headers and block of each record of an archive file, one in memory at a time."""
     at, number = 0, 0
     view = memoryview(content)
-    while at < len(content):
+    while at < len(view):
         unpacker = zlib.decompressobj(31)
-        out = unpacker.decompress(view[at : at + (1 << 16)])
+        parts = [unpacker.decompress(view[at : at + (1 << 16)])]
         used = at + (1 << 16)
-        while not unpacker.eof and used < len(content):
-            out += unpacker.decompress(view[used : used + (1 << 20)])
+        while not unpacker.eof and used < len(view):
+            parts.append(unpacker.decompress(view[used : used + (1 << 20)]))
             used += 1 << 20
-        at = min(used, len(content)) - len(unpacker.unused_data)
+        at = min(used, len(view)) - len(unpacker.unused_data)
+        out = b"".join(parts)
         if not out:
             continue
         head, _, rest = out.partition(b"\r\n\r\n")
@@ -116,10 +133,10 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the archives below path, without payloads; digests are taken from what was read."""
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy(batches, 1):
             rows: list[tuple] = []
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for number, h, block in parse(content.as_buffer().to_pybytes()):
+                for number, h, block in parse(content.as_buffer()):
                     if h["WARC-Type"] == "response":
                         digest, size, to = payload_digest(block), len(block), None
                     else:
@@ -161,28 +178,25 @@ def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
 def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int = 0) -> None:
     """Reads the archives below source and writes archives of the same records, repeated payloads as revisits."""
     decided = resolve(read_headers(spark, source), least_bytes)
-    # One row for each archive file, of at most RECORDS decisions, meets the file's content.
+    # One row for each archive file meets the file's content.
     decision = F.struct("number", "first", "to_page", "to_target", "digest")
     by_file = decided.groupBy("file").agg(F.collect_list(decision).alias("decisions"))
     joined = _files(spark, source).join(by_file, F.col("path") == F.col("file")).select("content", "decisions")
 
     def run(batches):
-        for batch in batches:
-            for content, decisions in zip(batch.column(0), batch.column(1), strict=True):
-                known = {d["number"]: d for d in decisions.as_py()}
-                made = []
-                for number, h, block in parse(content.as_buffer().to_pybytes()):
-                    d = known[number]
-                    uri, target_ = h["WARC-Record-ID"].strip("<>"), h["WARC-Target-URI"]
-                    if d["first"]:
-                        made.append(record(response_headers(uri, target_, d["digest"]), block))
-                    else:
-                        to = f"urn:page:{d['to_page']}"
-                        made.append(record(revisit_headers(uri, target_, d["digest"], len(block), to, d["to_target"]), b""))
-                    if len(made) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
-                        made = []
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
+        yield from rows_of(made(batches))
+
+    def made(batches):
+        for batch in tidy(batches, 1):
+            known = {d["number"]: d for d in batch.column(1)[0].as_py()}
+            for number, h, block in parse(batch.column(0)[0].as_buffer()):
+                d = known[number]
+                uri, target_ = h["WARC-Record-ID"].strip("<>"), h["WARC-Target-URI"]
+                if d["first"]:
+                    yield record(response_headers(uri, target_, d["digest"]), block)
+                else:
+                    to = f"urn:page:{d['to_page']}"
+                    yield record(revisit_headers(uri, target_, d["digest"], len(block), to, d["to_target"]), b"")
 
     write_archive(joined.mapInArrow(run, "member binary"), target)
 
@@ -191,6 +205,8 @@ def op4_warc(spark, sf_dir):
     source, target = scratch(spark, "warc-in"), scratch(spark, "warc-out")
     archive_pages(pages(spark, sf_dir), source)
     deduplicate(spark, source, target)
+    drop(spark, source)
+    drop_at_exit(spark, target)
     read = read_headers(spark, target)
     return read.select(
         "page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"
