@@ -14,7 +14,8 @@ The model is a bigram interpolated with the contract's add-0.1 unigram by a Diri
 Nothing is pruned or capped: all n-grams of all training texts are in the tries. No table reaches the driver but two totals.
 
 Defined cases: null and empty texts are one end token; repeated rows are separate texts, each counted and scored; with no
-training text every probability is the uniform 1 / (V + 1) = 1; an empty table gives an empty result.
+training text every probability is the uniform 1 / (V + 1) = 1; a very long text is read whole; other columns, whatever their
+names, are not read; an empty table gives an empty result. As with the blocks of an exchange, there is a row for each chunk and shard.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import flat, mix, pieces, words
-from .common import documents, settle_table, shuffle_partitions
+from .common import documents, dropped_after, settle_table, shuffle_partitions
 
-#: Bytes of text of a chunk, salts of a context, pseudo-counts of the prior.
-CHUNK, SALTS, MASS = 8 << 20, 8, 8.0
+#: Bytes of text of a chunk, pseudo-counts of the prior.
+CHUNK, MASS = 8 << 20, 8.0
+#: A context is dealt over one in so many shards, and over eight at least.
+SHARE = 16
 #: Quantised log10: steps from 0 down to -FLOOR.
 FLOOR, STEPS = 12.0, 65_534
 _END = np.uint64(0xE4D0E4D0E4D0E4D1)
@@ -261,7 +264,7 @@ class _Pairs:
         v, w = (pair // np.uint64(n + 1)).astype(np.int64), (pair % np.uint64(n + 1)).astype(np.int64)
         hashes = np.append(self.words, _BEGIN)
         w40 = mix(hashes[w] + np.uint64(1)) & _W40
-        salt = (w40 >> np.uint64(20)) % np.uint64(SALTS)
+        salt = (w40 >> np.uint64(20)) % np.uint64(max(8, shards // SHARE))
         shard = (mix(hashes[v] + salt * np.uint64(0xD1342543DE82EF95)) % np.uint64(shards)).astype(np.int64)
         by_hash = np.empty(n + 1, np.int64)
         by_hash[np.argsort(hashes, kind="stable")] = np.arange(n + 1)
@@ -356,7 +359,8 @@ def score(docs: DataFrame, train: F.Column | str, id_col: str = "doc_id", text_c
     name = f"lm_chunks_{uuid.uuid4().hex}"
     writer = chunks(flagged).write.option("compression", "zstd").bucketBy(buckets, "chunk")
     writer.saveAsTable(name, format="parquet")
-    try:
+    with dropped_after(spark) as drop:
+        drop.table(name)
         table = spark.table(name)
 
         def send_words(batches):
@@ -375,7 +379,7 @@ def score(docs: DataFrame, train: F.Column | str, id_col: str = "doc_id", text_c
         plain = table.select("chunk", "train", "lengths", "words", "tokens")
         sent = plain.mapInArrow(send_words, "chunk bigint, shard int, words binary, counts binary")
         answered = sent.groupBy("shard").applyInArrow(_word_shard, "chunk bigint, shard int, answer binary, all_tokens bigint, all_words bigint")
-        word_answers = settle_table(answered, "lm-words")
+        word_answers = drop(settle_table(answered, "lm-words"))
         whole = word_answers.groupBy("shard").agg(F.first("all_tokens").alias("n"), F.first("all_words").alias("v"))
         totals = whole.agg(F.sum("n"), F.sum("v")).first()
         all_tokens, all_words = int(totals[0] or 0), int(totals[1] or 0)
@@ -390,7 +394,7 @@ def score(docs: DataFrame, train: F.Column | str, id_col: str = "doc_id", text_c
 
         schema = "chunk bigint, shard int, contexts binary, seen binary, lengths binary, successors binary, counts binary"
         sent = plain.join(by_chunk, "chunk").mapInArrow(send_pairs, schema)
-        pair_answers = settle_table(sent.groupBy("shard").applyInArrow(_trie_shard, "chunk bigint, shard int, answer binary"), "lm-pairs")
+        pair_answers = drop(settle_table(sent.groupBy("shard").applyInArrow(_trie_shard, "chunk bigint, shard int, answer binary"), "lm-pairs"))
         both = table.join(by_chunk, "chunk").join(_per_chunk(pair_answers, "pair_answers"), "chunk")
 
         id_type = _ID_TYPES[kind]
@@ -418,8 +422,6 @@ def score(docs: DataFrame, train: F.Column | str, id_col: str = "doc_id", text_c
 
         schema = f"id {kind}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
         found = settle_table(both.mapInArrow(finish, schema), "lm-scores")
-    finally:
-        spark.sql(f"drop table if exists {name}")
     return found.select(
         F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(all_tokens).cast("bigint").alias("train_tokens"), "base_score", "score"
     )
