@@ -12,7 +12,8 @@ fingerprint.
 
 Defined cases: a null text counts as empty; texts without words have the empty fingerprint, likeness 1 with one another and
 0 with others; fewer words than a shingle make one shingle; repeated identifiers each give a row, and stand for the next
-document through the row of the least text hash; a null identifier is the smallest; an empty table gives an empty result.
+document through the row of the least text hash; a null identifier is the smallest; very long texts are read whole; other
+columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,18 +46,23 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
 
 def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
     """The fingerprint of a text: retained hashes, distinct and rising."""
+    return retained(shingle_hashes(text, words), scale)
+
+
+def retained(hashes: Column, scale: int = SCALE) -> Column:
+    """Of some hashes those below the threshold, distinct and rising, or else the least."""
     most = -(1 << 63) + (1 << 64) // scale
 
     def retain(s: Column) -> Column:
         low = F.array_sort(F.array_distinct(F.filter(s, lambda h: h < most)))
         return F.when((F.size(low) > 0) | (F.size(s) == 0), low).otherwise(F.array(F.array_min(s)))
 
-    return F.element_at(F.transform(F.array(shingle_hashes(text, words)), retain), 1)
+    return F.element_at(F.transform(F.array(hashes), retain), 1)
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The fingerprint of two texts together (of their shingles)."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The fingerprint of two texts together (of their shingles), from their fingerprints."""
+    return retained(F.array_union(a, b), scale)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -39,7 +39,7 @@ CALIBRATES = 5
 #: Letters below which cross-entropy alone does not reject.
 LEAST_LETTERS = 100
 #: Code points of a piece that is scored at once.
-PIECE = 1 << 20
+PIECE = 2 << 20
 UND = "und"
 _SPACE = 32
 
@@ -268,7 +268,7 @@ def identify(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id", te
 
     def run(batches):
         known = shared.value
-        for batch in tidy(batches):
+        for batch in tidy(batches, 2500):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             found, at = [], 0
             while at < len(texts):
@@ -292,7 +292,7 @@ def keep_identified(docs: DataFrame, identifier: Identifier, text_col: str = "te
 
     def run(batches):
         known = shared.value
-        for batch in tidy(batches):
+        for batch in tidy(batches, 2500):
             texts, kept, at = batch.column(place).to_pylist(), [], 0
             while at < len(texts):
                 end, size = at, 0
