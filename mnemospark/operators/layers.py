@@ -348,3 +348,99 @@ def search_text(topics: DataFrame) -> DataFrame:
     """id, tokens of topics of depth 1 and 2: what the sparse index holds of a topic's keywords."""
     parts = [F.coalesce(F.array_join(c, " "), F.lit("")) for c in ("user_keywords", "agent_keywords", "fused_keywords")]
     return topics.where("depth <= 2").select("id", words(F.concat_ws(" ", *parts)).alias("tokens"))
+
+
+# Sessions
+
+
+def history_window(nodes: DataFrame, keep: int = 40, least: int = 8) -> DataFrame:
+    """nodes (session_id, pos, kind) with hidden: whether a snapshot takes the node's place.
+
+    The last keep nodes (at least so many as least says) stay; what is hidden before them ends where no tool call waits for
+    its result, so that call and result are never parted.
+    """
+    inside = Window.partitionBy("session_id").orderBy("pos")
+    waiting = F.when(F.col("kind") == "tool_call", 1).when(F.col("kind") == "tool_result", -1).otherwise(0)
+    counted = nodes.withColumn("waiting", F.sum(waiting).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    counted = counted.withColumn("behind", F.count(F.lit(1)).over(inside.rowsBetween(1, Window.unboundedFollowing)))
+    cut = F.max(F.when((F.col("waiting") == 0) & (F.col("behind") >= max(least, keep)), F.col("pos"))).over(Window.partitionBy("session_id"))
+    return counted.withColumn("hidden", F.coalesce(F.col("pos") <= cut, F.lit(False))).drop("waiting", "behind")
+
+
+#: First and last line of a snapshot.
+SNAPSHOT, CUT = "Memory snapshot: what was found for this session; the current messages take precedence.", "\u2026(snapshot cut)"
+
+
+def snapshot_text(parts: DataFrame, most: int = 4000) -> DataFrame:
+    """parts (key, profile: array of texts, topics: array of keyword arrays, archives: array of (role, content)) as key, snapshot."""
+    profile = F.array_join(F.filter("profile", lambda t: t != ""), " \u00b7 ")
+    shown = F.filter(F.transform("topics", lambda k: F.array_join(F.slice(k, 1, 8), "/")), lambda t: t != "")
+    said = F.transform(
+        "archives",
+        lambda a: F.struct(a["role"].alias("role"), F.trim(F.regexp_replace(F.coalesce(a["content"], F.lit("")), r"\s+", " ")).alias("text")),
+    )
+    lines = F.transform(F.filter(said, lambda a: a["text"] != ""), lambda a: F.concat(F.when(a["role"] == 1, "agent: ").otherwise("user: "), a["text"]))
+    head = F.array(
+        F.lit(SNAPSHOT), F.when(profile != "", F.concat(F.lit("profile: "), profile)),
+        F.when(F.size(shown) > 0, F.concat(F.lit("topics ("), F.size("topics").cast("string"), F.lit("): "), F.array_join(shown, " | "))),
+    )
+    text = F.array_join(F.concat(F.filter(head, lambda x: x.isNotNull()), lines), "\n")
+    cut = F.concat(F.substring(text, 1, most), F.lit(f"\n{CUT}"))
+    return parts.select("key", F.when(F.char_length(text) > most, cut).otherwise(text).alias("snapshot"))
+
+
+def active_list(scenes: DataFrame, active: list[int]) -> DataFrame:
+    """The active scenes with their names; at most the capacity's many."""
+    return scenes.where(F.col("id").isin(*active)) if active else scenes.limit(0)
+
+
+def scene_nodes(nodes: DataFrame, scene_id: int | None = None) -> DataFrame:
+    return nodes if scene_id is None else nodes.where(F.col("scene_id") == scene_id)
+
+
+def doomed(topics: DataFrame, scene_ids: list[int], topic_ids: list[int]) -> DataFrame:
+    """id: the topics that go with some scenes, and topics by their own ids."""
+    none = F.lit(False)
+    of_scene = F.col("scene_id").isin(*scene_ids) if scene_ids else none
+    return topics.where(of_scene | (F.col("id").isin(*topic_ids) if topic_ids else none)).select("id")
+
+
+def search_nodes(nodes: DataFrame, text: str = "", keyword: str = "", node_type: str = "", graph_id: int | None = None, limit: int = 0) -> DataFrame:
+    """Nodes of a graph index: by exact keyword, by type, by graph, or by BM25 over title and content (id, score)."""
+    from .retrieval import bm25
+
+    if keyword:
+        nodes = nodes.where(F.array_contains("keywords", keyword))
+    if node_type:
+        nodes = nodes.where(F.col("node_type") == node_type)
+    if text:
+        # The statistics are those of the whole index, the scores those of the graph.
+        asked = nodes.sparkSession.range(1).select(words(F.lit(text))).first()[0]
+        docs = nodes.select("id", words(F.concat_ws(" ", "title", "content")).alias("tokens"), "graph_id")
+        found = bm25(docs, asked, candidates=F.lit(True) if graph_id is None else F.col("graph_id") == graph_id)
+        found = found.orderBy(F.desc("score"), "id")
+    else:
+        found = (nodes if graph_id is None else nodes.where(F.col("graph_id") == graph_id)).orderBy("id")
+    return found.limit(limit) if limit > 0 else found
+
+
+def joined_keywords(old: Column, new: Column) -> Column:
+    """Old and new keywords in order, without repeats."""
+    return F.array_union(old, new)
+
+
+def without_references(old: Column, gone: Column) -> Column:
+    return F.array_except(old, gone)
+
+
+def existing(ids: DataFrame, live: DataFrame) -> DataFrame:
+    """Those of ids that are live records."""
+    return ids.join(live.select("id"), "id", "left_semi")
+
+
+def capability_by_id(stored: DataFrame, builtin: DataFrame) -> DataFrame:
+    """One card for each id: a stored one goes before a built-in one of the same id."""
+    both = stored.withColumn("place", F.lit(0)).unionByName(builtin.withColumn("place", F.lit(1)), allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in ("id", "place")]
+    first = both.groupBy("id").agg(F.min_by(F.struct(*rest), "place").alias("c"))
+    return first.select("id", *(F.col(f"c.{c}").alias(c) for c in rest))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Defaults
-from ..functions.scalars import clamp, hash_id, hours_between, three_decimals
+from ..functions.scalars import clamp, hash_id, hours_between, three_decimals, to_hex
 from .graph import without_nodes
 
 DEFAULTS = Defaults()
@@ -38,6 +38,15 @@ def fused_topics(spans: DataFrame) -> DataFrame:
     )
 
 
+def with_summaries(fused: DataFrame, summaries: DataFrame) -> DataFrame:
+    """fused with what a model and an encoder made of each group's summary (group_id, summary, keywords, vector): its keywords
+    and its centroid's id. Groups whose summary gave no keywords are skipped."""
+    known = summaries.where(F.size("keywords") > 0)
+    joined = fused.join(known, "group_id")
+    centroid = hash_id("centroid:", F.array_join(F.transform("vector", lambda x: x.cast("string")), ","))
+    return joined.withColumnRenamed("keywords", "fused_keywords").withColumn("centroid_ref", centroid)
+
+
 def sink_children(topics: DataFrame, fused: DataFrame) -> DataFrame:
     """Topics with the children of fused ones a level deeper below their parent; those that reach depth 4 are gone."""
     child = fused.select(F.col("id").alias("new_parent"), F.explode("children_ids").alias("id"))
@@ -127,6 +136,17 @@ def sample_keywords(nodes: DataFrame, topics: DataFrame, most: int = DEFAULTS.di
     return gathered.withColumn("keywords", F.slice("keywords", 1, most))
 
 
+def distill_prompt(samples: DataFrame, keywords: DataFrame) -> DataFrame:
+    """One row: the samples as lines for the model, in their order, each with its identifier, importance and keywords."""
+    joined = samples.join(keywords, "id", "left")
+    line = F.concat(
+        F.lit("id_hex="), to_hex(F.col("id")), F.lit(" importance="), F.format_string("%.3f", F.col("importance").cast("double")), F.lit(" keywords="),
+        F.coalesce(F.array_join("keywords", " "), F.lit("")),
+    )
+    lines = F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "id", line.alias("line"))))
+    return joined.agg(F.count(F.lit(1)).alias("samples"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("prompt"))
+
+
 def distilled_profile(reply: DataFrame) -> DataFrame:
     """reply (valence, arousal, dominance, ie, ns, tf, jp) as the texts that enter the profile."""
     letters = [F.when(clamp(F.col(c), -1, 1) < 0, low).otherwise(high) for c, low, high in (("ie", "I", "E"), ("ns", "N", "S"), ("tf", "T", "F"), ("jp", "J", "P"))]

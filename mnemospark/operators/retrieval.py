@@ -1,7 +1,7 @@
 """Hybrid retrieval: BM25, vector and fuzzy channels, rank fusion, scene scores.
 
 Everything that depends on the query is a literal or a row, everything that depends on the corpus stays distributed: BM25 needs
-one row of statistics and no shuffle, the fuzzy and vector channels are narrow, and ranks are dealt over quantile buckets.
+one row of statistics and no shuffle, the fuzzy and vector channels are narrow, and ranks are taken in ranges of scores.
 """
 
 from __future__ import annotations
@@ -89,14 +89,19 @@ def bm25(docs: DataFrame, query: list[str], tokens: str = "tokens", candidates:
     return counted.where("keep").crossJoin(F.broadcast(stats)).select("id", score.alias("score")).where("score > 0")
 
 
-def bm25_indexed(posted: DataFrame, lengths: DataFrame, query: list[str], k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
-    """The same from a stored index: only the query terms' postings are read."""
+def bm25_indexed(posted: DataFrame, lengths: DataFrame, query: list[str], candidates: DataFrame | None = None,
+                 k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
+    """The same from a stored index: only the query terms' postings are read. candidates: the ids that are scored."""
     terms = Counter(query)
     if not terms:
         return lengths.select("id", F.lit(0.0).alias("score")).limit(0)
     hits = posted.where(F.col("term").isin(*terms))
     weight = F.create_map(*(F.lit(x) for t in terms.items() for x in (t[0], float(t[1]))))
-    found = hits.join(F.broadcast(document_frequencies(hits)), "term").join(lengths, "id").crossJoin(F.broadcast(corpus_stats(lengths)))
+    if candidates is None:
+        scored = hits
+    else:
+        scored = hits.join(candidates.select("id"), "id", "left_semi")
+    found = scored.join(F.broadcast(document_frequencies(hits)), "term").join(lengths, "id").crossJoin(F.broadcast(corpus_stats(lengths)))
     part = weight[F.col("term")] * idf(F.col("n"), F.col("df")) * _saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return found.groupBy("id").agg(F.sum(part).alias("score"))
 
@@ -109,27 +114,36 @@ def top_terms(frequencies: DataFrame, n: int) -> DataFrame:
 # Channels
 
 
+def closeness(term: Column, query: list[str], distance: int) -> Column:
+    """The best 1 / (1 + edit distance) of a term to any query token, within the distance; null if none is."""
+    found = []
+    for q in dict.fromkeys(query):
+        d = F.levenshtein(term, F.lit(q), distance)
+        near = F.abs(F.char_length(term) - len(q)) <= distance
+        found.append(F.when(near & (d >= 0), 1.0 / (1.0 + d)))
+    return F.greatest(*found, F.lit(None).cast("double"))
+
+
 def fuzzy(docs: DataFrame, query: list[str], tokens: str = "tokens", distance: int = DEFAULTS.fuzzy_distance) -> DataFrame:
-    """id, score: the best 1 / (1 + edit distance) of any term of the document to any query token, within the distance.
+    """id, score: the best closeness of any term of the document.
 
     Terms are compared where they are; only documents with a match are kept, and only their best score is.
     """
     if not query:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-
-    def closeness(term: Column) -> Column:
-        found = []
-        for q in dict.fromkeys(query):
-            d = F.levenshtein(term, F.lit(q), distance)
-            near = F.abs(F.char_length(term) - len(q)) <= distance
-            found.append(F.when(near & (d >= 0), 1.0 / (1.0 + d)))
-        return F.coalesce(F.greatest(*found, F.lit(None).cast("double")), F.lit(0.0))
-
     terms = docs.select("id", F.explode(F.array_distinct(tokens)).alias("term"))
-    matched = terms.select("id", closeness(F.col("term")).alias("score")).where("score > 0")
+    matched = terms.select("id", closeness(F.col("term"), query, distance).alias("score")).where("score > 0")
     return matched.groupBy("id").agg(F.max("score").alias("score"))
 
 
+def fuzzy_indexed(posted: DataFrame, query: list[str], distance: int = DEFAULTS.fuzzy_distance) -> DataFrame:
+    """The same from a stored index: every distinct term is compared once, and only postings of close terms are read."""
+    if not query:
+        return posted.select("id", F.lit(0.0).alias("score")).limit(0)
+    terms = posted.select("term").distinct().select("term", closeness(F.col("term"), query, distance).alias("score")).where("score > 0")
+    return posted.join(terms, "term").groupBy("id").agg(F.max("score").alias("score"))
+
+
 def vector(vectors: DataFrame, query: list[float]) -> DataFrame:
     """id, score: cosine with the query, positive ones. Vectors of another dimension are left out."""
     q = F.array(*(F.lit(float(x)).cast("float") for x in query))
@@ -140,28 +154,31 @@ def vector(vectors: DataFrame, query: list[float]) -> DataFrame:
 # Fusion
 
 
-def ranked(channel: DataFrame, buckets: int = 64) -> DataFrame:
-    """Adds rank: 1 for the greatest score, ties by id.
+def ranked(*channels: DataFrame) -> DataFrame:
+    """channel, id, score, rank: 1 for the greatest score of a channel, ties by id.
 
-    Scores fall into quantile buckets, ranks are taken inside a bucket and shifted by the buckets before: no task sees all
-    rows. The rank does not depend on where the quantiles lie.
+    All rows are range-partitioned by (channel, falling score, id) and sorted there, so that no task sees all of a channel,
+    however many scores are equal; a row's place in its range is shifted by the ranges before, one number for each range and channel.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = channel.agg(F.coalesce(F.percentile_approx("score", shares), F.array().cast("array<double>")).alias("cuts"))
-    dealt = channel.crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("cuts", lambda c: c > F.col("score")))).drop("cuts")
-    inside = dealt.withColumn("inside", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "id")))
-    sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    shift = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("shift"))
-    return inside.join(F.broadcast(shift), "bucket").select("id", "score", (F.col("inside") + F.col("shift")).alias("rank"))
+    whole = channels[0].select(F.lit(0).alias("channel"), "id", "score")
+    for i, c in enumerate(channels[1:], 1):
+        whole = whole.unionAll(c.select(F.lit(i).alias("channel"), "id", "score"))
+    order = ["channel", F.desc("score"), "id"]
+    # The scores are fixed once (the splitters are sampled from them), then the ranges.
+    ranges = settle(whole).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = settle(ranges.withColumn("place", F.monotonically_increasing_id()))
+    ranges = ranges.withColumn("range", F.shiftright("place", 33)).withColumn("place", F.col("place").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = ranges.groupBy("range", "channel").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("channel").orderBy("range")) - F.col("n")
+    beside = F.sum("n").over(Window.partitionBy("range").orderBy("channel")) - F.col("n")
+    shift = sizes.select("range", "channel", (before - beside).alias("shift"))
+    placed = ranges.join(F.broadcast(shift), ["range", "channel"])
+    return placed.select("channel", "id", "score", (F.col("place") + F.col("shift") + 1).alias("rank"))
 
 
 def fuse(channels: list[DataFrame], k: float = DEFAULTS.rrf_k) -> DataFrame:
-    """id, rrf: reciprocal ranks summed over channels. Each channel's scores are fixed once: ranking reads them three times."""
-    parts = [ranked(settle(c)).select("id", (1.0 / (k + F.col("rank"))).alias("part")) for c in channels]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.union(p)
-    return whole.groupBy("id").agg(F.sum("part").alias("rrf"))
+    """id, rrf: reciprocal ranks summed over channels."""
+    return ranked(*channels).groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"))
 
 
 def topic_scores(rrf: DataFrame, topics: DataFrame, keywords: list[str]) -> DataFrame:
@@ -208,17 +225,21 @@ def candidates(topics: DataFrame, l3_id: int | None = None) -> DataFrame:
 
 
 def retrieve(topics: DataFrame, docs: DataFrame, vectors: DataFrame, query_tokens: list[str], fuzzy_tokens: list[str], keywords: list[str],
-             query_vector: list[float] | None, active: list[int], l3_id: int | None = None, config: Defaults = DEFAULTS) -> DataFrame:
-    """All scenes with their scores, before winner().
+             query_vector: list[float] | None, active: list[int], l3_id: int | None = None, config: Defaults = DEFAULTS,
+             index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """All scenes with their scores, before winner(). index: stored postings and lengths, read in place of docs.
 
     topics: id, scene_id, depth, user_ts, keywords, l3_refs; docs: id, tokens (the whole index); vectors: id, vector. The fuzzy channel
     ranks all indexed documents, so that non-candidates take rank positions, as they should; the others rank candidates.
     """
     eligible = candidates(topics, l3_id)
     ids = eligible.select("id")
-    marked = docs.join(ids.withColumn("is_candidate", F.lit(True)), "id", "left")
-    channels = [bm25(marked, query_tokens, candidates=F.col("is_candidate").isNotNull(), k1=config.bm25_k1, b=config.bm25_b)]
-    channels.append(fuzzy(docs, fuzzy_tokens, distance=config.fuzzy_distance))
+    if index:
+        channels = [bm25_indexed(*index, query_tokens, ids, config.bm25_k1, config.bm25_b), fuzzy_indexed(index[0], fuzzy_tokens, config.fuzzy_distance)]
+    else:
+        marked = docs.join(ids.withColumn("is_candidate", F.lit(True)), "id", "left")
+        channels = [bm25(marked, query_tokens, candidates=F.col("is_candidate").isNotNull(), k1=config.bm25_k1, b=config.bm25_b)]
+        channels.append(fuzzy(docs, fuzzy_tokens, distance=config.fuzzy_distance))
     close = None
     if query_vector is not None:
         close = vector(vectors.join(ids, "id", "left_semi"), query_vector)

@@ -76,7 +76,7 @@ def point_read(spark, sf):
 
 def existing(spark, sf):
     """Which keys exist: a semi join."""
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(ST.current(view(spark, sf, "v_log"), order=("seq",)).select("id"), "id", "left_semi")
+    return L.existing(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), ST.current(view(spark, sf, "v_log"), order=("seq",)))
 
 
 def record_count(spark, sf):
@@ -289,8 +289,7 @@ def capability_list(spark, sf):
 
 def capability_get(spark, sf):
     """Stored before built-in for every id."""
-    both = _capabilities(spark, sf).select("id", "name", F.lit(0).alias("p")).union(_builtin(spark, sf).select("id", "name", F.lit(1)))
-    return both.groupBy("id").agg(F.min_by("name", "p").alias("name"))
+    return L.capability_by_id(_capabilities(spark, sf).select("id", "name"), _builtin(spark, sf).select("id", "name"))
 
 
 def capability_match(spark, sf):
@@ -360,7 +359,7 @@ def compress_candidates(spark, sf):
 
 def _groups(spark, sf):
     t = _topics(spark, sf).where("depth = 1")
-    return t.groupBy((F.col("scene_id") * 10 + F.floor(F.col("id") / 2) % 2).alias("group_id"), "scene_id").agg(F.collect_list("id").alias("node_ids"))
+    return t.groupBy((F.col("scene_id") * 10 + F.floor(F.col("id") / 4) % 2).alias("group_id"), "scene_id").agg(F.collect_list("id").alias("node_ids"))
 
 
 def compress_groups(spark, sf):
@@ -521,7 +520,7 @@ def flexible_ids(spark, sf):
 
 
 def nodes_by_exact_keyword(spark, sf):
-    return _parts(spark, sf).where(F.array_contains("keywords", "anvil")).select("id", "graph_id")
+    return L.search_nodes(_parts(spark, sf), keyword="anvil").select("id", "graph_id")
 
 
 def active_capabilities(spark, sf):
@@ -532,7 +531,64 @@ def keyword_unions(spark, sf):
     """Old and new keywords in one, in order, without repeats; and old references without removed ones."""
     parts = table(spark, sf, "part")
     old, new = F.split("p_name", " "), F.array("p_brand", F.split("p_name", " ")[0])
-    return parts.select("p_partkey", F.array_join(F.array_union(old, new), "|").alias("merged"), F.array_join(F.array_except(old, new), "|").alias("rest"))
+    return parts.select("p_partkey", F.array_join(L.joined_keywords(old, new), "|").alias("merged"), F.array_join(L.without_references(old, new), "|").alias("rest"))
+
+
+def node_bm25(spark, sf):
+    """BM25 over title and content of graph nodes, scores of one graph."""
+    return L.search_nodes(_parts(spark, sf), "Red ANVIL economy", graph_id="Brand#2").select("id", F.round("score", 6).alias("score"))
+
+
+def nodes_of_graph_by_type(spark, sf):
+    return L.search_nodes(_parts(spark, sf), node_type="ECONOMY", graph_id="Brand#2", limit=5).select("id")
+
+
+def history_window(spark, sf):
+    """What a snapshot hides of each conversation: calls and results are a user's and an assistant's turns here."""
+    kind = F.when(F.col("role") == "user", "tool_call").when(F.col("role") == "assistant", "tool_result").otherwise("message")
+    nodes = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), kind.alias("kind"))
+    return L.history_window(nodes, 3, 2)
+
+
+def snapshots(spark, sf):
+    """A snapshot of each conversation, cut at 300 characters."""
+    turns = table(spark, sf, "conversations")
+    said = F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("role") == "assistant", 1).otherwise(0).alias("role"), "text")))
+    parts = turns.groupBy(F.col("conv_id").alias("key")).agg(F.transform(said, lambda a: F.struct(a["role"].alias("role"), a["text"].alias("content"))).alias("archives"))
+    number = F.col("key").cast("string")
+    parts = parts.withColumns({"profile": F.array(F.lit("Agent"), F.lit(""), number), "topics": F.array(F.array(F.lit("a"), number), F.array().cast("array<string>"))})
+    return L.snapshot_text(parts, 300).select("key", "snapshot")
+
+
+def active_scene_list(spark, sf):
+    scenes = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("scene_name"))
+    return L.active_list(scenes, [3, 5, 99]).select("id", "scene_name")
+
+
+def scene_delete(spark, sf):
+    """The topics that are left after two scenes and some topics are deleted."""
+    topics = _topics(spark, sf).select("id", "scene_id")
+    return topics.join(L.doomed(topics, [1, 4], [2000, 3002]), "id", "left_anti")
+
+
+def nodes_of_scene(spark, sf):
+    return L.scene_nodes(_nodes(spark, sf), 7).select("id", F.round("importance", 6).alias("importance"))
+
+
+def fused_summaries(spark, sf):
+    """Fused topics with the keywords of their summaries; groups without keywords are skipped."""
+    spans = C.group_spans(_groups(spark, sf), _topics(spark, sf).drop("scene_id"))
+    words = F.when(F.col("group_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("kept"), F.col("group_id").cast("string")))
+    summaries = spans.select("group_id", F.lit("s").alias("summary"), words.alias("keywords"), F.array(F.lit(1.0)).cast("array<float>").alias("vector"))
+    made = C.with_summaries(C.fused_topics(spans), summaries)
+    return made.select("group_id", F.array_join("fused_keywords", " ").alias("keywords"), F.col("centroid_ref").isNotNull().alias("has_centroid"))
+
+
+def distill_prompt(spark, sf):
+    """The prompt of the samples: how many lines, and its digest."""
+    samples = _nodes(spark, sf).select("id", F.round("importance", 6).alias("importance"), F.round("importance", 6).alias("rank"))
+    keywords = samples.where("id % 2 = 0").select("id", F.array(F.lit("k"), F.col("id").cast("string")).alias("keywords"))
+    return C.distill_prompt(samples, keywords).select("samples", F.md5("prompt").alias("prompt_md5"))
 
 
 def message_counts(spark, sf):
@@ -556,7 +612,7 @@ _CAP = """cap as (select s_suppkey as id, s_name as name, case s_suppkey % 3 whe
  'supplies nation ' || s_nationkey as summary, 'when in ' || s_nationkey as trig, 'about ' || s_nationkey as about, s_suppkey % 3 as status, s_suppkey * 7 % 13 as updated_at,
  s_suppkey % 10 = 8 as blank_step from supplier),
 bi as (select n_nationkey * 9 as id, n_name as name, 'nation 1' as summary, '' as trig, 1 as status, 0 as updated_at from nation)"""
-_GR = """, gr as (select scene_id * 10 + (id // 2) % 2 as group_id, scene_id, id, user_ts, agent_ts from v_topic where depth = 1),
+_GR = """, gr as (select scene_id * 10 + (id // 4) % 2 as group_id, scene_id, id, user_ts, agent_ts from v_topic where depth = 1),
 ok as (select group_id, scene_id, min(user_ts) as user_ts, max(agent_ts) as agent_ts, count(*) as n from gr group by all having count(*) >= 2)"""
 _DEC = """, de as (select *, importance * exp(-greatest(0, 0.01 - abs(valence) * arousal * 2) * greatest(1706745600000 - updated_at, 0) / 3600000.0) as f from nd)"""
 
@@ -650,6 +706,28 @@ QUERIES = {
     "flexible_ids": (flexible_ids, "select o_orderkey, case when o_orderkey % 2 = 0 then o_orderkey else -1 end as id from orders"),
     "nodes_by_exact_keyword": (nodes_by_exact_keyword, ctes("v_node") + "select id, graph_id from v_node where list_contains(string_split(title, ' '), 'anvil')"),
     "active_capabilities": (active_capabilities, f"with {_CAP} select id, 'active' as status from cap where status = 1"),
+    "node_bm25": (node_bm25, ctes("v_node") + r""", tok as (select id, graph_id, regexp_extract_all(lower(title || ' ' || content), '[\p{L}\p{Nd}]+') as toks from v_node),
+        st as (select count(*) as n, avg(len(toks)) as avgdl from tok), tf as (select id, graph_id, len(toks) as dl, q.term, len(list_filter(toks, lambda x: x = q.term)) as tf
+        from tok, (values ('red'), ('anvil'), ('economy')) q(term)), df as (select term, count(*) as df from tf where tf > 0 group by term)
+        select id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+        from tf join df using (term), st where tf > 0 and graph_id = 'Brand#2' group by id"""),
+    "nodes_of_graph_by_type": (nodes_of_graph_by_type, ctes("v_node") + "select id from v_node where node_type = 'ECONOMY' and graph_id = 'Brand#2' order by id limit 5"),
+    "history_window": (history_window, """with c as (select conv_id as session_id, turn as pos, case role when 'user' then 'tool_call' when 'assistant' then 'tool_result' else 'message' end as kind from conversations),
+        w as (select *, sum(case kind when 'tool_call' then 1 when 'tool_result' then -1 else 0 end) over (partition by session_id order by pos) as waiting,
+                     count(*) over (partition by session_id) - row_number() over (partition by session_id order by pos) as behind from c),
+        k as (select session_id, max(pos) as cut from w where waiting = 0 and behind >= 3 group by 1)
+        select session_id, pos, kind, coalesce(pos <= cut, false) as hidden from c left join k using (session_id)"""),
+    "snapshots": (snapshots, r"""with m as (select conv_id as key, turn, case when role = 'assistant' then 'agent: ' else 'user: ' end as who, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) as t from conversations),
+        j as (select key, 'Memory snapshot: what was found for this session; the current messages take precedence.' || chr(10) || 'profile: Agent · ' || key || chr(10)
+              || 'topics (2): a/' || key || coalesce(chr(10) || string_agg(who || t, chr(10) order by turn) filter (t <> ''), '') as s from m group by key)
+        select key, case when length(s) > 300 then substring(s, 1, 300) || chr(10) || '…(snapshot cut)' else s end as snapshot from j"""),
+    "active_scene_list": (active_scene_list, "select n_nationkey as id, n_name as scene_name from nation where n_nationkey in (3, 5, 99)"),
+    "scene_delete": (scene_delete, _T + "select id, scene_id from v_topic where scene_id not in (1, 4) and id not in (2000, 3002)"),
+    "nodes_of_scene": (nodes_of_scene, _L1 + " select id, round(importance, 6) as importance from nd where scene_id = 7"),
+    "fused_summaries": (fused_summaries, _T + _GR + " select group_id, 'kept ' || group_id as keywords, true as has_centroid from ok where group_id % 3 <> 0"),
+    "distill_prompt": (distill_prompt, _L1 + """, s as (select id, round(importance, 6) as imp from nd),
+        l as (select id, imp, 'id_hex=' || lpad(to_hex(id), 16, '0') || ' importance=' || printf('%.3f', imp) || ' keywords=' || case when id % 2 = 0 then 'k ' || id else '' end as line from s)
+        select count(*) as samples, md5(string_agg(lower(line[:23]) || line[24:], chr(10) order by imp desc, id)) as prompt_md5 from l"""),
     "keyword_unions": (keyword_unions, "select p_partkey, p_name_m || '|' || p_brand as merged, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> string_split(p_name, ' ')[1]), '|') as rest from (select *, replace(p_name, ' ', '|') as p_name_m from part) x"),
     "message_counts": (message_counts, ctes("v_archive") + "select case role when 0 then 'user' when 1 then 'agent' else 'system' end as role, count(*) as n, min(created_at) as first_at, max(created_at) as last_at from v_archive group by 1"),
     "usage_windows": (usage_windows, "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) as n, round(sum(value), 4) as value from events group by 1, 2"),

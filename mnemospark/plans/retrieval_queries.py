@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.scalars import cosine
 from ..operators import retrieval as R
+from ..sources.shared import settle, spread
 from .fixtures import table
 
 QUERY = ["the", "tion", "and", "the", "que"]
@@ -35,7 +36,7 @@ TOPICS = """tp as (
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.words(F.col("text")).alias("tokens"), "source")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "source")).select(F.col("doc_id").alias("id"), T.words(F.col("text")).alias("tokens"), "source")
 
 
 def _topics(docs):
@@ -85,6 +86,19 @@ def bm25_indexed(spark, sf):
     return R.bm25_indexed(R.postings(docs), R.document_lengths(docs), QUERY).select("id", F.round("score", 6).alias("score"))
 
 
+def fuzzy_indexed(spark, sf):
+    return R.fuzzy_indexed(R.postings(_docs(spark, sf)), FUZZY).select("id", F.round("score", 6).alias("score"))
+
+
+def scene_retrieval_indexed(spark, sf):
+    """scene_retrieval from a stored index: tokens are made once, each channel reads its postings."""
+    docs = settle(_docs(spark, sf))  # tokens are made once for all channels
+    topics = _topics(docs).withColumn("l3_refs", F.array().cast("array<bigint>"))
+    index = (settle(R.postings(docs)), settle(R.document_lengths(docs)))
+    found = R.retrieve(topics, docs, _vectors(spark, sf).select("id", "vector"), QUERY, FUZZY, KEYWORDS, _query_vector(spark, sf), ACTIVE, index=index)
+    return found.select("scene_id", F.round("score", 5).alias("score"))
+
+
 def bm25_topk(spark, sf):
     return R.bm25(_docs(spark, sf), QUERY).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
@@ -106,7 +120,7 @@ def cosine_neighbours(spark, sf):
 
 
 def rrf_fusion(spark, sf):
-    docs = _docs(spark, sf)
+    docs = settle(_docs(spark, sf).select("id", "tokens"))
     rounded = [c.withColumn("score", F.round("score", 6)) for c in (R.bm25(docs, QUERY), R.fuzzy(docs, FUZZY))]
     return R.fuse(rounded).select("id", F.round("rrf", 8).alias("rrf"))
 
@@ -118,7 +132,7 @@ def keyword_overlap(spark, sf):
 
 def scene_retrieval(spark, sf):
     """All scenes with their scores: channels, fusion, floor and bonuses together."""
-    docs = _docs(spark, sf)
+    docs = settle(_docs(spark, sf))  # tokens are made once for all channels
     topics = _topics(docs).withColumn("l3_refs", F.array().cast("array<bigint>"))
     found = R.retrieve(topics, docs.select("id", "tokens"), _vectors(spark, sf).select("id", "vector"), QUERY, FUZZY, KEYWORDS, _query_vector(spark, sf), ACTIVE)
     return found.select("scene_id", F.round("score", 5).alias("score"))
@@ -126,7 +140,7 @@ def scene_retrieval(spark, sf):
 
 def scene_retrieval_by_reference(spark, sf):
     """The same among topics that refer to one graph: the fuzzy channel still ranks every document."""
-    docs = _docs(spark, sf)
+    docs = settle(_docs(spark, sf))  # tokens are made once for all channels
     topics = _topics(docs).withColumn("l3_refs", F.array(F.col("id") % 4))
     found = R.retrieve(topics, docs.select("id", "tokens"), _vectors(spark, sf).select("id", "vector"), QUERY, FUZZY, KEYWORDS, None, ACTIVE, l3_id=1)
     return found.select("scene_id", F.round("score", 5).alias("score"))
@@ -199,6 +213,8 @@ QUERIES = {
     "bm25_indexed": (bm25_indexed, f"with {BM25} select id, round(score, 6) as score from bm"),
     "bm25_topk": (bm25_topk, f"with {BM25} select id, round(score, 6) as score from bm order by score desc, id limit 10"),
     "fuzzy_search": (fuzzy_search, f"with {TOK}, {FUZ} select id, round(score, 6) as score from fz"),
+    "fuzzy_indexed": (fuzzy_indexed, f"with {TOK}, {FUZ} select id, round(score, 6) as score from fz"),
+    "scene_retrieval_indexed": (scene_retrieval_indexed, _SCENES + "select scene_id, score from fin"),
     "vector_search": (vector_search, f"with {_VEC} select id, round(score, 6) as score from vc where score > 0"),
     "cosine_neighbours": (cosine_neighbours, f"with {_VEC}, r as (select *, round(score, 6) as s from vc where id <> 0),"
                           " o as (select *, row_number() over (partition by label order by s desc, id) as k from r) select label as scene_id, id, s as score from o where k = 1"),

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import GRAPH_EDGE_KINDS, Defaults, code_of
-from .errors import INVALID_QUERY, NOT_FOUND, MemoryError_
-from .functions.scalars import enum_name, format_id, hash_id, parse_id, to_hex
+from .errors import INVALID_QUERY, LLM, NOT_FOUND, MemoryError_
+from .functions.scalars import clamp, enum_name, format_id, hash_id, parse_id, to_hex
 from .functions.text import tokens, with_bigrams, words
 from .operators import graph, layers, lifecycle, retrieval
 from .providers import Encoder, HashEncoder, LanguageModel, OfflineModel
@@ -69,14 +69,28 @@ class Memory:
     def retrieve(self, text: str, keywords: list[str] | None = None, l3_id: str | None = None) -> dict | None:
         """The best scene above the threshold, or None."""
         keywords = self.model.keywords(text) if keywords is None else keywords
-        asked = self.spark.range(1).select(tokens(F.lit(f"{text} {' '.join(keywords)}")).alias("t"), with_bigrams(words(F.lit(text))).alias("w")).first()
+        # Every channel searches the text and the keywords.
+        wanted = " ".join(x for x in (text, " ".join(keywords)) if x)
+        asked = self.spark.range(1).select(tokens(F.lit(wanted)).alias("t"), with_bigrams(words(F.lit(wanted))).alias("w")).first()
         topics = self._searchable()
         docs = layers.search_text(topics)
-        scenes = retrieval.retrieve(topics, docs, self._vectors(), asked["t"], asked["w"], keywords, self.encoder.encode(text), self.active,
-                                    parse_id(l3_id) if l3_id else None, self.config)
+        scenes = retrieval.retrieve(topics, docs, self._vectors(), asked["t"], asked["w"], keywords, self.encoder.encode(wanted), self.active,
+                                    parse_id(l3_id) if l3_id else None, self.config, self._index(docs))
         best = retrieval.winner(scenes, self.config.min_scene_score).first()
         return None if best is None else {"scene_id": format_id(best["scene_id"]), "score": best["score"]}
 
+    def _index(self, docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """Postings and lengths of all topics: the stored ones, but for topics that were written since. None without a stored index."""
+        try:
+            known = self.store.derived("indexed").first()["commit"]
+            posted, lengths = self.store.derived("postings"), self.store.derived("lengths")
+        except MemoryError_:
+            return None
+        changed = self.store.log("topic").where(F.col("commit") > known).select("id").distinct()
+        fresh = docs.join(changed, "id", "left_semi")
+        old = lambda x: x.join(changed, "id", "left_anti")
+        return old(posted).unionByName(retrieval.postings(fresh)), old(lengths).unionByName(retrieval.document_lengths(fresh))
+
     def ingest(self, text: str, timestamp: int, scene_id: int | None = None, keywords: list[str] | None = None, l3_refs: list[int] | None = None) -> dict:
         """Writes a message as a topic of a scene (a new one if none is named)."""
         if timestamp <= 0:
@@ -127,10 +141,14 @@ class Memory:
         now = F.lit(now_ms or _now())
         topics = self.store.table("topic")
         due = lifecycle.scenes_to_compress(topics.where(F.col("scene_id").isin(*targets)), self.config.compress_min_topics)
-        made = 0
+        made, failed = 0, None
         for row in due.collect():  # at most as many scenes as may be active
-            groups = self.model.consolidate(self._consolidate_prompt(row["scene_id"]))
-            made += self._compress(row["scene_id"], groups, int(now_ms or _now()))
+            try:
+                made += self._compress(row["scene_id"], self.model.consolidate(self._consolidate_prompt(row["scene_id"])), int(now_ms or _now()))
+            except MemoryError_ as error:
+                failed = error
+        if failed and not made:
+            raise MemoryError_(LLM, "no scene could be consolidated") from failed
         topics, nodes = self.store.table("topic"), self.store.table("scene_node")
         fed = lifecycle.usage_feedback(nodes, self.store.table("scene_usage"), now, self.config.ttl_ms, self.config.usage_step)
         synced = lifecycle.sync_nodes(fed, topics, now).join(nodes.select("id", "edge_ids", "created_at"), "id", "left")
@@ -149,6 +167,7 @@ class Memory:
         self.store.append("scene_edge", live_edges)
         self.store.delete("scene_edge", dead)
         self._profile_from_index()
+        self._distill(int(now_ms or _now()))
         self.last_dream = now_ms or _now()
         return {"groups": made}
 
@@ -159,20 +178,25 @@ class Memory:
         return rows.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).first()[0]
 
     def _compress(self, scene: int, groups: list[dict], now: int) -> int:
-        given = [(i, scene, [parse_id(h) for h in g["node_hashes"]], g.get("merged_summary", "")) for i, g in enumerate(groups)]
+        given = []
+        for i, g in enumerate(groups):
+            summary = g.get("merged_summary", "")
+            given.append((i, scene, [parse_id(h) for h in g["node_hashes"]], summary, self.model.keywords(summary), [float(x) for x in self.encoder.encode(summary)]))
         if not given:
             return 0
-        frame = self.spark.createDataFrame(given, "group_id int, scene_id bigint, node_ids array<bigint>, summary string")
+        schema = "group_id int, scene_id bigint, node_ids array<bigint>, summary string, keywords array<string>, vector array<float>"
+        frame = self.spark.createDataFrame(given, schema)
         topics = self.store.table("topic")
         fused = lifecycle.fused_topics(lifecycle.group_spans(frame, topics.where("depth = 1").drop("scene_id")))
-        fused = settle(fused.join(frame.select("group_id", "summary"), "group_id"))
+        fused = settle(lifecycle.with_summaries(fused, frame.select("group_id", "summary", "keywords", "vector")))
+        self.store.append("centroid", fused.select(F.col("centroid_ref").alias("id"), "vector"))
         archive = fused.select(hash_id(F.col("id"), ":", F.lit(now), ":", F.col("summary")).alias("archive_id"), "id", "summary")
         self.store.append("archive", archive.select(
             F.col("archive_id").alias("id"), F.lit(0).alias("content_type"), F.lit(3).alias("role"), F.col("id").alias("context_id"),
             F.lit(now).alias("created_at"), F.col("summary").alias("content")))
         sunk = settle(lifecycle.sink_children(topics, fused))
         gone = settle(topics.select("id").join(sunk.select("id"), "id", "left_anti"))
-        new = fused.withColumn("fused_keywords", tokens(F.col("summary"))).join(archive.select("id", F.array("archive_id").alias("l4_refs")), "id")
+        new = fused.join(archive.select("id", F.array("archive_id").alias("l4_refs")), "id")
         self.store.append("topic", sunk)
         self.store.append("topic", new)
         self.store.delete("topic", gone)
@@ -187,10 +211,36 @@ class Memory:
         profile["preferences"] = (profile.get("preferences") or {}) | {"top_keywords": found["top_keywords"], "total_engrams": found["total_engrams"]}
         self.profile_update(profile)
 
+    def _distill(self, now: int) -> None:
+        """Profile emotions and type from the nodes that matter most, as the model reads them; nodes without emotions get theirs."""
+        nodes, topics = self.store.table("scene_node"), self.store.table("topic")
+        samples = lifecycle.distill_samples(nodes, F.lit(now), self.config)
+        row = lifecycle.distill_prompt(samples, lifecycle.sample_keywords(samples, topics, self.config.distill_keywords)).first()
+        reply = self.model.distill(row["prompt"]) if row["samples"] else None
+        if not reply:
+            return
+        emotion, kinds = reply.get("emotion") or {}, reply.get("mbti") or {}
+        values = {c: float(emotion.get(c) or 0) for c in ("valence", "arousal", "dominance")} | {c: float(kinds.get(c) or 0) for c in ("ie", "ns", "tf", "jp")}
+        found = lifecycle.distilled_profile(self.spark.createDataFrame([values])).first().asDict()
+        profile = self.profile_get() or layers.default_profile([], 0)
+        patterns = {c: found[c] for c in ("valence", "arousal", "dominance")} | {"updated_at_ms": str(now)}
+        types = {c: v for c, v in found.items() if c.startswith("mbti")} | {"mbti_updated_at_ms": str(now)}
+        profile |= {"emotion_patterns": (profile.get("emotion_patterns") or {}) | patterns, "preferences": (profile.get("preferences") or {}) | types, "personality": found["mbti_type"]}
+        self.profile_update(profile)
+        each = [(parse_id(n["id_hex"]), float(n.get("valence") or 0), float(n.get("arousal") or 0)) for n in reply.get("per_node") or []]
+        if each:  # at most as many as there are samples
+            emotions = self.spark.createDataFrame(each, "id bigint, new_valence double, new_arousal double")
+            clamped = emotions.select("id", *(clamp(F.col(c), 0, 1).alias(c) for c in ("new_valence", "new_arousal")))
+            felt = lifecycle.backfill_emotions(nodes.join(clamped.select("id"), "id", "left_semi"), clamped, F.lit(now))
+            self.store.append("scene_node", settle(felt))
+
     def checkpoint(self) -> dict:
-        """Materialises the sparse index."""
-        docs = layers.search_text(self.store.table("topic"))
-        return {"postings": self.store.save_derived("postings", retrieval.postings(docs)), "lengths": self.store.save_derived("lengths", retrieval.document_lengths(docs))}
+        """Materialises the sparse index, and notes the commit up to which it holds."""
+        commits = self.store.commits("topic")
+        docs = settle(layers.search_text(self.store.table("topic")))
+        paths = {"postings": self.store.save_derived("postings", retrieval.postings(docs)), "lengths": self.store.save_derived("lengths", retrieval.document_lengths(docs))}
+        self.store.save_derived("indexed", self.spark.createDataFrame([(commits[-1] if commits else 0,)], "commit bigint"))
+        return paths
 
     def status(self) -> dict:
         return {"closed": self.store.closed, "active": [format_id(s) for s in self.active], "records": self.store.count(), "bytes": self.store.size(),
@@ -216,6 +266,33 @@ class Memory:
     def scene_active_list(self) -> list[str]:
         return [format_id(s) for s in self.active]
 
+    def scene_active(self) -> DataFrame:
+        """The active scenes with their names."""
+        return layers.active_list(self.store.table("scene"), self.active)
+
+    def scene_delete(self, scene_ids: list[str] | None = None, topic_ids: list[str] | None = None) -> int:
+        """Deletes scenes with their topics, and topics by id; returns how many records went."""
+        scenes, topics = [parse_id(s) for s in scene_ids or []], [parse_id(t) for t in topic_ids or []]
+        gone = settle(layers.doomed(self.store.table("topic"), scenes, topics))
+        count = self.store.delete("topic", gone)
+        if scenes:
+            count += self.store.delete("scene", self.spark.createDataFrame([(s,) for s in scenes], "id bigint"))
+        self.active = [s for s in self.active if s not in scenes]
+        return count
+
+    def snapshot(self, found: dict, most: int = 4000) -> str:
+        """What search() found as text for a host's prompt."""
+        profile = found.get("profile") or {}
+        topics = found["topics"].withColumn("l4", F.get("l4_refs", F.lit(0)))
+        said = self.store.table("archive").join(topics.select(F.col("id").alias("context_id")), "context_id", "left_semi")
+        order = F.array_sort(F.collect_list(F.struct("created_at", "id", F.col("role").cast("int").alias("role"), "content")))
+        archives = said.agg(F.transform(order, lambda a: F.struct(a["role"].alias("role"), a["content"].alias("content"))).alias("archives"))
+        keywords = topics.agg(F.transform(F.array_sort(F.collect_list(F.struct("user_ts", "id", "user_keywords"))), lambda t: t["user_keywords"]).alias("topics"))
+        bits = F.array(*(F.lit(profile.get(c) or "") for c in ("name", "role", "personality"))).alias("profile")
+        # Each side is one row.
+        parts = keywords.crossJoin(archives).select(F.lit(0).alias("key"), bits, "topics", "archives")
+        return layers.snapshot_text(parts, most).first()["snapshot"]
+
     def scene_topics(self, scene_id: str, depth: int = 1) -> DataFrame:
         return layers.list_topics(self.store.table("topic"), depth, parse_id(scene_id))
 
@@ -249,6 +326,15 @@ class Memory:
         self.store.append("graph_node", touched)
         return touched.count()
 
+    def knowledge_create(self, name: str) -> str:
+        """An empty graph."""
+        id_ = self._hash("graph:", name)
+        self._put("graph", {"id": id_, "name": name, "created_at": _now(), "updated_at": _now()})
+        return format_id(id_)
+
+    def knowledge_node_search(self, text: str = "", graph_id: str | None = None, **query) -> DataFrame:
+        return layers.search_nodes(self.store.table("graph_node"), text, graph_id=parse_id(graph_id) if graph_id else None, **query)
+
     def knowledge_update(self, graph_id: str, name: str) -> None:
         self._put("graph", self.store.read("graph", parse_id(graph_id)) | {"name": name, "updated_at": _now()})
 
@@ -303,8 +389,8 @@ class Memory:
         return merged.count()
 
     def capability_get(self, capability_id: str) -> dict:
-        both = self._capabilities().unionByName(self.builtin, allowMissingColumns=True).where(F.col("id") == parse_id(capability_id))
-        row = both.orderBy(F.col("origin") == "builtin").first()
+        one = lambda x: x.where(F.col("id") == parse_id(capability_id))
+        row = layers.capability_by_id(one(self._capabilities()), one(self.builtin)).first()
         if row is None:
             raise MemoryError_(NOT_FOUND, "capability not found")
         return row.asDict(recursive=True)

@@ -36,6 +36,12 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A frame of fewer partitions than there are cores (one file, one row group) dealt over all of them; others as they are."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 def file_system(spark: SparkSession, path: str) -> tuple:
     """The file system that holds path, and path as it takes it."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)

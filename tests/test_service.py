@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemospark import errors
+from mnemospark.operators import layers
 from mnemospark.providers import OfflineModel
 from mnemospark.service import Memory, shown
 from mnemospark.sources import readers
@@ -57,6 +58,9 @@ def test_search_update_and_dream(spark, tmp_path):
     topics = memory.scene_topics(first["scene_id"], 3).collect()
     assert sorted(t["depth"] for t in topics) == [1, 2, 2]
     assert memory.profile_get()["name"] == "Agent" and memory.store.table("scene_node").count() == 2
+    # The fused topic has the model's keywords and a centroid of its own, so that it is found by vector.
+    fused = next(t for t in topics if t["depth"] == 1)
+    assert fused["fused_keywords"] == model.keywords("Rust ownership") and memory._vectors().where(F.col("id") == fused["id"]).count() == 1
     other = next(s for s in memory.scene_active_list() if s != first["scene_id"])
     memory.scene_merge(first["scene_id"], [other])
     assert memory.scene_list().count() == 1
@@ -66,6 +70,65 @@ def test_search_update_and_dream(spark, tmp_path):
     memory.close()
 
 
+def test_distillation(spark, tmp_path):
+    model = OfflineModel()
+    memory = Memory(spark, f"file://{tmp_path}", model=model)
+    made = memory.search("Learning Rust ownership", 1000, auto_create=True)
+    memory.dream(made["scene_id"], now_ms=10_000_000)
+    node = shown(memory.store.table("scene_node")).first()
+    model._profile = {"emotion": {"valence": 0.25, "arousal": 7, "dominance": -1}, "mbti": {"ie": -0.5, "ns": 0.5, "tf": 0, "jp": -2},
+                      "per_node": [{"id_hex": node["id"], "valence": 0.5, "arousal": 0.75}]}
+    memory.dream(made["scene_id"], now_ms=20_000_000)
+    profile = memory.profile_get()
+    assert profile["personality"] == "ISFJ" and profile["preferences"]["mbti_type"] == "ISFJ" and profile["preferences"]["mbti_j_p"] == "-1.000"
+    assert {c: profile["emotion_patterns"][c] for c in ("valence", "arousal", "dominance")} == {"valence": "0.250", "arousal": "1.000", "dominance": "0.000"}
+    felt = memory.store.table("scene_node").first()
+    assert (felt["valence"], felt["arousal"], felt["updated_at"]) == (0.5, 0.75, 20_000_000)
+    model._profile["per_node"][0]["valence"] = 0.9
+    memory.dream(made["scene_id"], now_ms=20_000_001)
+    assert memory.store.table("scene_node").first()["valence"] == 0.5  # once felt, it stays
+    memory.close()
+
+
+def test_consolidation_that_fails(spark, tmp_path):
+    class Broken(OfflineModel):
+        def consolidate(self, prompt):
+            raise errors.MemoryError_(errors.LLM, "no reply")
+
+    memory = Memory(spark, f"file://{tmp_path}", model=Broken())
+    made = memory.search("one topic of a scene", 1000, auto_create=True)
+    memory.config = memory.config.__class__(compress_min_topics=1)
+    with pytest.raises(errors.MemoryError_) as e:
+        memory.dream(made["scene_id"], now_ms=10_000)
+    assert e.value.code == errors.LLM
+    memory.close()
+
+
+def test_stored_index_and_snapshot(spark, tmp_path):
+    memory = Memory(spark, f"file://{tmp_path}")
+    first = memory.search("Learning Rust ownership and borrowing", 1000, auto_create=True)
+    second = memory.search("Cooking pasta with tomato sauce", 2000, auto_create=True)
+    scanned = [memory.retrieve(q) for q in ("Rust ownership borrowing learning", "pasta sauce tomato", "astronomy")]
+    memory.checkpoint()
+    assert memory._index(layers.search_text(memory.store.table("topic"))) is not None
+    assert [memory.retrieve(q) for q in ("Rust ownership borrowing learning", "pasta sauce tomato", "astronomy")] == scanned
+    # What is written after the checkpoint is found, and what changed counts once.
+    third = memory.search("Gardening roses in spring", 3000, auto_create=True)
+    memory.update(first["topic_id"], "Ownership moves values", 1500)
+    with_index = [memory.retrieve(q) for q in ("gardening roses spring", "ownership moves values rust")]
+    assert with_index[0]["scene_id"] == third["scene_id"] and with_index[1]["scene_id"] == first["scene_id"]
+    memory.store._fs.delete(memory.store._path("_derived/indexed"), True)
+    assert [memory.retrieve(q) for q in ("gardening roses spring", "ownership moves values rust")] == with_index
+    # Keywords alone find a scene in every channel.
+    assert memory.retrieve("", ["pasta", "tomato", "sauce", "cooking"])["scene_id"] == second["scene_id"]
+    text = memory.snapshot(memory.search("Rust ownership again", 4000, directed_l2=first["scene_id"]))
+    assert text.split("\n")[0].startswith("Memory snapshot") and "agent: Ownership moves values" in text and "topics (2): " in text
+    assert memory.snapshot({"topics": memory.scene_topics(first["scene_id"])}, 20).endswith("(snapshot cut)")
+    assert {r["id"] for r in shown(memory.scene_active()).collect()} == set(memory.scene_active_list())
+    assert memory.scene_delete([second["scene_id"]], [third["topic_id"]]) == 3 and memory.scene_list().count() == 2
+    memory.close()
+
+
 def test_knowledge(spark, tmp_path):
     memory = Memory(spark, f"file://{tmp_path}")
     items = [{"title": "A", "domain": "d", "content": "one", "keywords": ["k"]}, {"title": "B", "domain": "d", "content": "two"}, {"title": " ", "domain": "d"}]
@@ -77,6 +140,10 @@ def test_knowledge(spark, tmp_path):
     memory.knowledge_edge(g, [nodes["A"]["id"], nodes["B"]["id"]], "causal")
     found, edges = memory.knowledge_subgraph(g, nodes["A"]["id"], 1, ["causal"])
     assert found.count() == 2 and edges.count() == 1
+    assert [r["id"] for r in shown(memory.knowledge_node_search("more one", g)).collect()] == [nodes["A"]["id"]]
+    assert memory.knowledge_node_search(keyword="k", limit=3).count() == 1
+    empty_graph = memory.knowledge_create("empty")
+    assert memory.knowledge_get(empty_graph)["nodes"].count() == 0 and memory.knowledge_delete(empty_graph) == 1
     assert memory.knowledge_match(["L"]).count() == 1 and memory.knowledge_get(g)["name"] == "d"
     memory.knowledge_update(g, "renamed")
     assert memory.knowledge_delete(g) == 4 and memory.knowledge_list().count() == 0
