@@ -379,6 +379,47 @@ def test_fingerprints(spark, hard, empty):
     assert alone["near_next"] == 1.0
 
 
+def test_fingerprints_by_brute_force(spark, hard):
+    """Every fingerprint and both likenesses, from hashes that Spark takes of single words and of five hashes."""
+    texts = {}
+    for i, t, *_ in hard_rows():
+        texts.setdefault(-math.inf if i is None else i, t or "")
+    order = sorted(texts, reverse=True)
+    after = {i: texts[order[(k + 1) % len(order)]] for k, i in enumerate(order)}
+    edited = {i: t[: len(t) - len(t) // 3] + after[i][: len(t) // 3] for i, t in texts.items()}
+    words_of = {t: WORD.findall(t.lower()) for t in {*texts.values(), *edited.values()}}
+    known = sorted({w for ws in words_of.values() for w in ws})
+    hashed = {r["w"]: r["h"] for r in table(spark.createDataFrame([(w,) for w in known], "w string").withColumn("h", F.xxhash64("w")))}
+    wholes = {t: [tuple(hashed[w] for w in ws[i : i + 5]) for i in range(len(ws) - 4)] for t, ws in words_of.items()}
+    fives = spark.createDataFrame([(list(x),) for x in {x for s in wholes.values() for x in s}], "a array<long>")
+    five = {tuple(r["a"]): r["h"] for r in table(fives.withColumn("h", F.xxhash64(*(F.col("a")[k] for k in range(5)))))}
+    few = spark.createDataFrame([([hashed[w] for w in ws],) for ws in words_of.values() if 0 < len(ws) < 5], "a array<long>")
+    short = {tuple(r["a"]): r["h"] for r in table(few.withColumn("h", F.xxhash64("a")))}
+    most = -(1 << 63) + (1 << 64) // fingerprints.SCALE
+
+    def sketch(t):
+        ws = words_of[t]
+        found = {five[x] for x in wholes[t]} if len(ws) >= 5 else {short[tuple(hashed[w] for w in ws)]} if ws else set()
+        return {h for h in found if h < most} or ({min(found)} if found else set())
+
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    text = lambda a: " ".join(f"{h & (1 << 64) - 1:x}" for h in sorted(a))
+    for r in table(fingerprints.fingerprints(hard)):
+        i = -math.inf if r["doc_id"] is None else r["doc_id"]
+        a, b, c = sketch(texts[i]), sketch(edited[i]), sketch(after[i])
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (text(a), text(b)), i
+        assert r["near_edited"] == pytest.approx(like(a, b)) and r["near_next"] == pytest.approx(like(a, c))
+
+
+def test_merged_fingerprints(spark):
+    """The merged fingerprint is that of all shingles together, though a side had none below the threshold."""
+    few = [p for p in (" ".join(prose(s, 5).split()[:5]) for s in range(60))]
+    frame = spark.createDataFrame([(a, b) for a, b in zip(few, [prose(5, 300), *few], strict=False)], "a string, b string")
+    both = fingerprints.retained(F.concat(fingerprints.shingle_hashes(F.col("a")), fingerprints.shingle_hashes(F.col("b"))))
+    merged = fingerprints.merge(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b")))
+    assert frame.select((both == merged).alias("same")).where("not same").count() == 0
+
+
 def test_sketches_estimate(spark):
     a, b = prose(5, 4000), prose(5, 4000)[: len(prose(5, 4000)) // 10] + " " + prose(6, 3000)
     shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
@@ -417,6 +458,46 @@ def test_kneser_ney_sums_to_one():
             assert np.exp(m.log_probability(grams)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_kneser_ney_by_brute_force():
+    """Probabilities of a model against interpolated Kneser-Ney with dictionaries."""
+    text = "abracadabra alakazam"
+    model = language_id.Identifier([("x", text)])
+    points, offsets = language_id.letters([text])
+    codes = [int(model.codes[language_id._SPACE])] * 3 + [int(model.codes[p]) for p in points]
+    grams = collections.Counter(tuple(codes[i : i + 4]) for i in range(len(codes) - 3))
+    levels = {4: grams}
+    for n in (3, 2, 1):
+        levels[n] = collections.Counter(g[1:] for g in levels[n + 1])
+    alphabet = len(set(codes))
+
+    def p(gram):
+        if not gram:
+            return 1 / (alphabet + 1)
+        level = levels[len(gram)]
+        once, twice = (sum(c == k for c in level.values()) for k in (1, 2))
+        d = once / (once + 2 * twice) if once else 0.5
+        same = [c for g, c in level.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:])
+        return max(level[gram] - d, 0) / sum(same) * (gram in level) + d * len(same) / sum(same) * p(gram[1:])
+
+    packed = model.pack(points, offsets)
+    found = np.exp(model.models[0].log_probability(packed))
+    assert found == pytest.approx([p(tuple(codes[i : i + 4])) for i in range(len(codes) - 3)], rel=1e-4)
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    rows = [(i, f"{'ab' if i % 2 else 'cd'} " * 50, f"l{i % 2}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_id, "Identifier", lambda sample: seen.append(sample))
+    monkeypatch.setattr(language_id, "TOTAL_BYTES", 4 * 150 * 2)
+    language_id.learn(frame)
+    assert collections.Counter(lang for lang, _ in seen[0]) == {"l0": 4, "l1": 4}
+    language_id.learn(frame.limit(0))
+    assert seen[1] == []
+
+
 # 9
 
 
