@@ -3,6 +3,10 @@
 Each stage takes all that its predecessor kept, from Parquet, and its decisions take effect: rejected and repeated documents
 are gone, documents of sources above their target are dropped and those of sources below it repeated, and what remains
 is encoded.
+
+Defined cases: documents without a letter (null and empty texts too) are rejected by the first stage; of repeated rows one
+stays, and the mix may repeat it; a null identifier is kept where its text is new; columns that documents has besides are
+carried through all stages; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,12 +41,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids; the text is what the ids decode to."""
+    """The documents with their other columns and their token ids; the text is what the ids decode to.
+
+    A column that has the name of a new one is replaced.
+    """
     import public_tokenizers
 
     ship(spark)
     encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded_col="decoded")
-    return encoded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", "decoded")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_tokens", "token_ids", "decoded")]
+    return encoded.select(*kept, F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", "decoded")
 
 
 STAGES = [
