@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from .common import documents, tidy
 
 #: Runs without white space whose encodings are remembered in a Python worker (half as many words), and their longest length.
-REMEMBERED, REMEMBERED_BYTES = 160_000, 64
+REMEMBERED, REMEMBERED_BYTES = 300_000, 64
 #: Places of the table of remembered pairs, eight bytes each; a pair displaces the one that had its place.
 PAIRS = (1 << 20) - 3
-#: Code points of private use stand for the bytes, and for a word's last byte.
-_INNER, _LAST = 0xE000, 0xE100
+#: Code points that stand for the bytes, and for a word's last byte.
+_INNER, _LAST = 0, 0x100
 #: White space as the library has it; str.split() also splits at the four separators.
 _SPACES, _SEPARATORS = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1), regex.compile("[\x1c-\x1f]")
 
@@ -107,6 +107,7 @@ class Tokenizer:
         self._size = size
         # Tokens that their own string does not merge to are never the answer.
         usable = {s: i for s, i in ids.items() if len(s) == 1 or (self.left[i] != i and self._compatible(self.left[i], self.right[i], i))}
+        self.whole = usable
         self.automaton = ahocorasick.Automaton()
         self.shorter = [-1] * size
         for s, i in usable.items():
@@ -152,10 +153,12 @@ class Tokenizer:
 
     def encode_word(self, raw: bytes) -> list[int]:
         """The ids of one word's bytes."""
-        text = "".join(map(chr, [_INNER + b for b in raw[:-1]])) + chr(_LAST + raw[-1])
+        text = raw[:-1].decode("latin-1") + chr(_LAST + raw[-1])
         n = len(text)
+        if (whole := self.whole.get(text)) is not None:
+            return [whole]  # the longest match is the word itself, and nothing is before it
         longest = [0] * (n + 1)
-        length, shorter = self.length, self.shorter
+        length, shorter, known, size = self.length, self.shorter, self._fits, self._size
         # Every key that ends at a place is reported, by rising ends: the last one noted for a start is the longest.
         for end, i in self.automaton.iter(text):
             longest[end + 1 - length[i]] = i
@@ -164,7 +167,12 @@ class Tokenizer:
         at, token = 0, longest[0]
         while at < n:
             end = at + length[token]
-            if open_[end] and (not ids or self.fits(ids[-1], token)):
+            fits = bool(open_[end])
+            if fits and ids:
+                key = ids[-1] * size + token
+                found = known[key % PAIRS]
+                fits = found & 1 if found >> 1 == key else self.fits(ids[-1], token)
+            if fits:
                 ids.append(token)
                 at = end
                 token = longest[at]
@@ -191,7 +199,7 @@ class Tokenizer:
             for word in self._words.findall(chunk):
                 known = self._known_words.get(word)
                 if known is None:
-                    known = np.array(self.encode_word(word.encode()), np.int32).tobytes()
+                    known = array("i", self.encode_word(word.encode())).tobytes()
                     self._known_words.put(word, known)
                 parts.append(known)
             found = b"".join(parts) if len(parts) != 1 else parts[0]
