@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import GRAPH_EDGE_KINDS, Defaults, code_of
-from .errors import INVALID_QUERY, LLM, NOT_FOUND, MemoryError_
+from .errors import ENCODER, INVALID_QUERY, LLM, NOT_FOUND, MemoryError_
 from .functions.scalars import clamp, enum_name, format_id, hash_id, parse_id, to_hex
 from .functions.text import tokens, with_bigrams, words
 from .operators import graph, layers, lifecycle, retrieval
@@ -33,8 +33,10 @@ class Memory:
     def __init__(self, spark: SparkSession, root: str, tenant: str = "default", encoder: Encoder | None = None,
                  model: LanguageModel | None = None, config: Defaults | None = None, builtin: DataFrame | None = None):
         self.spark, self.config = spark, (config or Defaults()).validate()
-        self.store = Store(spark, root, tenant)
         self.encoder, self.model = encoder or HashEncoder(), model or OfflineModel()
+        if hasattr(self.encoder, "available") and not self.encoder.available():
+            raise MemoryError_(ENCODER, "the encoder is not available")
+        self.store = Store(spark, root, tenant)
         self.active: list[int] = []
         self.last_dream = 0
         self.builtin = builtin if builtin is not None else builtin_capabilities(spark)
