@@ -131,7 +131,7 @@ def distill_samples(nodes: DataFrame, now_ms: Column, config: Defaults = DEFAULT
 def sample_keywords(nodes: DataFrame, topics: DataFrame, most: int = DEFAULTS.distill_keywords) -> DataFrame:
     """id, keywords: the first fused keywords over a node's topics, in order."""
     each = nodes.select("id", F.posexplode("topic_ids").alias("pos", "topic")).join(topics.select(F.col("id").alias("topic"), "fused_keywords"), "topic")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("fused_keywords", F.array().cast("array<string>")).alias("k"))))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.slice(F.coalesce("fused_keywords", F.array().cast("array<string>")), 1, most).alias("k"))))
     gathered = each.groupBy("id").agg(F.flatten(F.transform(ordered, lambda x: x["k"])).alias("keywords"))
     return gathered.withColumn("keywords", F.slice("keywords", 1, most))
 

@@ -30,7 +30,7 @@ def _ms(column):
 def _topics(spark, sf):
     t = view(spark, sf, "v_topic")
     return t.withColumns({
-        "user_keywords": F.slice(T.words(F.col("user_text")), 1, 6), "agent_keywords": F.slice(T.words(F.col("agent_text")), 1, 6),
+        "user_keywords": T.words(F.col("user_text")), "agent_keywords": T.words(F.col("agent_text")),
         "fused_keywords": F.array().cast("array<string>"),
         "l4_refs": F.when(F.col("agent_ts") > 0, F.array("id", F.col("id") + 1)).otherwise(F.array("id")),
         "l3_refs": F.array(F.col("id") % 7, F.col("id") % 5), "children_ids": F.array().cast("array<bigint>"),
@@ -601,7 +601,7 @@ def message_counts(spark, sf):
 _L1 = ctes("v_l1") + ", nd as (select id, scene_id, importance, valence, arousal, epoch_us(updated_at) // 1000 as updated_at from v_l1)"
 _T = ctes("v_topic")
 _TK = r"""regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce({}, ''), '([\p{{Ll}}\p{{Nd}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')), '[\p{{L}}\p{{Nd}}]+')"""
-_UK, _AK = _TK.format("user_text") + "[1:6]", _TK.format("agent_text") + "[1:6]"
+_UK, _AK = _TK.format("user_text"), _TK.format("agent_text")
 _LOG = ctes("v_log") + ", cur as (select id, arg_max(seq, seq) as seq, arg_max(op, seq) as op, arg_max(payload, seq) as payload from v_log group by id)"
 _EDGE = ctes("v_edge_member", "v_node")
 _BFS = """, h1 as (select distinct b.node_id from v_edge_member a join v_edge_member b using (edge_id) where a.node_id = 1 {k}),

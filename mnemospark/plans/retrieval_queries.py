@@ -31,7 +31,7 @@ fz as (select id, max(1.0 / (1 + levenshtein(asc7, q))) as score
        from (select id, term, regexp_replace(term, '[^\x00-\x7F]', '~', 'g') as asc7 from (select id, unnest(list_distinct(toks)) as term from tok)) t, fq
        where abs(length(term) - length(q)) <= 2 and levenshtein(asc7, q) <= 2 group by id)"""
 TOPICS = """tp as (
-  select id, coalesce(try_cast(substring(source, 4) as bigint), -1) as scene_id, 1 + id % 3 as depth, id * 1000 as user_ts, toks[1:5] as keywords
+  select id, coalesce(try_cast(substring(source, 4) as bigint), -1) as scene_id, 1 + id % 3 as depth, id * 1000 as user_ts, toks as keywords
   from tok)"""
 
 
@@ -42,7 +42,7 @@ def _docs(spark, sf):
 def _topics(docs):
     scene = F.coalesce(F.expr("try_cast(substring(source, 4) as bigint)"), F.lit(-1))
     return docs.select(
-        "id", scene.alias("scene_id"), (1 + F.col("id") % 3).alias("depth"), (F.col("id") * 1000).alias("user_ts"), F.slice("tokens", 1, 5).alias("keywords")
+        "id", scene.alias("scene_id"), (1 + F.col("id") % 3).alias("depth"), (F.col("id") * 1000).alias("user_ts"), F.col("tokens").alias("keywords")
     )
 
 
