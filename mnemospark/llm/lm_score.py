@@ -4,14 +4,18 @@ Texts become chunks of tokens (a table bucketed by chunk: later passes meet it w
 
 1. Words: each chunk sends its distinct words with training counts to word shards, which add them up and answer with
    the totals, so that each chunk knows c(w) of its own words.
-2. Bigrams: each chunk sends its distinct (context, word) pairs to trie shards, by context and a salt of the word, so that a
-   very common context is dealt over several shards. A shard adds up the counts, builds its trie (contexts, monotone
-   Elias-Fano pointers to successors, successors as one Elias-Fano sequence, quantised log probabilities), maps it into
-   memory and answers every chunk's pairs by search among the successors of the context.
-
-The model is a bigram interpolated with the contract's add-0.1 unigram by a Dirichlet prior: p(w|v) = (c(vw) + MASS p1(w)) /
-(c(v) + MASS). The trie stores log10 of c(vw)/(c(v) + MASS), quantised to 16 bits; the back-off mass of a context follows from c(v).
+2. Bigrams: each chunk sends its distinct (context, word) pairs, of contexts that training texts hold, to trie shards by
+   context; a hot context (seen more than HOT times) is dealt over several shards by a salt of the word. A shard adds up the counts,
+   builds its trie (contexts, monotone Elias-Fano pointers to successors, successors as one Elias-Fano sequence, quantised log
+   probabilities), maps it into memory, and answers every chunk's pairs by search among the successors of the context, and its
+   contexts by their numbers of distinct successors.
+
+The model is a bigram interpolated with the contract's add-0.1 unigram p1. By absolute discounting, p(w|v) = max(c(vw) - DISCOUNT, 0) / c(v)
++ DISCOUNT n(v) / c(v) p1(w), where n(v) counts the distinct successors of v. Of a hot context no shard knows n(v); its prior mass is
+m = PRIOR c(v)**POWER instead, which follows the growth of n(v): p(w|v) = (c(vw) + m p1(w)) / (c(v) + m). Both sum to 1 over all words.
+After a context that no training text holds, p = p1. The trie stores log10 of the first term, quantised to 16 bits.
 Nothing is pruned or capped: all n-grams of all training texts are in the tries. No table reaches the driver but two totals.
+A context is hot by its training count: one that is rare there and frequent in other texts only is answered by one shard.
 
 Defined cases: null and empty texts are one end token; repeated rows are separate texts, each counted and scored; with no
 training text every probability is the uniform 1 / (V + 1) = 1; a very long text is read whole; other columns, whatever their
@@ -32,9 +36,13 @@ from pyspark.sql import functions as F
 from .bytesops import flat, mix, pieces, words
 from .common import documents, dropped_after, settle_table, shuffle_partitions
 
-#: Bytes of text of a chunk, pseudo-counts of the prior.
-CHUNK, MASS = 8 << 20, 8.0
-#: A context is dealt over one in so many shards, and over eight at least.
+#: Bytes of text of a chunk.
+CHUNK = 8 << 20
+#: What is taken from the count of a seen pair, and the prior mass of hot contexts: PRIOR * count ** POWER.
+DISCOUNT, PRIOR, POWER = 0.75, 2.0, 0.8
+#: A context seen more often is hot; numbers of successors of the others fit 16 bits.
+HOT = (1 << 16) - 1
+#: A hot context is dealt over one in so many shards, and over eight at least.
 SHARE = 16
 #: Quantised log10: steps from 0 down to -FLOOR.
 FLOOR, STEPS = 12.0, 65_534
@@ -250,9 +258,9 @@ def _word_rows(row: dict, shards: int):
 
 
 class _Pairs:
-    """The distinct (context, word) pairs of a chunk, dealt over trie shards, contexts and words rising inside a shard."""
+    """The distinct (context, word) pairs of a chunk: those of known contexts dealt over trie shards, contexts and words rising inside a shard."""
 
-    def __init__(self, row: dict, shards: int):
+    def __init__(self, row: dict, totals: np.ndarray, shards: int, hot: int):
         self.words, self.tokens, self.offsets, self.train = _unchunk(row)
         n = len(self.words)  # the place n stands for the beginning
         context = np.empty(len(self.tokens), np.uint64)
@@ -264,28 +272,34 @@ class _Pairs:
         v, w = (pair // np.uint64(n + 1)).astype(np.int64), (pair % np.uint64(n + 1)).astype(np.int64)
         hashes = np.append(self.words, _BEGIN)
         w40 = mix(hashes[w] + np.uint64(1)) & _W40
-        salt = (w40 >> np.uint64(20)) % np.uint64(max(8, shards // SHARE))
+        self.seen = np.append(totals, totals[-1])  # a text begins as often as it ends
+        salt = np.where(self.seen[v] > hot, (w40 >> np.uint64(20)) % np.uint64(max(8, shards // SHARE)), np.uint64(0))
         shard = (mix(hashes[v] + salt * np.uint64(0xD1342543DE82EF95)) % np.uint64(shards)).astype(np.int64)
         by_hash = np.empty(n + 1, np.int64)
         by_hash[np.argsort(hashes, kind="stable")] = np.arange(n + 1)
         # Order by shard, then context hash; pairs are in order of context place, words inside it follow by their hash.
-        self.order = np.lexsort((w40, (shard << 32) | by_hash[v]))
+        self.all_w = w
+        known = np.flatnonzero(self.seen[v] > 0)
+        self.order = known[np.lexsort((w40[known], (shard[known] << 32) | by_hash[v[known]]))]
         self.v, self.w40, self.w = v[self.order], w40[self.order], w[self.order]
         self.bounds = np.searchsorted(shard[self.order], np.arange(shards + 1))
         self.hashes = hashes
 
+    def heads(self, shard: int) -> np.ndarray:
+        """Where each context of a shard begins, counted from the shard's first pair."""
+        v = self.v[self.bounds[shard] : self.bounds[shard + 1]]
+        return np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+
 
-def _bigram_rows(row: dict, totals: np.ndarray, shards: int):
-    p = _Pairs(row, shards)
-    seen = np.append(totals, totals[-1])  # a text begins as often as it ends
+def _bigram_rows(row: dict, totals: np.ndarray, shards: int, hot: int):
+    p = _Pairs(row, totals, shards, hot)
     counts = p.counts[p.order]
     for s in range(shards):
         a, b = p.bounds[s], p.bounds[s + 1]
         if a == b:
             continue
-        v = p.v[a:b]
-        heads = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        yield s, p.hashes[v[heads]].tobytes(), _planes(seen[v[heads]]), _planes(np.diff(np.append(heads, b - a))), _pack40(p.w40[a:b]), _planes(counts[a:b])
+        v, heads = p.v[a:b], p.heads(s)
+        yield s, p.hashes[v[heads]].tobytes(), _planes(p.seen[v[heads]]), _planes(np.diff(np.append(heads, b - a))), _pack40(p.w40[a:b]), _planes(counts[a:b])
 
 
 def _totals(row: dict, shards: int) -> np.ndarray:
@@ -312,8 +326,14 @@ def _word_shard(table: pa.Table) -> pa.Table:
     })
 
 
-def _trie_shard(table: pa.Table) -> pa.Table:
-    """Builds a shard's trie from all chunks' counts and answers each chunk's pairs."""
+def _back_off(seen: np.ndarray, successors: np.ndarray, hot: int) -> np.ndarray:
+    """The mass that contexts leave to the unigram."""
+    prior = PRIOR * np.maximum(seen, 1.0) ** POWER
+    return np.where(seen > hot, prior / (seen + prior), DISCOUNT * successors / np.maximum(seen, 1))
+
+
+def _trie_shard(table: pa.Table, hot: int) -> pa.Table:
+    """Builds a shard's trie from all chunks' counts; answers each chunk's pairs, then its contexts."""
     rows = []
     for r in table.select(["contexts", "seen", "lengths", "successors", "counts"]).to_pylist():
         rows.append((np.frombuffer(r["contexts"], np.uint64), _unplanes(r["seen"]), _unplanes(r["lengths"]).astype(np.int64), _unpack40(r["successors"]), _unplanes(r["counts"])))
@@ -327,10 +347,13 @@ def _trie_shard(table: pa.Table) -> pa.Table:
     total = np.bincount(inverse, counts[trained], len(keys))
     of = (keys >> np.uint64(40)).astype(np.int64)
     used, starts = np.unique(of, return_index=True)
-    logs = np.log10(total / (seen[of] + MASS)) if len(keys) else np.zeros(0)
+    often = seen[of] > hot
+    logs = np.log10(np.where(often, total / (seen[of] + PRIOR * seen[of] ** POWER), (total - DISCOUNT) / seen[of])) if len(keys) else np.zeros(0)
     codes = np.round(np.clip(-logs / FLOOR, 0, 1) * STEPS).astype(np.uint16)
     trie = Trie(contexts[used], starts, keys & _W40, codes)
-    answers = [trie.find(r[0], r[2], r[3]) for r in rows]
+    successors = np.minimum(np.bincount(of, minlength=len(contexts)), HOT).astype(np.uint16)
+    heads = np.split(back, np.cumsum([len(r[0]) for r in rows])[:-1])
+    answers = [np.concatenate([trie.find(r[0], r[2], r[3]), successors[h]]) for r, h in zip(rows, heads, strict=True)]
     raw = [a.view(np.uint8).reshape(-1, 2).T.tobytes() for a in answers]
     return pa.table({"chunk": table["chunk"], "shard": table["shard"], "answer": pa.array(raw, pa.binary())})
 
@@ -345,12 +368,13 @@ def _rows(batch: pa.RecordBatch):
         row = batch.slice(i, 1).to_pylist()[0]
         for name in ("word_answers", "pair_answers"):
             if name in row:
-                row[name] = [(x["shard"], x["answer"]) for x in row[name]]
+                row[name] = [(x["shard"], x["answer"]) for x in row[name] or []]
         yield row
 
 
-def score(docs: DataFrame, train: F.Column | str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text: id, train, n_tokens, n_known, train_tokens, base_score, score. train: which texts are learned from."""
+def score(docs: DataFrame, train: F.Column | str, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """One row per text: id, train, n_tokens, n_known, train_tokens, base_score, score. train: which texts are learned from; hot: at
+    most HOT."""
     spark = docs.sparkSession
     shards = max(16, 4 * shuffle_partitions(spark))
     buckets = shuffle_partitions(spark)
@@ -388,14 +412,17 @@ def score(docs: DataFrame, train: F.Column | str, id_col: str = "doc_id", text_c
         def send_pairs(batches):
             for batch in batches:
                 for row in _rows(batch):
-                    made = list(zip(*_bigram_rows(row, _totals(row, shards), shards), strict=True))
+                    made = list(zip(*_bigram_rows(row, _totals(row, shards), shards, hot), strict=True))
+                    if not made:
+                        continue
                     columns = [pa.array([row["chunk"]] * len(made[0]), pa.int64()), pa.array(made[0], pa.int32()), *(pa.array(c, pa.binary()) for c in made[1:])]
                     yield pa.RecordBatch.from_arrays(columns, names=["chunk", "shard", "contexts", "seen", "lengths", "successors", "counts"])
 
         schema = "chunk bigint, shard int, contexts binary, seen binary, lengths binary, successors binary, counts binary"
         sent = plain.join(by_chunk, "chunk").mapInArrow(send_pairs, schema)
-        pair_answers = drop(settle_table(sent.groupBy("shard").applyInArrow(_trie_shard, "chunk bigint, shard int, answer binary"), "lm-pairs"))
-        both = table.join(by_chunk, "chunk").join(_per_chunk(pair_answers, "pair_answers"), "chunk")
+        pair_answers = drop(settle_table(sent.groupBy("shard").applyInArrow(lambda t: _trie_shard(t, hot), "chunk bigint, shard int, answer binary"), "lm-pairs"))
+        # A chunk without a known context has no answers.
+        both = table.join(by_chunk, "chunk").join(_per_chunk(pair_answers, "pair_answers"), "chunk", "left")
 
         id_type = _ID_TYPES[kind]
 
@@ -403,15 +430,17 @@ def score(docs: DataFrame, train: F.Column | str, id_col: str = "doc_id", text_c
             for batch in batches:
                 for row in _rows(batch):
                     counts = _totals(row, shards)
-                    p = _Pairs(row, shards)
+                    p = _Pairs(row, counts, shards, hot)
                     unigram = np.log10((counts + 0.1) / (all_tokens + 0.1 * (all_words + 1)))
-                    codes = np.empty(len(p.order), np.uint16)
+                    codes, successors = np.empty((2, len(p.order)), np.uint16)
                     for s, raw in row["pair_answers"]:
-                        codes[p.bounds[s] : p.bounds[s + 1]] = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(2, -1).T).view(np.uint16).reshape(-1)
-                    seen = np.append(counts, counts[-1])[p.v]
+                        answer = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(2, -1).T).view(np.uint16).reshape(-1)
+                        a, b = p.bounds[s], p.bounds[s + 1]
+                        codes[a:b] = answer[: b - a]
+                        successors[a:b] = np.repeat(answer[b - a :], np.diff(np.append(p.heads(s), b - a)))
                     own = np.where(codes <= STEPS, 10.0 ** (codes * (-FLOOR / STEPS)), 0.0)
-                    logs = np.empty(len(p.order))
-                    logs[p.order] = np.log10(own + MASS / (seen + MASS) * 10.0 ** unigram[p.w])
+                    logs = unigram[p.all_w]
+                    logs[p.order] = np.log10(own + _back_off(p.seen[p.v].astype(float), successors, hot) * 10.0 ** unigram[p.w])
                     heads = p.offsets[:-1]
                     columns = [
                         pa.array(row["ids"], id_type),

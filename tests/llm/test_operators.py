@@ -247,7 +247,8 @@ def test_trie_searches_ranges_of_contexts():
     assert sum(x.nbytes for x in held) < len(many) and (ef[np.arange(len(many))] == many).all()
 
 
-def test_language_model(hard, empty):
+@pytest.mark.parametrize("hot", [lm_score.HOT, 1])
+def test_language_model(hard, empty, hot):
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
     texts = [(i, WORD.findall((t or "").translate(LOWER)) + ["\0end"], i is not None and zlib.crc32(str(i).encode()) % 10 != 0) for i, t, *_ in hard_rows()]
     c = collections.Counter(w for _, ws, train in texts if train for w in ws)
@@ -255,12 +256,22 @@ def test_language_model(hard, empty):
     n, v = sum(c.values()), len(c)
     seen = collections.Counter(c) + collections.Counter({"\0begin": c["\0end"]})
     p1 = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    successors = collections.Counter(a for a, _ in pairs)
+
+    def p2(a, b):
+        if seen[a] > hot:
+            mass = lm_score.PRIOR * seen[a] ** lm_score.POWER
+            return (pairs[a, b] + mass * p1(b)) / (seen[a] + mass)
+        return (max(pairs[a, b] - lm_score.DISCOUNT, 0) + lm_score.DISCOUNT * successors[a] * p1(b)) / seen[a] if seen[a] else p1(b)
+
+    for a in [*list(seen)[:50], "\0begin", "no such word"]:  # over all words and the unknown one
+        assert sum(p2(a, b) for b in c) + p2(a, "\0unknown") == pytest.approx(1)
     wanted = collections.defaultdict(list)
     for i, ws, train in texts:
         base = sum(math.log10(p1(w)) for w in ws)
-        whole = sum(math.log10((pairs[a, b] + lm_score.MASS * p1(b)) / (seen[a] + lm_score.MASS)) for a, b in zip(["\0begin", *ws], ws, strict=False))
+        whole = sum(math.log10(p2(a, b)) for a, b in zip(["\0begin", *ws], ws, strict=False))
         wanted[i].append((train, len(ws), sum(c[w] > 0 for w in ws), n, base, whole))
-    found = table(lm_score.score(hard, remainder != 0))
+    found = table(lm_score.score(hard, remainder != 0, hot=hot))
     assert len(found) == len(texts)
     for r in found:
         train, tokens, known, all_, base, whole = wanted[r["doc_id"]][0]
