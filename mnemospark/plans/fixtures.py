@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shares
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS = {
@@ -41,6 +43,10 @@ from events group by user_id""",
     "v_log": "select user_id as id, event_id as seq, case when event_type='error' then 'D' else 'U' end as op, value as payload from events",
 }
 
+#: Columns of tables that a view reads, the first being the key that it joins them by. They are dealt by it into as many tasks as the
+#: larger one's rows ask for: left to itself, the join and what follows it take as many rows a task as fit 64 MB of compressed shuffle.
+DEALT = {"v_edge_member": {"lineitem": ("l_orderkey", "l_partkey"), "orders": ("o_orderkey", "o_orderpriority")}}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,7 +60,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = [t for t in TABLES if re.search(rf"\b(?:from|join) {t}\b", text)]
     for t in used:
         text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", text)
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+    frames = {t: table(spark, sf_dir, t) for t in used}
+    if name in DEALT:
+        n = shares(spark, max(f.count() for f in frames.values()))
+        frames = {t: f.select(*DEALT[name][t]).repartition(n, DEALT[name][t][0]) for t, f in frames.items()}
+    return spark.sql(text, **frames)
 
 
 def ctes(*names: str) -> str:

@@ -42,6 +42,15 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
 
 
+#: Rows of a few numbers each that one task takes, so that its sorts and hash tables stay near 100 MB however large the tables are.
+ROWS_A_TASK = 250_000
+
+
+def shares(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: at least one a core, no more than ROWS_A_TASK rows in each."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+
+
 def file_system(spark: SparkSession, path: str) -> tuple:
     """The file system that holds path, and path as it takes it."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -13,6 +13,8 @@ from mnemospark.operators import graph as G
 from mnemospark.operators import layers as L
 from mnemospark.operators import lifecycle as C
 from mnemospark.operators import retrieval as R
+from mnemospark.plans.fixtures import table, view
+from mnemospark.sources import shared
 
 
 def one(spark, column):
@@ -156,3 +158,11 @@ def test_configuration():
     for bad in (lambda: Defaults(rrf_k=-1).validate(), lambda: validate_dim(0), lambda: validate_tenant("a/b"), lambda: Defaults(tokenizer_engine="x").validate()):
         with pytest.raises(errors.MemoryError_):
             bad()
+
+
+def test_edge_members_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 500)
+    member = view(spark, sf_dir, "v_edge_member")
+    # One join and one distinct, both in the tasks that the tables were dealt to.
+    assert member.rdd.getNumPartitions() >= table(spark, sf_dir, "lineitem").count() / 500
+    assert member.groupBy("edge_id").count().rdd.getNumPartitions() == member.rdd.getNumPartitions()
