@@ -6,18 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import INVALID_QUERY, NOT_FOUND, MemoryError_
-from ..sources.shared import settle
+from ..sources.shared import settle, shares
 
 
 def members(edges: DataFrame) -> DataFrame:
     """edge_id, kind, node_id of edges (id, kind, node_ids)."""
-    return edges.select(F.col("id").alias("edge_id"), "kind", F.explode("node_ids").alias("node_id")).distinct()
+    return edges.select(F.col("id").alias("edge_id"), "kind", F.explode(F.array_distinct("node_ids")).alias("node_id"))
 
 
 def adjacency(member: DataFrame) -> DataFrame:
-    """Ordered pairs (a, b) of different nodes that share an edge. For small graphs; searches use members directly."""
-    other = member.select("edge_id", F.col("node_id").alias("b"))
-    return member.select("edge_id", F.col("node_id").alias("a")).join(other, "edge_id").where("a <> b").select("a", "b").distinct()
+    """Ordered pairs (a, b) of different nodes that share an edge. For small edges; searches use members directly.
+
+    Edges are dealt into tasks by their members' number, pairs (each once, a < b) by the pairs' number, both counted before, so that a
+    task's share does not grow with the graph. A pair of many edges is made one inside each task before it is sent.
+    """
+    spark = member.sparkSession
+    member = member.select("edge_id", "node_id")
+    of_edge = member.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"))
+    rows, n_pairs = of_edge.agg(F.sum("n"), F.sum(F.expr("n * (n - 1) div 2"))).first()
+    n = shares(spark, rows or 0)
+    # An edge is in one part and a part in one task: neither the edges' lists nor the pairs of a part are sent again to be made distinct.
+    dealt = member.where("edge_id is not null").withColumn("part", F.pmod(F.xxhash64("edge_id"), F.lit(16 * n))).repartition(n, "part")
+    lists = dealt.groupBy("part", "edge_id").agg(F.array_sort(F.collect_set("node_id")).alias("nodes"))
+    each = lists.select("part", "nodes", F.posexplode("nodes").alias("pos", "a"))
+    local = each.select("part", "a", F.explode(F.slice("nodes", F.col("pos") + 2, F.size("nodes"))).alias("b")).distinct()
+    pairs = local.select("a", "b").repartition(shares(spark, n_pairs or 0), "a", "b").distinct()
+    return pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
 
 
 def breadth_first(member: DataFrame, start: DataFrame, depth: int, kinds: list[int] | None = None) -> DataFrame:

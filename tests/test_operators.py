@@ -166,3 +166,13 @@ def test_edge_members_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
     # One join and one distinct, both in the tasks that the tables were dealt to.
     assert member.rdd.getNumPartitions() >= table(spark, sf_dir, "lineitem").count() / 500
     assert member.groupBy("edge_id").count().rdd.getNumPartitions() == member.rdd.getNumPartitions()
+
+
+def test_adjacency_of_repeated_pairs(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 20)
+    edges = {e: [1, 2, e % 5 + 3, e % 7 + 3] for e in range(60)} | {60: [9], 61: [1, None]}
+    member = spark.createDataFrame([(e, 0, n) for e, ns in edges.items() for n in ns], "edge_id long, kind int, node_id long")
+    found = G.adjacency(member)
+    wanted = {(a, b) for ns in edges.values() for a in ns for b in ns if a is not None and b is not None and a != b}
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    assert found.rdd.getNumPartitions() >= 60 * 3 / 20
