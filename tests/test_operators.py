@@ -13,6 +13,7 @@ from mnemospark.operators import graph as G
 from mnemospark.operators import layers as L
 from mnemospark.operators import lifecycle as C
 from mnemospark.operators import retrieval as R
+from mnemospark.plans import catalog
 from mnemospark.plans.fixtures import table, view
 from mnemospark.sources import shared
 
@@ -176,3 +177,8 @@ def test_adjacency_of_repeated_pairs(spark, monkeypatch):
     wanted = {(a, b) for ns in edges.values() for a in ns for b in ns if a is not None and b is not None and a != b}
     assert sorted(map(tuple, found.collect())) == sorted(wanted)
     assert found.rdd.getNumPartitions() >= 60 * 3 / 20
+
+
+def test_indexed_search_makes_tokens_once(spark, sf_dir):
+    # Postings and lengths come from the settled tokens: the query that is left reads no documents.
+    assert not catalog.queries()["bm25_indexed"](spark, sf_dir).inputFiles()
