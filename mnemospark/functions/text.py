@@ -100,7 +100,7 @@ def keyword_overlap(topic_keywords: Column, query: list[str]) -> Column:
     wanted = sorted({q.lower() for q in query})
     if not wanted:
         return F.lit(0.0)
-    return F.size(F.array_intersect(keyword_set(topic_keywords), F.array(*map(F.lit, wanted)))) / F.lit(float(len(wanted)))
+    return F.size(F.array_intersect(F.transform(topic_keywords, F.lower), F.array(*map(F.lit, wanted)))) / F.lit(float(len(wanted)))
 
 
 def answer_tokens(text: Column) -> Column:

@@ -18,6 +18,9 @@ from ..sources.shared import settle
 
 DEFAULTS = Defaults()
 
+#: So many terms close to a query, at most, are sent to every task; more meet the postings by an exchange.
+CLOSE_TERMS = 1_000_000
+
 
 # Sparse index
 
@@ -140,7 +143,9 @@ def fuzzy_indexed(posted: DataFrame, query: list[str], distance: int = DEFAULTS.
     """The same from a stored index: every distinct term is compared once, and only postings of close terms are read."""
     if not query:
         return posted.select("id", F.lit(0.0).alias("score")).limit(0)
-    terms = posted.select("term").distinct().select("term", closeness(F.col("term"), query, distance).alias("score")).where("score > 0")
+    terms = settle(posted.select("term").distinct().select("term", closeness(F.col("term"), query, distance).alias("score")).where("score > 0"))
+    if terms.count() <= CLOSE_TERMS:
+        terms = F.broadcast(terms)
     return posted.join(terms, "term").groupBy("id").agg(F.max("score").alias("score"))
 
 
@@ -183,8 +188,9 @@ def fuse(channels: list[DataFrame], k: float = DEFAULTS.rrf_k) -> DataFrame:
 
 def topic_scores(rrf: DataFrame, topics: DataFrame, keywords: list[str]) -> DataFrame:
     """topics (id, scene_id, user_ts, keywords) with an rrf entry: score = rrf + keyword overlap."""
-    joined = topics.join(rrf, "id")
-    return joined.select("id", "scene_id", "user_ts", (F.col("rrf") + keyword_overlap(F.col("keywords"), keywords)).alias("score"))
+    # The overlap is taken where the topics are: a number is exchanged, not the keywords.
+    overlaps = topics.select("id", "scene_id", "user_ts", keyword_overlap(F.col("keywords"), keywords).alias("overlap"))
+    return overlaps.join(rrf, "id").select("id", "scene_id", "user_ts", (F.col("rrf") + F.col("overlap")).alias("score"))
 
 
 def scene_scores(scored: DataFrame) -> DataFrame:
